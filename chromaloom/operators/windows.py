@@ -200,3 +200,19 @@ def assemble(biosamples: DataFrame, binned_regions: DataFrame, records: DataFram
         F.coalesce("is_empty", F.size("row") == 0, F.lit(True)).alias("is_empty"),
         F.coalesce("total_count", F.lit(0.0)).alias("total_count"),
     )
+
+
+def item_meta(items: DataFrame, bedpe: DataFrame) -> DataFrame:
+    """Description of each item, with the region's own start and end and the empty flag as a number."""
+    ends = bedpe.select("bedpe_idx", "start1", "end1")
+    return items.join(ends, "bedpe_idx").select(
+        "bio_idx",
+        "bedpe_idx",
+        "accession",
+        "chrom",
+        "rs",
+        "cs",
+        "start1",
+        "end1",
+        F.col("is_empty").cast("bigint").alias("is_empty"),
+    )

@@ -41,11 +41,13 @@ DEFINITIONS: dict[str, str] = {
                CASE WHEN p_brand IN ('Brand#11', 'Brand#13') OR p_partkey % 2 = 1 THEN '-' ELSE '+' END AS strand1,
                '.' AS strand2
         FROM {part}""",
-    # One TPM per assay and gene; a gene that some assay lacks is dropped by the all-files rule.
+    # One TPM per assay and gene. The 'view' assay reports nothing below its detection limit, and a gene
+    # that some assay lacks is dropped by the all-files rule.
     "fx_expr": """
         SELECT concat('ENCRNA_', event_type) AS rna_accession,
                concat('G', CAST(user_id AS STRING)) AS gene_id, max(value) AS tpm
-        FROM {events} GROUP BY event_type, user_id""",
+        FROM {events} GROUP BY event_type, user_id
+        HAVING NOT (event_type = 'view' AND max(value) < 60)""",
     "fx_pairs": """
         SELECT DISTINCT CASE WHEN event_type = 'error' THEN 'mouse' ELSE 'human' END AS organism,
                concat('ENCRNA_', event_type) AS rna_accession,
@@ -75,7 +77,20 @@ DEFINITIONS: dict[str, str] = {
     "fx_emb": """
         SELECT vec_id AS m, CAST(label AS BIGINT) AS b, embedding AS vec FROM {embeddings}""",
     "fx_weights": """
-        SELECT p_partkey AS m, CAST(p_size AS DOUBLE) / 25 AS w FROM {part}""",
+        SELECT vec_id AS m, CAST(label + 1 AS DOUBLE) / 8 AS w FROM {embeddings}""",
+    "fx_y": """
+        SELECT vec_id AS m, CAST(label AS BIGINT) AS b, CAST(vec_id % 7 AS DOUBLE) / 2 AS y FROM {embeddings}""",
+    # Listed biosamples; the last one has no contacts.
+    "fx_biosamples": """
+        SELECT DISTINCT l_orderkey % 4 AS bio_idx, concat('ENCFF00', CAST(l_orderkey % 4 AS STRING)) AS accession
+        FROM {lineitem}""",
+    # A sequence interval for each region row.
+    "fx_region_bed": """
+        SELECT p_partkey AS region_idx,
+               concat('chr', CAST(p_partkey % (SELECT count(*) FROM {documents}) AS STRING)) AS chrom,
+               (p_partkey * 31) % 200 - 20 AS start_bp, (p_partkey * 31) % 200 + 44 AS end_bp,
+               CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand
+        FROM {part}""",
     # Blocks in window coordinates, one per region row.
     "fx_targets": """
         SELECT p_partkey AS target_idx,
@@ -86,9 +101,10 @@ DEFINITIONS: dict[str, str] = {
                p_name AS gene_symbol, concat('E', CAST(p_partkey AS STRING)) AS enhancer_id,
                CAST(p_partkey % 2 AS INT) AS regulated
         FROM {part}""",
+    # Mean count by distance from the diagonal, the last band taking all further ones.
     "fx_k_median": """
-        SELECT p_partkey AS k, CAST(1 AS DOUBLE) / (p_partkey + 1) AS value
-        FROM {part} WHERE p_partkey BETWEEN 0 AND 47""",
+        SELECT CAST(least(abs(l_partkey % 400 - (l_suppkey * 7) % 400), 47) AS BIGINT) AS k, avg(l_quantity) AS value
+        FROM {lineitem} GROUP BY least(abs(l_partkey % 400 - (l_suppkey * 7) % 400), 47)""",
     # Prediction and truth with ties.
     "fx_scores": """
         SELECT event_type AS accession, event_id AS gene_idx, log2(value + 1) AS y,

@@ -81,11 +81,17 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_expression(spark: SparkSession, folder: str) -> DataFrame:
+def read_expression(spark: SparkSession, folder: str, by_folder: bool = False) -> DataFrame:
     """``gene_id`` and ``TPM`` of every ``*.tsv``; the file name is the accession.
 
-    The files share one header; a file with another one is refused.
+    The files share one header; a file with another one is refused. With ``by_folder`` the accession
+    is that of a folder ``rna_accession=...``, as a partitioned write leaves it.
     """
+    if by_folder:
+        table = spark.read.csv(folder, sep="\t", header=True, enforceSchema=False)
+        return table.select(
+            F.col("rna_accession").cast("string").alias("rna_accession"), "gene_id", F.col("TPM").cast("double").alias("tpm")
+        )
     table = spark.read.csv(f"{folder}/*.tsv", sep="\t", header=True, enforceSchema=False)
     return table.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.tsv$", "").alias("rna_accession"),

@@ -67,8 +67,7 @@ def write_attributions(df: DataFrame, path: str) -> None:
     """Two stores, sequence and contact, keyed by accession and region."""
     keys = ["accession", "bedpe_idx"]
     for name in ("seq_attr", "hic_attr"):
-        rows = df.select(*keys, F.col(name).cast("array<float>").alias(name))
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.select(*keys, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def pending(accessions: DataFrame, done: DataFrame, available: DataFrame | None = None) -> DataFrame:

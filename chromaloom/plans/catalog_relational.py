@@ -238,7 +238,7 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("j3_label_join", build("SELECT accession, gene_idx, gene_id, seq_split, round(y, 6) AS y FROM labels_long"))
+@query("j3_label_join", build("SELECT accession, gene_idx, gene_id, seq_split, round(y, 6) + 0.0::DOUBLE AS y FROM labels_long"))
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.labels_long(spark, sf_dir).withColumn("y", F.round("y", 6))
 
@@ -252,7 +252,7 @@ def rna_to_hic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j5_training_rows",
     build(
-        """SELECT h.b, h.m, round(CAST(h.vec[1] AS DOUBLE), 6) AS hic_first, round(CAST(s.vec[64] AS DOUBLE), 6) AS seq_last, y.y, w.w
+        """SELECT h.b, h.m, round(CAST(h.vec[1] AS DOUBLE), 6) + 0.0::DOUBLE AS hic_first, round(CAST(s.vec[64] AS DOUBLE), 6) + 0.0::DOUBLE AS seq_last, y.y, w.w
         FROM fx_emb h JOIN fx_emb s ON h.m = s.m JOIN fx_y y ON h.b = y.b AND h.m = y.m JOIN fx_weights w ON h.m = w.m"""
     ),
 )
@@ -288,7 +288,7 @@ def perturbation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j7_expected_fill",
     build(
-        """SELECT c.accession, c.submat_key, c.row, c.col, least(abs(c.col - c.row - 32), 47) AS k, round(e.value, 6) AS expected
+        """SELECT c.accession, c.submat_key, c.row, c.col, least(abs(c.col - c.row - 32), 47) AS k, round(e.value, 6) + 0.0::DOUBLE AS expected
         FROM cells c JOIN fx_k_median e ON e.k = least(abs(c.col - c.row - 32), 47)"""
     ),
 )
@@ -324,7 +324,7 @@ def attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j11_biosample_split_join",
-    build("SELECT seq_split, bio_split, bio_idx, gene_idx, round(CAST(y AS DOUBLE), 4) AS y, is_missing FROM labels_split"),
+    build("SELECT seq_split, bio_split, bio_idx, gene_idx, round(CAST(y AS DOUBLE), 4) + 0.0::DOUBLE AS y, is_missing FROM labels_split"),
 )
 def biosample_split_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = labels.biosample_split_join(ft.labels_long(spark, sf_dir), fixture(spark, sf_dir, "fx_bio_split"))
@@ -345,7 +345,7 @@ def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j13_impute_from_nearest",
     build(
-        """SELECT n.test AS accession, n.train AS source, l.gene_idx, round(l.y / 2, 6) AS y_hat FROM (
+        """SELECT n.test AS accession, n.train AS source, l.gene_idx, round(l.y / 2, 6) + 0.0::DOUBLE AS y_hat FROM (
              SELECT a.accession AS test, arg_max(b.accession, (b.r, b.accession)) AS train FROM (SELECT DISTINCT accession FROM labels_long WHERE accession IN (SELECT accession FROM fx_bio_split WHERE split = 'test')) a
              JOIN sims b ON a.accession = b.test GROUP BY a.accession) n
            JOIN labels_long l ON l.accession = n.train""",
@@ -394,7 +394,7 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.window_stats(job.valid, job.cells)
 
 
-@query("d5_window_max", build("SELECT accession, submat_key, round(top, 6) AS window_max FROM stored"))
+@query("d5_window_max", build("SELECT accession, submat_key, round(top, 6) + 0.0::DOUBLE AS window_max FROM stored"))
 def window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.window_max(ft.window_job(spark, sf_dir).cells).withColumn("window_max", F.round("window_max", 6))
 
@@ -431,7 +431,7 @@ def genes_in_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     "d9_label_matrix",
     build(
         """SELECT seq_split, bio_split, bio_idx, pos // 32 AS block, min(pos) AS first, CAST(count(*) AS BIGINT) AS n,
-           round(sum(CAST(CAST(y AS FLOAT) AS DOUBLE) * (pos % 32 + 1)), 3) AS weighted
+           round(sum(CAST(CAST(y AS FLOAT) AS DOUBLE) * (pos % 32 + 1)), 3) + 0.0::DOUBLE AS weighted
         FROM (SELECT *, dense_rank() OVER (PARTITION BY seq_split ORDER BY gene_idx) - 1 AS pos FROM labels_split)
         GROUP BY seq_split, bio_split, bio_idx, pos // 32"""
     ),
@@ -485,17 +485,17 @@ def sum_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cell_view(image.sum_duplicates(ft.cis(spark, sf_dir), ("accession", "chrom1")), "accession", "chrom1")
 
 
-@query("d12_mse", build("SELECT accession, round(avg(pow(y_hat - y, 2)), 6) AS mse FROM fx_scores GROUP BY accession"))
+@query("d12_mse", build("SELECT accession, round(avg(pow(y_hat - y, 2)), 6) + 0.0::DOUBLE AS mse FROM fx_scores GROUP BY accession"))
 def mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mse(fixture(spark, sf_dir, "fx_scores"), ["accession"]).withColumn("mse", F.round("mse", 6))
 
 
-@query("d13_pearson_by_biosample", build("SELECT accession, round(corr(y_hat, y), 6) AS pearson FROM fx_scores GROUP BY accession"))
+@query("d13_pearson_by_biosample", build("SELECT accession, round(corr(y_hat, y), 6) + 0.0::DOUBLE AS pearson FROM fx_scores GROUP BY accession"))
 def pearson_by_biosample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pearson(fixture(spark, sf_dir, "fx_scores")).withColumn("pearson", F.round("pearson", 6))
 
 
-@query("d13_pearson_flat", build("SELECT round(corr(y_hat, y), 6) AS pearson FROM fx_scores"))
+@query("d13_pearson_flat", build("SELECT round(corr(y_hat, y), 6) + 0.0::DOUBLE AS pearson FROM fx_scores"))
 def pearson_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pearson(fixture(spark, sf_dir, "fx_scores"), ()).withColumn("pearson", F.round("pearson", 6))
 
@@ -506,7 +506,7 @@ RANKED = """(SELECT accession,
     FROM fx_scores)"""
 
 
-@query("d14_spearman_by_biosample", build("SELECT accession, round(corr(rh, ry), 6) AS spearman FROM ranked GROUP BY accession", ranked=RANKED))
+@query("d14_spearman_by_biosample", build("SELECT accession, round(corr(rh, ry), 6) + 0.0::DOUBLE AS spearman FROM ranked GROUP BY accession", ranked=RANKED))
 def spearman_by_biosample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.spearman(fixture(spark, sf_dir, "fx_scores")).withColumn("spearman", F.round("spearman", 6))
 
@@ -514,7 +514,7 @@ def spearman_by_biosample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "d14_spearman_flat",
     build(
-        "SELECT round(corr(rh, ry), 6) AS spearman FROM ranked",
+        "SELECT round(corr(rh, ry), 6) + 0.0::DOUBLE AS spearman FROM ranked",
         ranked=RANKED.replace("PARTITION BY accession, ", "PARTITION BY ").replace("PARTITION BY accession ", ""),
     ),
 )
@@ -522,13 +522,13 @@ def spearman_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.spearman(fixture(spark, sf_dir, "fx_scores"), ()).withColumn("spearman", F.round("spearman", 6))
 
 
-@query("d14_mean_scores", build("SELECT round(avg(r), 6) AS mean_pearson FROM (SELECT corr(y_hat, y) AS r FROM fx_scores GROUP BY accession)"))
+@query("d14_mean_scores", build("SELECT round(avg(r), 6) + 0.0::DOUBLE AS mean_pearson FROM (SELECT corr(y_hat, y) AS r FROM fx_scores GROUP BY accession)"))
 def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_key = metrics.pearson(fixture(spark, sf_dir, "fx_scores"))
     return metrics.mean_score(per_key, "pearson").withColumn("mean_pearson", F.round("mean_pearson", 6))
 
 
-@query("d15_mean_pool", build("SELECT m, CAST(d AS BIGINT) AS d, round(avg(v), 6) AS v FROM seq_bins GROUP BY m, d"))
+@query("d15_mean_pool", build("SELECT m, CAST(d AS BIGINT) AS d, round(avg(v), 6) + 0.0::DOUBLE AS v FROM seq_bins GROUP BY m, d"))
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = fusion.mean_pool(fusion.seq_bins(fixture(spark, sf_dir, "fx_emb"), 8), ["m"])
     return ft.vector_view(pooled, "m")
@@ -592,7 +592,7 @@ def biosample_major_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "w5_best_run",
     build(
-        """SELECT accession, round(mse, 6) AS val_loss FROM (SELECT accession, avg(pow(y_hat - y, 2)) AS mse FROM fx_scores GROUP BY accession)
+        """SELECT accession, round(mse, 6) + 0.0::DOUBLE AS val_loss FROM (SELECT accession, avg(pow(y_hat - y, 2)) AS mse FROM fx_scores GROUP BY accession)
         ORDER BY mse LIMIT 1"""
     ),
 )

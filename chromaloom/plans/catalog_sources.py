@@ -140,7 +140,7 @@ def read_k_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a12_read_embeddings",
-    build("SELECT m, b, CAST(len(vec) AS BIGINT) AS size, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM fx_emb"),
+    build("SELECT m, b, CAST(len(vec) AS BIGINT) AS size, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 6) + 0.0::DOUBLE AS total FROM fx_emb"),
 )
 def read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "embeddings")
@@ -216,7 +216,7 @@ def write_invalid_bed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABEL_SQL = build(
-    "SELECT seq_split, bio_split, bio_idx, gene_idx, round(CAST(y AS DOUBLE), 4) AS y, is_missing FROM labels_split"
+    "SELECT seq_split, bio_split, bio_idx, gene_idx, round(CAST(y AS DOUBLE), 4) + 0.0::DOUBLE AS y, is_missing FROM labels_split"
 )
 
 

@@ -93,6 +93,11 @@ def vector_view(df: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.col("d").cast("bigint").alias("d"), F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
+def grid_view(df: DataFrame, *keys: str) -> DataFrame:
+    placed = df.withColumns({c: F.col(c).cast("bigint") for c in ("r", "c")})
+    return vector_view(placed, *keys, "r", "c")
+
+
 # The fixed linear model: weights per channel mean, per base frequency, and of the log total.
 CHANNEL_WEIGHTS = (0.5, 0.25, -0.125)
 BASE_WEIGHTS = (1.0, 2.0, 3.0, 4.0)
@@ -145,7 +150,7 @@ IMAGE_SQL = (
 SEQ_SQL = "(f0 + 2 * f1 + 3 * f2 + 4 * f3)"
 
 ATTRIBUTION_SQL = build(
-    f"""SELECT c.accession, c.bedpe_idx, round({SEQ_SQL}, 6) AS seq_total, round({IMAGE_SQL}, 6) AS hic_total
+    f"""SELECT c.accession, c.bedpe_idx, round({SEQ_SQL}, 6) + 0.0::DOUBLE AS seq_total, round({IMAGE_SQL}, 6) + 0.0::DOUBLE AS hic_total
     FROM channel_means c JOIN freq f ON c.bedpe_idx = f.region_idx""",
     bed_source="fx_region_bed",
 )

@@ -14,6 +14,17 @@ from chromaloom.operators import contacts, regions as region_ops, skew
 from chromaloom.session import materialise, small_side
 
 TILE = 64
+# Cells carry the window's start bins; the text key is made once per window, after grouping.
+WINDOW = ["accession", "chrom", "rs", "cs"]
+
+
+def window_key() -> Column:
+    return names.submat_key(F.col("chrom"), F.col("rs"), F.col("cs"))
+
+
+def with_key(cells: DataFrame) -> DataFrame:
+    """Cells or windows named by their text key instead of their start bins."""
+    return cells.withColumn("submat_key", window_key()).drop("chrom", "rs", "cs")
 
 
 def distinct_windows(binned_regions: DataFrame) -> DataFrame:
@@ -27,12 +38,12 @@ def distinct_windows(binned_regions: DataFrame) -> DataFrame:
 def window_tiles(windows: DataFrame, height: int, width: int, tile: int = TILE) -> DataFrame:
     """Each window once per tile of the matrix that it touches."""
     def cover(start: str, size: int) -> Column:
-        first = F.floor(F.col(start) / tile)
-        last = F.floor((F.col(start) + size - 1) / tile)
+        first = F.floor(F.col(start) / tile).cast("int")
+        last = F.floor((F.col(start) + size - 1) / tile).cast("int")
         return F.explode(F.sequence(first, last))
 
     return (
-        windows.select("chrom", "rs", "cs", "flip", cover("rs", height).alias("row_tile"))
+        windows.select("chrom", F.col("rs").cast("int").alias("rs"), F.col("cs").cast("int").alias("cs"), "flip", cover("rs", height).alias("row_tile"))
         .select("*", cover("cs", width).alias("col_tile"))
     )
 
@@ -40,8 +51,8 @@ def window_tiles(windows: DataFrame, height: int, width: int, tile: int = TILE)
 def _tiled(cells: DataFrame, tile: int) -> DataFrame:
     return cells.withColumns(
         {
-            "row_tile": F.floor(F.col("row") / tile),
-            "col_tile": F.floor(F.col("col") / tile),
+            "row_tile": F.floor(F.col("row") / tile).cast("int"),
+            "col_tile": F.floor(F.col("col") / tile).cast("int"),
         }
     )
 
@@ -50,14 +61,7 @@ def _within(cells: DataFrame, tiles: DataFrame, height: int, width: int, tile: i
     joined = _tiled(cells, tile).join(tiles, ["chrom", "row_tile", "col_tile"])
     row, col = F.col("row") - F.col("rs"), F.col("col") - F.col("cs")
     inside = row.between(0, height - 1) & col.between(0, width - 1)
-    return joined.where(inside).select(
-        "accession",
-        names.submat_key(F.col("chrom"), F.col("rs"), F.col("cs")).alias("submat_key"),
-        row.alias("row"),
-        col.alias("col"),
-        "value",
-        "flip",
-    )
+    return joined.where(inside).select(*WINDOW, row.alias("row"), col.alias("col"), "value", "flip")
 
 
 def extract_windows(
@@ -99,16 +103,20 @@ def strand_flip(cells: DataFrame, height: int, width: int) -> DataFrame:
     ).drop("flip")
 
 
+def _valid_windows(valid: DataFrame) -> DataFrame:
+    starts = [F.col(c).cast("int").alias(c) for c in ("rs", "cs")]
+    return valid.select("accession", "chrom", *starts).distinct()
+
+
 def window_stats(valid: DataFrame, cells: DataFrame) -> DataFrame:
     """Stored entries (explicit zeros count) and total per window, also for empty windows."""
-    stored = cells.groupBy("accession", "submat_key").agg(
+    stored = cells.groupBy(*WINDOW).agg(
         F.count(F.lit(1)).alias("nnz"),
         F.sum(F.col("value").cast("double")).alias("total"),
     )
-    keys = valid.select("accession", "submat_key").distinct()
-    return keys.join(stored, ["accession", "submat_key"], "left").select(
+    return _valid_windows(valid).join(stored, WINDOW, "left").select(
         "accession",
-        "submat_key",
+        window_key().alias("submat_key"),
         F.coalesce("nnz", F.lit(0)).alias("nnz"),
         F.coalesce("total", F.lit(0.0)).alias("total"),
         F.col("nnz").isNull().alias("is_empty"),
@@ -117,39 +125,41 @@ def window_stats(valid: DataFrame, cells: DataFrame) -> DataFrame:
 
 def empty_windows(valid: DataFrame, cells: DataFrame) -> DataFrame:
     """Region rows without any stored cell; duplicates of a key repeat."""
-    stored = cells.select("accession", "submat_key").distinct()
-    return valid.join(stored, ["accession", "submat_key"], "left_anti").select(
-        "accession", "bedpe_idx", "chrom", "rs", "cs"
-    )
+    stored = cells.select(*WINDOW).distinct()
+    return valid.join(stored, WINDOW, "left_anti").select("accession", "bedpe_idx", "chrom", "rs", "cs")
 
 
-def pack_windows(cells: DataFrame, half: bool = True) -> DataFrame:
-    """One record per window with parallel arrays in row-major order."""
+def _packed(cells: DataFrame, half: bool) -> DataFrame:
     value = numeric.to_float16(F.col("value")) if half else F.col("value")
     entry = F.struct(
         numeric.to_int16(F.col("row")).alias("row"),
         numeric.to_int16(F.col("col")).alias("col"),
         value.cast("float").alias("data"),
     )
-    packed = cells.groupBy("accession", "submat_key").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries")
-    )
-    return packed.select("accession", "submat_key", "entries.row", "entries.col", "entries.data")
+    packed = cells.groupBy(*WINDOW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return packed.select(*WINDOW, "entries.row", "entries.col", "entries.data")
+
+
+def pack_windows(cells: DataFrame, half: bool = True) -> DataFrame:
+    """One record per window with parallel arrays in row-major order."""
+    return with_key(_packed(cells, half)).select("accession", "submat_key", "row", "col", "data")
+
 
+def window_records(valid: DataFrame, cells: DataFrame, totals: DataFrame, half: bool = True) -> DataFrame:
+    """Records for all valid windows, the empty ones with empty arrays, with the store's total.
 
-def window_records(valid: DataFrame, packed: DataFrame, totals: DataFrame) -> DataFrame:
-    """Records for all valid windows, the empty ones with empty arrays, with the store's total."""
-    keys = valid.select("accession", "submat_key").distinct()
+    The windows are joined on the columns the cells were grouped by, so no array is shuffled again.
+    """
+    found = _valid_windows(valid).join(_packed(cells, half), WINDOW, "left")
     arrays = {
         "row": F.coalesce("row", F.array().cast("array<smallint>")),
         "col": F.coalesce("col", F.array().cast("array<smallint>")),
         "data": F.coalesce("data", F.array().cast("array<float>")),
         "is_empty": F.coalesce(F.size("row") == 0, F.lit(True)),
     }
-    found = keys.join(packed, ["accession", "submat_key"], "left").select(
-        "accession", "submat_key", *[expr.alias(name) for name, expr in arrays.items()]
-    )
-    return found.join(totals.select("accession", "total_count"), "accession", "left")
+    records = found.select("accession", window_key().alias("submat_key"), *[e.alias(n) for n, e in arrays.items()])
+    totals, _ = small_side(materialise(totals.select("accession", "total_count"), "totals"))
+    return records.join(totals, "accession", "left")
 
 
 def unpack_windows(records: DataFrame, height: int, width: int, keys: tuple[str, ...] = ("accession", "submat_key")) -> DataFrame:

@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.functions import arrays, dna, numeric
-from chromaloom.operators import decoder, fusion, image, infer, perturb
+from chromaloom.operators import decoder, fusion, image, infer, perturb, windows
 from chromaloom.plans import features as ft
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import HEIGHT, WIDTH, fixture, table
 from chromaloom.plans.registry import query
 
+
+def _pixel(df: DataFrame, *more: Column) -> DataFrame:
+    placed = [F.col(c).cast("bigint").alias(c) for c in ("row", "col")]
+    return df.select("accession", "submat_key", *placed, *more)
+
+
 # Scalar functions.
 
 
@@ -68,8 +74,8 @@ def nan_to_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     build("SELECT accession, submat_key, row, col, red, round(green, 6) + 0.0::DOUBLE AS green, round(green, 6) + 0.0::DOUBLE AS blue FROM rgb"),
 )
 def contact_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rgb = image.contact_rgb(ft.window_job(spark, sf_dir).cells)
-    return rgb.select("accession", "submat_key", "row", "col", "red", F.round("green", 6).alias("green"), F.round("blue", 6).alias("blue"))
+    rgb = windows.with_key(image.contact_rgb(ft.cells(spark, sf_dir)))
+    return _pixel(rgb, F.col("red"), F.round("green", 6).alias("green"), F.round("blue", 6).alias("blue"))
 
 
 @query(
@@ -80,8 +86,8 @@ def contact_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def imagenet_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rgb = image.imagenet_normalize(image.contact_rgb(ft.window_job(spark, sf_dir).cells))
-    return rgb.select("accession", "submat_key", "row", "col", *[F.round(c, 6).alias(c) for c in ("red", "green", "blue")])
+    rgb = windows.with_key(image.imagenet_normalize(image.contact_rgb(ft.cells(spark, sf_dir))))
+    return _pixel(rgb, *[F.round(c, 6).alias(c) for c in ("red", "green", "blue")])
 
 
 TOKEN_SQL = "translate(regexp_replace(seq, '[^ACGTacgt]', '4', 'g'), 'ACGTacgt', '01230123')"
@@ -103,7 +109,7 @@ def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     build(
         """SELECT region_idx, CAST(i AS BIGINT) AS i, CAST(base AS BIGINT) AS base,
            CASE substr(token_text, CAST(i + 1 AS BIGINT), 1) WHEN '.' THEN 0.25::DOUBLE WHEN CAST(base AS VARCHAR) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v
-        FROM tokens, generate_series(0, 127) AS g(i), generate_series(0, 3) + 0.0::DOUBLE AS h(base)""",
+        FROM tokens, generate_series(0, 127) AS g(i), generate_series(0, 3) AS h(base)""",
         bed_source="fx_bed",
     ),
 )
@@ -160,7 +166,7 @@ def to_float16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f14_to_int16", build("SELECT accession, submat_key, CAST(row AS SMALLINT) AS row, CAST(col AS SMALLINT) AS col FROM cells"))
 def to_int16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = ft.window_job(spark, sf_dir).cells
+    cells = windows.with_key(ft.cells(spark, sf_dir))
     return cells.select(
         "accession", "submat_key", numeric.to_int16(F.col("row")).alias("row"), numeric.to_int16(F.col("col")).alias("col")
     )
@@ -168,8 +174,9 @@ def to_int16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f15_distance_index", build("SELECT accession, submat_key, row, col, least(abs(col - row - 32), 47) AS k FROM cells"))
 def distance_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = ft.window_job(spark, sf_dir).cells
-    return cells.select("accession", "submat_key", "row", "col", numeric.distance_index(F.col("row"), F.col("col"), 32, 48).alias("k"))
+    cells = windows.with_key(ft.cells(spark, sf_dir))
+    k = numeric.distance_index(F.col("row"), F.col("col"), 32, 48)
+    return _pixel(cells, k.cast("bigint").alias("k"))
 
 
 @query("f16_delta", build("SELECT accession, gene_idx, round(y_hat - y, 6) + 0.0::DOUBLE AS delta FROM fx_scores"))
@@ -370,7 +377,7 @@ def paired_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ft.target_pairs(spark, sf_dir, with_tokens=True)
     edited = ft.perturbed(spark, sf_dir, pairs)
-    scored = perturb.score_pairs(pairs, edited, ft.joint_model, HEIGHT, WIDTH, batch_size=16, dtype="float64")
+    scored = perturb.score_pairs(pairs, edited, ft.joint_model, HEIGHT, WIDTH, batch_size=16, dtype="float64", partitions=ft.tasks(spark))
     return scored.select("accession", "target_idx", *[F.round(c, 6).alias(c) for c in ("y_orig", "y_pert", "delta")])
 
 
@@ -391,12 +398,12 @@ def _binned_encoder() -> Callable:
     build(
         """SELECT region_idx, CAST(b * 4 + d AS BIGINT) AS d,
            (16 - length(replace(part, CAST(d AS VARCHAR), '')) + 0.25::DOUBLE * (16 - length(replace(part, '.', '')))) / 16 AS v
-        FROM (SELECT region_idx, b, substr(token_text, CAST((b + 2) * 16 + 1 AS BIGINT), 16) AS part FROM tokens, generate_series(0, 3) + 0.0::DOUBLE AS g(b)), generate_series(0, 3) + 0.0::DOUBLE AS h(d)""",
+        FROM (SELECT region_idx, b, substr(token_text, CAST((b + 2) * 16 + 1 AS BIGINT), 16) AS part FROM tokens, generate_series(0, 3) AS g(b)), generate_series(0, 3) AS h(d)""",
         bed_source="fx_bed",
     ),
 )
 def embed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embedded = infer.embed_sequences(ft.tokens(spark, sf_dir, "fx_bed"), _binned_encoder, crop=4, batch_size=64)
+    embedded = infer.embed_sequences(ft.tokens(spark, sf_dir, "fx_bed"), _binned_encoder, crop=4, batch_size=64, partitions=ft.tasks(spark))
     return ft.vector_view(embedded, "region_idx")
 
 
@@ -446,7 +453,7 @@ def embed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def predict_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ft.model_rows(spark, sf_dir)
-    preds = infer.predict(rows, ft.joint_model, ("bio_idx", "bedpe_idx"), "joint", HEIGHT, WIDTH, 16, "float64")
+    preds = infer.predict(rows, ft.joint_model, ("bio_idx", "bedpe_idx"), "joint", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark))
     return preds.select("bio_idx", "bedpe_idx", F.round(F.col("y")[0], 6).alias("y"))
 
 
@@ -460,7 +467,7 @@ def predict_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def predict_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ft.tokens(spark, sf_dir, "fx_bed")
-    preds = infer.predict(tokens, ft.sequence_model, ("region_idx",), "sequence", batch_size=64, dtype="float64")
+    preds = infer.predict(tokens, ft.sequence_model, ("region_idx",), "sequence", batch_size=64, dtype="float64", partitions=ft.tasks(spark))
     rows = infer.per_biosample(preds)
     return rows.select("region_idx", F.col("bio_idx").cast("bigint").alias("bio_idx"), F.round("y_hat", 6).alias("y_hat"))
 
@@ -471,7 +478,7 @@ def predict_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def predict_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ft.assembled(spark, sf_dir)
-    preds = infer.predict(rows, ft.contact_model, ("bio_idx", "bedpe_idx"), "contact", HEIGHT, WIDTH, 16, "float64")
+    preds = infer.predict(rows, ft.contact_model, ("bio_idx", "bedpe_idx"), "contact", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark))
     return preds.select("bio_idx", "bedpe_idx", F.round(F.col("y")[0], 6).alias("y"))
 
 

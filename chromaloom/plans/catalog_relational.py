@@ -158,7 +158,7 @@ def region_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("b10_strand_flip", build("SELECT accession, submat_key, row, col, value FROM cells"))
 def strand_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cell_view(ft.window_job(spark, sf_dir).cells, "accession", "submat_key")
+    return _cell_view(windows.with_key(ft.cells(spark, sf_dir)), "accession", "submat_key")
 
 
 @query(
@@ -228,7 +228,7 @@ def extract_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.extract_windows(
         contacts.symmetrise(job.kept), windows.distinct_windows(job.binned), HEIGHT, WIDTH
     )
-    return _cell_view(found, "accession", "submat_key", "flip")
+    return _cell_view(windows.with_key(found), "accession", "submat_key", "flip")
 
 
 @query("j2_assemble", build("SELECT bio_idx, bedpe_idx, accession, submat_key, nnz, is_empty, CAST(total_count AS DOUBLE) AS total_count FROM assembled"))
@@ -294,8 +294,9 @@ def perturbation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def expected_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = materialise(fixture(spark, sf_dir, "fx_k_median"), "bands")
-    filled = perturb.expected_fill(ft.window_job(spark, sf_dir).cells, bands, OFFSET, BANDS)
-    return filled.select("accession", "submat_key", "row", "col", "k", F.round("expected", 6).alias("expected"))
+    filled = perturb.expected_fill(windows.with_key(ft.cells(spark, sf_dir)), bands, OFFSET, BANDS)
+    placed = [F.col(c).cast("bigint").alias(c) for c in ("row", "col")]
+    return filled.select("accession", "submat_key", *placed, "k", F.round("expected", 6).alias("expected"))
 
 
 @query("j8_fetch_sequences", build("SELECT region_idx, chrom, token_text FROM tokens", bed_source="fx_bed"))
@@ -396,7 +397,8 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d5_window_max", build("SELECT accession, submat_key, round(top, 6) + 0.0::DOUBLE AS window_max FROM stored"))
 def window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.window_max(ft.window_job(spark, sf_dir).cells).withColumn("window_max", F.round("window_max", 6))
+    top = windows.with_key(image.window_max(ft.cells(spark, sf_dir)))
+    return top.withColumn("window_max", F.round("window_max", 6))
 
 
 @query("d6_last_wins", build("SELECT submat_key, chrom, rs, cs, flip FROM wins"))

@@ -10,7 +10,7 @@ from chromaloom.plans import features as ft
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import BANDS, CONTEXT, fixture, table
 from chromaloom.plans.registry import query
-from chromaloom.session import materialise, scratch_path
+from chromaloom.session import scratch_path
 from chromaloom.sources import fasta, readers, writers
 
 CHUNK, HALO = 512, CONTEXT
@@ -277,11 +277,9 @@ def write_perturbation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k9_write_attributions", ft.ATTRIBUTION_SQL)
 def write_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "attribution-store")
-    attributed = ft.attributions(spark, sf_dir, "float64")
-    writers.write_attributions(materialise(attributed, "attributions"), path)
-    keys = ["accession", "bedpe_idx"]
-    seq, hic = (spark.read.parquet(f"{path}/{name}") for name in ("seq_attr", "hic_attr"))
-    return ft.attribution_view(seq.join(hic, keys))
+    writers.write_attributions(ft.attributions(spark, sf_dir, "float64"), path)
+    stored = spark.read.parquet(path).withColumn("accession", F.col("accession").cast("string"))
+    return ft.attribution_view(stored)
 
 
 @query(

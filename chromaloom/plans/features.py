@@ -42,6 +42,14 @@ def empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.empty_windows(job.valid, job.cells)
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_job(spark, sf_dir).cells
+
+
+def tasks(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = window_job(spark, sf_dir)
     stored = materialise(pipelines.window_records(job), "records")
@@ -158,7 +166,7 @@ ATTRIBUTION_SQL = build(
 
 def attributions(spark: SparkSession, sf_dir: str, dtype: str = "float32") -> DataFrame:
     return infer.input_x_gradient(
-        model_rows(spark, sf_dir), joint_gradient, height=HEIGHT, width=WIDTH, batch_size=16, dtype=dtype
+        model_rows(spark, sf_dir), joint_gradient, height=HEIGHT, width=WIDTH, batch_size=16, dtype=dtype, partitions=tasks(spark)
     )
 
 

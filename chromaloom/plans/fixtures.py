@@ -66,7 +66,7 @@ DEFINITIONS: dict[str, str] = {
     # Any letter besides ACGT counts as other; line breaks and '>' have no place in a sequence line.
     "fx_contigs": """
         SELECT concat('chr', CAST(doc_id AS STRING)) AS chrom,
-               translate(translate(text, chr(10), 'N'), concat(chr(13), '>'), 'NN') AS seq
+               replace(replace(replace(text, chr(10), 'N'), chr(13), 'N'), '>', 'N') AS seq
         FROM {documents} WHERE length(text) > 0""",
     "fx_bed": """
         SELECT doc_id AS region_idx, concat('chr', CAST(doc_id AS STRING)) AS chrom,

@@ -71,4 +71,4 @@ def window_summary(job: WindowJob) -> DataFrame:
 
 
 def window_records(job: WindowJob, half: bool = True) -> DataFrame:
-    return windows.window_records(job.valid, windows.pack_windows(job.cells, half), job.totals)
+    return windows.window_records(job.valid, job.cells, job.totals, half)

@@ -64,10 +64,11 @@ def write_perturbation_csv(scored: DataFrame, path: str) -> None:
 
 
 def write_attributions(df: DataFrame, path: str) -> None:
-    """Two stores, sequence and contact, keyed by accession and region."""
-    keys = ["accession", "bedpe_idx"]
-    for name in ("seq_attr", "hic_attr"):
-        df.select(*keys, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Sequence and contact attributions keyed by accession and region.
+
+    One columnar table from one pass of the model; either attribution is read without the other.
+    """
+    _replace_partitions(df.select("accession", "bedpe_idx", "seq_attr", "hic_attr"), path, "accession")
 
 
 def pending(accessions: DataFrame, done: DataFrame, available: DataFrame | None = None) -> DataFrame:

@@ -146,10 +146,13 @@ def symmetrise(df: DataFrame) -> DataFrame:
     return sum_cells(mirror(df))
 
 
-def check_distinct_names(df: DataFrame) -> DataFrame:
-    """Names such as ``1`` and ``chr1`` in one store would overwrite each other: refuse them."""
+def check_distinct_names(stats: DataFrame) -> DataFrame:
+    """Names such as ``1`` and ``chr1`` in one store would overwrite each other: refuse them.
+
+    Asked of the written statistics, which have one row per name.
+    """
     clash = (
-        df.select("accession", "chrom1", names.normalize_chrom(F.col("chrom1")).alias("chrom"))
+        stats.select("accession", "chrom1", names.normalize_chrom(F.col("chrom1")).alias("chrom"))
         .distinct()
         .groupBy("accession", "chrom")
         .count()
@@ -159,4 +162,8 @@ def check_distinct_names(df: DataFrame) -> DataFrame:
     )
     if clash:
         raise ValueError(f"{clash[0].accession} names {clash[0].chrom} in two ways")
-    return df
+    return stats
+
+
+def prefix_names(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: names.normalize_chrom(F.col(c)) for c in ("chrom1", "chrom2")})

@@ -132,12 +132,23 @@ def downsample_bins(streams: DataFrame, ratio: int) -> DataFrame:
     return mean_pool(runs, ["m", "stream", "pos"])
 
 
-def outer_sum(row: DataFrame, col: DataFrame) -> DataFrame:
-    """cell(r, c) = row[r] + col[c] for each item; the grid has a fixed size."""
-    rows = row.select("m", F.col("pos").alias("r"), F.col("vec").alias("row_vec"))
-    cols = col.select("m", F.col("pos").alias("c"), F.col("vec").alias("col_vec"))
-    return rows.join(cols, "m").select(
-        "m", "r", "c", arrays.vector_sum(F.col("row_vec"), F.col("col_vec")).alias("vec")
+def outer_sum(streams: DataFrame) -> DataFrame:
+    """cell(r, c) = row[r] + col[c] for each item.
+
+    An item has as many vectors as the grid has rows and columns; both streams meet in one group,
+    so neither is computed twice.
+    """
+    entry = F.struct("stream", "pos", "vec")
+    items = streams.groupBy("m").agg(F.collect_list(entry).alias("e"))
+    rows = F.filter("e", lambda x: x["stream"] == "row")
+    cols = F.filter("e", lambda x: x["stream"] == "col")
+    split = items.select("m", F.explode(rows).alias("row"), cols.alias("cols"))
+    cells = split.select("m", "row", F.explode("cols").alias("col"))
+    return cells.select(
+        "m",
+        F.col("row.pos").alias("r"),
+        F.col("col.pos").alias("c"),
+        arrays.vector_sum(F.col("row.vec"), F.col("col.vec")).alias("vec"),
     )
 
 
@@ -176,7 +187,7 @@ def fused_features(
 ) -> DataFrame:
     """Align, downsample, add up, pad and fuse; optionally normalise both sides before fusing."""
     streams = downsample_bins(align_bins(bins, n_rows, n_cols, ratio, mode), ratio)
-    seq = outer_sum(streams.where("stream = 'row'"), streams.where("stream = 'col'"))
+    seq = outer_sum(streams)
     if norm:
         hic, seq = normalise_vectors(hic), normalise_vectors(seq)
     if mode == "rows" and n_cols > n_rows:

@@ -129,10 +129,8 @@ def impute_from_nearest(
     Equal similarities go to the name that sorts first.
     """
     similar = expression_similarity(expr, test, train).where("similarity IS NOT NULL")
-    best = similar.groupBy("test").agg(F.max("similarity").alias("similarity"))
-    nearest = similar.join(best, ["test", "similarity"]).groupBy("test", "similarity").agg(
-        F.min("train").alias("train")
-    )
+    best = F.min(F.struct((-F.col("similarity")).alias("distance"), F.col("train")))
+    nearest = similar.groupBy("test").agg(best.alias("best")).select("test", F.col("best.train").alias("train"))
     nearest, _ = small_side(materialise(nearest, "nearest"))
     return preds.join(nearest, preds["accession"] == nearest["train"]).select(
         F.col("test").alias("accession"), F.col("train").alias("source"), "gene_idx", "y_hat"

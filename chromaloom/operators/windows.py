@@ -185,18 +185,15 @@ def assemble(biosamples: DataFrame, binned_regions: DataFrame, records: DataFram
 
     A window that is missing from the store is an empty one; a stored flag is believed.
     """
-    pairs = skew.pair_all(
-        biosamples.select("bio_idx", "accession"),
-        binned_regions.select("bedpe_idx", "chrom", "rs", "cs", "submat_key"),
-        order="bio_idx",
-    )
     if "is_empty" not in records.columns:
         records = records.withColumn("is_empty", F.lit(None).cast("boolean"))
     totals = records.groupBy("accession").agg(F.max("total_count").alias("total_count"))
-    found = skew.join_unique(
-        pairs, records.drop("total_count"), ["accession", "submat_key"], "left"
+    listed = biosamples.select("bio_idx", "accession").join(totals, "accession", "left")
+    pairs = skew.pair_all(
+        listed, binned_regions.select("bedpe_idx", "chrom", "rs", "cs", "submat_key"), order="bio_idx"
     )
-    return found.join(totals, "accession", "left").select(
+    found = skew.join_unique(pairs, records.drop("total_count"), ["accession", "submat_key"], "left")
+    return found.select(
         "bio_idx",
         "bedpe_idx",
         "accession",

@@ -259,7 +259,7 @@ def downsample_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def outer_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = fusion.downsample_bins(fusion.align_bins(_bins(spark, sf_dir), 2, 4, 2, "cols"), 2)
-    return ft.grid_view(fusion.outer_sum(streams.where("stream = 'row'"), streams.where("stream = 'col'")), "m")
+    return ft.grid_view(fusion.outer_sum(streams), "m")
 
 
 @query(
@@ -272,7 +272,7 @@ def outer_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pad_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = fusion.downsample_bins(fusion.align_bins(_bins(spark, sf_dir), 2, 4, 4, "rows"), 4)
-    square = fusion.outer_sum(streams.where("stream = 'row'"), streams.where("stream = 'col'"))
+    square = fusion.outer_sum(streams)
     return ft.grid_view(fusion.pad_columns(square, 2, 4), "m")
 
 
@@ -376,7 +376,7 @@ def paired_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ft.target_pairs(spark, sf_dir, with_tokens=True)
-    edited = ft.perturbed(spark, sf_dir, pairs)
+    edited = ft.edited(spark, sf_dir, pairs)
     scored = perturb.score_pairs(pairs, edited, ft.joint_model, HEIGHT, WIDTH, batch_size=16, dtype="float64", partitions=ft.tasks(spark))
     return scored.select("accession", "target_idx", *[F.round(c, 6).alias(c) for c in ("y_orig", "y_pert", "delta")])
 

@@ -328,8 +328,7 @@ def attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     build("SELECT seq_split, bio_split, bio_idx, gene_idx, round(CAST(y AS DOUBLE), 4) + 0.0::DOUBLE AS y, is_missing FROM labels_split"),
 )
 def biosample_split_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = labels.biosample_split_join(ft.labels_long(spark, sf_dir), fixture(spark, sf_dir, "fx_bio_split"))
-    return ft.label_view(split)
+    return ft.label_view(ft.labels_split(spark, sf_dir))
 
 
 @query(
@@ -439,8 +438,7 @@ def genes_in_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = labels.biosample_split_join(ft.labels_long(spark, sf_dir), fixture(spark, sf_dir, "fx_bio_split"))
-    matrix = labels.label_matrix(materialise(split, "labels"), block=32)
+    matrix = labels.label_matrix(materialise(ft.labels_split(spark, sf_dir), "labels"), block=32)
     placed = F.transform("values", lambda v, i: v.cast("double") * (i + 1))
     weighted = F.aggregate(placed, F.lit(0.0), lambda acc, x: acc + x)
     return matrix.select(
@@ -453,8 +451,7 @@ def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     build("SELECT seq_split, bio_split, count(DISTINCT bio_idx) AS n_bios, count(DISTINCT gene_idx) AS n_seqs FROM labels_split GROUP BY seq_split, bio_split"),
 )
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = labels.biosample_split_join(ft.labels_long(spark, sf_dir), fixture(spark, sf_dir, "fx_bio_split"))
-    return labels.split_sizes(split)
+    return labels.split_sizes(ft.labels_split(spark, sf_dir))
 
 
 @query("d10_nan_guard", build("SELECT accession, gene_id, tpm FROM mapped"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.operators import contacts, labels, perturb
+from chromaloom.operators import perturb
 from chromaloom.plans import features as ft
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import BANDS, CONTEXT, fixture, table
@@ -223,7 +223,7 @@ LABEL_SQL = build(
 @query("k4_write_labels", LABEL_SQL)
 def write_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "label-store")
-    writers.write_labels(labels.biosample_split_join(ft.labels_long(spark, sf_dir), fixture(spark, sf_dir, "fx_bio_split")), path)
+    writers.write_labels(ft.labels_split(spark, sf_dir), path)
     return ft.label_view(spark.read.parquet(path))
 
 

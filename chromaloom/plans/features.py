@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.operators import infer, labels, perturb, sequence, windows
+from chromaloom.operators import contacts, infer, labels, perturb, sequence, windows
 from chromaloom.plans import pipelines
 from chromaloom.plans.ctes import build
-from chromaloom.plans.fixtures import CONTEXT, HEIGHT, OFFSET, RESOLUTION, WIDTH, fixture
+from chromaloom.plans.fixtures import BANDS, CONTEXT, HEIGHT, OFFSET, RESOLUTION, WIDTH, fixture
 from chromaloom.session import materialise
 from chromaloom.sources import fasta
 
@@ -25,7 +25,7 @@ def half_sql(x: str) -> str:
 
 
 def cis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.cis_contacts(fixture(spark, sf_dir, "fx_contacts"), RESOLUTION)
+    return contacts.prefix_names(pipelines.cis_contacts(fixture(spark, sf_dir, "fx_contacts"), RESOLUTION))
 
 
 def window_job(spark: SparkSession, sf_dir: str) -> pipelines.WindowJob:
@@ -61,6 +61,13 @@ def labels_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_join(fixture(spark, sf_dir, "fx_expr"), pairs, fixture(spark, sf_dir, "fx_genes"))
 
 
+def labels_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fixture(spark, sf_dir, "fx_pairs").where("organism = 'human'")
+    return pipelines.expression_labels(
+        fixture(spark, sf_dir, "fx_expr"), pairs, fixture(spark, sf_dir, "fx_genes"), fixture(spark, sf_dir, "fx_bio_split")
+    )
+
+
 def label_view(df: DataFrame) -> DataFrame:
     """Plain types; labels are single precision, so they are compared to four places."""
     return df.select(
@@ -90,9 +97,13 @@ def target_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) ->
     return materialise(perturb.perturbation_pairs(targets, stored, rows), "pairs")
 
 
-def perturbed(spark: SparkSession, sf_dir: str, pairs: DataFrame, fill: str = "k_expected") -> DataFrame:
+def edited(spark: SparkSession, sf_dir: str, pairs: DataFrame, fill: str = "k_expected") -> DataFrame:
     bands = materialise(fixture(spark, sf_dir, "fx_k_median"), "bands")
-    return perturb.perturb(pairs, bands, fill, HEIGHT, WIDTH, OFFSET)
+    return perturb.perturb_records(pairs, perturb.expectation(bands, BANDS), fill, HEIGHT, WIDTH, OFFSET)
+
+
+def perturbed(spark: SparkSession, sf_dir: str, pairs: DataFrame, fill: str = "k_expected") -> DataFrame:
+    return perturb.original_cells(edited(spark, sf_dir, pairs, fill), HEIGHT, WIDTH)
 
 
 def vector_view(df: DataFrame, *keys: str) -> DataFrame:

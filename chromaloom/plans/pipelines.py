@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.functions import names
-from chromaloom.operators import contacts, regions, windows
+from chromaloom.operators import contacts, labels, regions, windows
 from chromaloom.session import materialise
 
 
@@ -16,7 +15,7 @@ from chromaloom.session import materialise
 class WindowJob:
     """Tables of the contacts-to-windows workflow."""
 
-    stats: DataFrame  # per chromosome pair, written
+    stats: DataFrame  # per chromosome, from a written table
     dims: DataFrame  # accession, chrom, n_rows, n_cols of kept matrices
     kept: DataFrame  # binned contacts of kept matrices, not mirrored
     binned: DataFrame  # region rows with bins, key and flip
@@ -26,12 +25,9 @@ class WindowJob:
 
 
 def cis_contacts(raw: DataFrame, resolution: int) -> DataFrame:
-    """Placed chromosomes, pairs within one chromosome, binned, names prefixed."""
+    """Placed chromosomes, pairs within one chromosome, binned; names as they are."""
     cis = contacts.contact_mode(contacts.filter_chroms(raw), 2).drop("store_key")
-    binned = contacts.bin_contacts(cis, resolution)
-    return binned.withColumns(
-        {name: names.normalize_chrom(F.col(name)) for name in ("chrom1", "chrom2")}
-    )
+    return contacts.bin_contacts(cis, resolution)
 
 
 def contact_windows(
@@ -40,7 +36,8 @@ def contact_windows(
     """All accessions in one job: the contacts are read twice, once for the statistics of each
     chromosome and once for the cells that some window needs."""
     cis = cis_contacts(raw, resolution)
-    stats = materialise(contacts.pair_stats(cis), "pair-stats")
+    named = contacts.check_distinct_names(materialise(contacts.pair_stats(cis), "pair-stats"))
+    stats = contacts.prefix_names(named)
     sized = contacts.large_enough(
         contacts.dims_from_stats(contacts.nonzero_pairs(stats)), height, width
     )
@@ -48,7 +45,7 @@ def contact_windows(
         sized.select("accession", F.col("chrom1").alias("chrom"), "n_rows", "n_cols"), "dims"
     )
     kept = contacts.keep_pairs(
-        cis, dims.select("accession", F.col("chrom").alias("chrom1"), F.col("chrom").alias("chrom2"))
+        contacts.prefix_names(cis), dims.select("accession", F.col("chrom").alias("chrom1"), F.col("chrom").alias("chrom2"))
     )
     binned = regions.window_regions(bedpe, resolution)
     wanted = windows.distinct_windows(binned)
@@ -72,3 +69,10 @@ def window_summary(job: WindowJob) -> DataFrame:
 
 def window_records(job: WindowJob, half: bool = True) -> DataFrame:
     return windows.window_records(job.valid, job.cells, job.totals, half)
+
+
+def expression_labels(expr: DataFrame, pairs: DataFrame, genes: DataFrame, splits: DataFrame) -> DataFrame:
+    """Labels of the three gene splits for the three biosample splits. The long labels are written once,
+    as listed biosamples, absent ones and the gene list are all taken from them."""
+    long = materialise(labels.label_join(expr, pairs, genes), "labels")
+    return labels.biosample_split_join(long, splits)

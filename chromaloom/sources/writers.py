@@ -9,8 +9,11 @@ from chromaloom.functions import numeric
 
 
 def _replace_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Rows of a partition are brought together for few files; a partition that holds much of the table
+    is split over tasks by the rebalance."""
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *by)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)

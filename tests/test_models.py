@@ -40,7 +40,7 @@ TARGETS = [(0, "chr1:0,0", 0, 2, 1, 4, 0), (1, "chr1:5,0", 1, 9, 6, 99, 1), (2,
 @pytest.mark.parametrize("fill", ["k_expected", "zeros"])
 def test_blocks_are_half_open_and_filled_everywhere(spark, fill):
     pairs = perturb.perturbation_pairs(spark.createDataFrame(TARGETS, TARGET), records(spark))
-    got = grids(perturb.perturb(pairs, bands(spark), fill, H, W, OFFSET))
+    got = grids(perturb.perturb(pairs, bands(spark), fill, H, W, OFFSET, BANDS))
     base = np.zeros((H, W))
     base[0, 0], base[1, 2], base[3, 7] = 1, 2, np.float32(3.4028235e38)
     for i, key, r0, r1, c0, c1, _ in TARGETS:
@@ -51,7 +51,7 @@ def test_blocks_are_half_open_and_filled_everywhere(spark, fill):
 
 def test_an_empty_original_blackens_its_edited_version(spark):
     pairs = perturb.perturbation_pairs(spark.createDataFrame(TARGETS, TARGET), records(spark))
-    edited = perturb.perturb(pairs, bands(spark), "k_expected", H, W, OFFSET)
+    edited = perturb.perturb(pairs, bands(spark), "k_expected", H, W, OFFSET, BANDS)
     images = perturb.paired_images(perturb.original_cells(pairs, H, W), edited)
     black = (0 - 0.485) / 0.229
     rows = images.where("target_idx = 1").collect()
@@ -64,9 +64,9 @@ def test_unknown_windows_and_fills_are_refused(spark):
     with pytest.raises(Exception, match="missing window chr9:0,0"):
         perturb.perturbation_pairs(lost, records(spark)).collect()
     with pytest.raises(ValueError):
-        perturb.perturb(lost, None, "other")
+        perturb.perturb_records(lost, None, "other")
     with pytest.raises(ValueError):
-        perturb.perturb(lost, None, "k_expected")
+        perturb.perturb_records(lost, None, "k_expected")
 
 
 def test_target_descriptions_have_defaults(spark):
@@ -90,7 +90,7 @@ def test_predictions_must_match_their_targets(spark):
 def test_scores_of_both_versions(spark):
     tokens = spark.createDataFrame([(0, "0123"), (1, "..44")], "region_idx bigint, token_text string")
     pairs = perturb.perturbation_pairs(spark.createDataFrame(TARGETS, TARGET), records(spark), tokens)
-    edited = perturb.perturb(pairs, bands(spark), "k_expected", H, W, OFFSET)
+    edited = perturb.perturb_records(pairs, perturb.expectation(bands(spark), BANDS), "k_expected", H, W, OFFSET)
     got = {r.target_idx: r for r in perturb.score_pairs(pairs, edited, features.joint_model, H, W, dtype="float64").collect()}
     assert len(got) == 3
     assert got[1].delta == 0 and got[2].delta == 0 and got[0].delta != 0

@@ -111,7 +111,7 @@ def test_contact_modes(spark):
 def test_two_spellings_of_one_chromosome_are_refused(spark):
     rows = [("a", "1", "1", 0, 0, 1.0), ("a", "chr1", "chr1", 0, 0, 1.0)]
     with pytest.raises(ValueError, match="two ways"):
-        contacts.check_distinct_names(spark.createDataFrame(rows, RAW))
+        pipelines.contact_windows(spark.createDataFrame(rows, RAW), spark.createDataFrame([region(0, "chr1", 0, 0, "+")], BED), 1, 4, 8)
 
 
 def test_stored_zero_is_an_entry_but_gives_a_black_image(spark):

@@ -129,20 +129,21 @@ def empty_windows(valid: DataFrame, cells: DataFrame) -> DataFrame:
     return valid.join(stored, WINDOW, "left_anti").select("accession", "bedpe_idx", "chrom", "rs", "cs")
 
 
-def _packed(cells: DataFrame, half: bool) -> DataFrame:
+def _packed(cells: DataFrame, half: bool, ordered: bool = False) -> DataFrame:
     value = numeric.to_float16(F.col("value")) if half else F.col("value")
     entry = F.struct(
         numeric.to_int16(F.col("row")).alias("row"),
         numeric.to_int16(F.col("col")).alias("col"),
         value.cast("float").alias("data"),
     )
-    packed = cells.groupBy(*WINDOW).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    entries = F.collect_list(entry)
+    packed = cells.groupBy(*WINDOW).agg((F.array_sort(entries) if ordered else entries).alias("entries"))
     return packed.select(*WINDOW, "entries.row", "entries.col", "entries.data")
 
 
-def pack_windows(cells: DataFrame, half: bool = True) -> DataFrame:
-    """One record per window with parallel arrays in row-major order."""
-    return with_key(_packed(cells, half)).select("accession", "submat_key", "row", "col", "data")
+def pack_windows(cells: DataFrame, half: bool = True, ordered: bool = False) -> DataFrame:
+    """One record per window with parallel arrays; row-major when ``ordered``, which no operator needs."""
+    return with_key(_packed(cells, half, ordered)).select("accession", "submat_key", "row", "col", "data")
 
 
 def window_records(valid: DataFrame, cells: DataFrame, totals: DataFrame, half: bool = True) -> DataFrame:

@@ -414,7 +414,7 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = windows.pack_windows(ft.window_job(spark, sf_dir).cells)
+    packed = windows.pack_windows(ft.cells(spark, sf_dir), ordered=True)
     entry = F.transform(
         F.arrays_zip("row", "col", "data"),
         lambda e: F.concat_ws(":", e["row"].cast("string"), e["col"].cast("string"), e["data"].cast("bigint").cast("string")),

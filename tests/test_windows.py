@@ -159,8 +159,8 @@ def test_assemble_fills_missing_windows_and_keeps_a_stored_flag(spark):
 
 def test_half_precision_counts_overflow_on_request(spark):
     cells = spark.createDataFrame([("a", "chr1", 0, 0, 0, 0, 70000.0), ("a", "chr1", 0, 0, 0, 1, 2049.0)], "accession string, chrom string, rs int, cs int, row int, col int, value float")
-    assert windows.pack_windows(cells).first().data == [float("inf"), 2048.0]
-    assert windows.pack_windows(cells, half=False).first().data == [70000.0, 2049.0]
+    assert windows.pack_windows(cells, ordered=True).first().data == [float("inf"), 2048.0]
+    assert windows.pack_windows(cells, half=False, ordered=True).first().data == [70000.0, 2049.0]
 
 
 def test_densify_adds_up_repeats_and_ignores_cells_outside(spark):

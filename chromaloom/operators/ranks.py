@@ -9,47 +9,23 @@ from pyspark.sql import functions as F
 
 from chromaloom.session import materialise, small_side
 
-# Below this many different values per table a plain window is the cheaper plan.
-PLAIN_ROWS = 1_000_000
-BUCKETS = 256
 
-
-def value_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    col: str,
-    weight: str | None = None,
-    buckets: int = BUCKETS,
-    plain_rows: int = PLAIN_ROWS,
-) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], col: str, weight: str | None = None, buckets: int | None = None) -> DataFrame:
     """Per key and different value: how often it occurs, how many rows lie before it, and the key's total.
 
-    Ties are merged before anything is ordered. Large tables are cut into value ranges by approximate
-    quantiles (any cut gives the exact result, quantiles only balance it); each range is ordered on its
-    own and starts from the total of the ranges before it.
+    Ties are merged before anything is ordered. The merged values are range-partitioned and written with
+    their partition number, which fixes the ranges for good; each range is then ordered on its own and
+    starts from the total of the ranges before it.
     """
     if not keys:
         whole = df.withColumn("_all", F.lit(0))
-        return value_ranks(whole, ["_all"], col, weight, buckets, plain_rows).drop("_all")
+        return value_ranks(whole, ["_all"], col, weight, buckets).drop("_all")
     keys = list(keys)
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = materialise(df.groupBy(*keys, col).agg(amount.alias("n")), "value-counts")
-    if counted.count() <= plain_rows:
-        before = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-        return counted.select(
-            *keys,
-            col,
-            "n",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
-            F.sum("n").over(Window.partitionBy(*keys)).alias("total"),
-        )
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(col, shares, buckets * 50).alias("_cuts"))
-    cuts, _ = small_side(materialise(cuts, "cuts"))
-    bucket = F.size(F.filter("_cuts", lambda cut: cut < F.col(col)))
-    ranged = counted.join(cuts, keys).select(
-        *keys, col, "n", bucket.alias("_bucket")
-    )
+    counted = df.groupBy(*keys, col).agg(amount.alias("n"))
+    order = [*keys, col]
+    spread = counted.repartitionByRange(buckets, *order) if buckets else counted.repartitionByRange(*order)
+    ranged = materialise(spread.withColumn("_bucket", F.spark_partition_id()), "value-ranges")
     sizes = ranged.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -58,10 +34,8 @@ def value_ranks(
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_size").over(Window.partitionBy(*keys)).alias("total"),
     )
-    offsets, _ = small_side(materialise(offsets, "bucket-offsets"))
-    inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    offsets, _ = small_side(materialise(offsets, "range-offsets"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(offsets, [*keys, "_bucket"])

@@ -15,10 +15,10 @@ def scores(spark, rng, n, keys=("a", "b")):
     )
 
 
-@pytest.mark.parametrize("plain_rows", [10**6, 0])
-def test_ranks_match_pandas_in_both_plans(spark, plain_rows):
+@pytest.mark.parametrize("buckets", [None, 1, 7])
+def test_ranks_match_pandas_over_any_ranges(spark, buckets):
     pdf, df = scores(spark, np.random.default_rng(0), 300)
-    got = ranks.value_ranks(df, ["accession"], "y_hat", buckets=7, plain_rows=plain_rows).toPandas()
+    got = ranks.value_ranks(df, ["accession"], "y_hat", buckets=buckets).toPandas()
     got["rank"] = got["before"] + (got["n"] + 1) / 2
     want = pdf.assign(rank=pdf.groupby("accession")["y_hat"].rank())
     merged = want.merge(got, on=["accession", "y_hat"])
@@ -28,7 +28,7 @@ def test_ranks_match_pandas_in_both_plans(spark, plain_rows):
 
 def test_ranks_without_keys_over_buckets(spark):
     pdf, df = scores(spark, np.random.default_rng(1), 200)
-    got = ranks.value_ranks(df, [], "y_hat", buckets=5, plain_rows=0).toPandas()
+    got = ranks.value_ranks(df, [], "y_hat", buckets=5).toPandas()
     merged = pdf.assign(rank=pdf["y_hat"].rank()).merge(got, on="y_hat")
     assert np.array_equal(merged["rank"], merged["before"] + (merged["n"] + 1) / 2)
 

@@ -44,7 +44,7 @@ def spearman(df: DataFrame, keys: Sequence[str] = ("accession",), strict: bool =
     multiplied, their mean being known.
     """
     grouped = list(keys) or ["_all"]
-    source = df if keys else df.withColumn("_all", F.lit(0))
+    source = (df if keys else df.withColumn("_all", F.lit(0))).dropna(subset=["y", "y_hat"])
     pairs = materialise(
         source.groupBy(*grouped, "y", "y_hat").agg(F.count(F.lit(1)).alias("_w")), "score-pairs"
     )

@@ -156,7 +156,7 @@ def window_records(valid: DataFrame, cells: DataFrame, totals: DataFrame, half:
         "row": F.coalesce("row", F.array().cast("array<smallint>")),
         "col": F.coalesce("col", F.array().cast("array<smallint>")),
         "data": F.coalesce("data", F.array().cast("array<float>")),
-        "is_empty": F.coalesce(F.size("row") == 0, F.lit(True)),
+        "is_empty": F.col("row").isNull() | (F.size("row") == 0),
     }
     records = found.select("accession", window_key().alias("submat_key"), *[e.alias(n) for n, e in arrays.items()])
     totals, _ = small_side(materialise(totals.select("accession", "total_count"), "totals"))
@@ -205,7 +205,7 @@ def assemble(biosamples: DataFrame, binned_regions: DataFrame, records: DataFram
         F.coalesce("row", F.array().cast("array<smallint>")).alias("row"),
         F.coalesce("col", F.array().cast("array<smallint>")).alias("col"),
         F.coalesce("data", F.array().cast("array<float>")).alias("data"),
-        F.coalesce("is_empty", F.size("row") == 0, F.lit(True)).alias("is_empty"),
+        F.coalesce("is_empty", F.col("row").isNull() | (F.size("row") == 0)).alias("is_empty"),
         F.coalesce("total_count", F.lit(0.0)).alias("total_count"),
     )
 

@@ -68,7 +68,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast a written table if its counted rows allow it, otherwise leave the join to a shuffle."""
+    """Broadcast a written table if its counted rows allow it, otherwise leave the join to a shuffle.
+
+    Meant for narrow rows (names and a few numbers), so the row count bounds the size; the count of a
+    written table only reads file footers.
+    """
     if df.count() <= max_rows:
         return F.broadcast(df), True
     return df, False

@@ -1 +1,8 @@
-"""chromaloom: contact-map and expression feature tables as Spark jobs."""
+
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions run in tasks travel with their code, so executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])

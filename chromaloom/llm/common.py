@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 # A word: any run of characters other than blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,3 +27,23 @@ def remainder(id_column: str, modulus: int) -> Column:
 def word_count(text: str) -> Column:
     """Words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def arrow_column(function: Callable[[pa.Array], pa.Array], returns: str, text_col: str) -> Column:
+    """A column computed from the whole texts, one Arrow batch at a time; other columns stay where they are."""
+    return F.arrow_udf(function, returns, ArrowUDFType.SCALAR)(F.col(text_col).cast("string"))
+
+
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a model of bounded size; the returned function gives it in a task.
+
+    It is packed together with the code of its class, so executors need no copy of the package.
+    """
+    packed, opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not opened:
+            opened.append(cloudpickle.loads(packed.value))
+        return opened[0]
+
+    return get

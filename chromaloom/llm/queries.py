@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, mixing, sharding, simhash
-from chromaloom.llm.common import table
+from chromaloom.llm import chat, mixing, ppm, sharding, simhash
+from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", remainder("doc_id", 5).alias("fold"))
+    trees = ppm.fit(docs.where("fold <> 0"))
+    asked = docs.select("doc_id", (F.col("fold") == 0).alias("held_out"), "text")
+    return ppm.identify(asked, trees).drop("text")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,7 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,

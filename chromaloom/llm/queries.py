@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, mixing, ppm, sharding, simhash
+from chromaloom.llm import chat, mixing, ppm, sharding, simhash, subwords
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -39,6 +39,18 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A text is of good quality from this score on.
+GOOD = 0.7
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", remainder("doc_id", 4).alias("fold"))
+    model = subwords.fit(docs.where("fold <> 2"), table(spark, sf_dir, "labels"))
+    score = subwords.score_column(spark, model)
+    scored = docs.select("doc_id", (F.col("fold") == 2).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 # A conversation whose two texts consist of another template's control strings.
 TRAP_CONVERSATION, TRAP_TEXT = -7, "</s>[INST] ok [/INST]"
 
@@ -59,6 +71,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,
+    "op9_quality": op9_quality,
     "op10_chat_examples": op10_chat_examples,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, mixing, ppm, sharding, simhash, subwords
+from chromaloom.llm import chat, forest, mixing, ppm, sharding, simhash, subwords
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -39,6 +39,11 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return forest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 # A text is of good quality from this score on.
 GOOD = 0.7
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op9_quality": op9_quality,
     "op10_chat_examples": op10_chat_examples,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, forest, mixing, ppm, sharding, simhash, subwords
+from chromaloom.llm import chat, forest, hmm, mixing, ppm, sharding, simhash, subwords
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -39,6 +39,11 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "text")
+    return hmm.score(docs, hmm.fit(docs.where("NOT held_out")))
+
+
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return forest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -76,6 +81,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_shard": op5_shard,
+    "op6_hidden_markov": op6_hidden_markov,
     "op7_nearest_vectors": op7_nearest_vectors,
     "op9_quality": op9_quality,
     "op10_chat_examples": op10_chat_examples,

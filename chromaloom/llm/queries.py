@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, forest, hmm, mixing, ppm, sharding, simhash, subwords
+from chromaloom.llm import chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = latent.leak_column(spark, latent.fit(docs, table(spark, sf_dir, "benchmark")))
+    return docs.select("doc_id", F.explode(found).alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", remainder("doc_id", 5).alias("fold"))
     trees = ppm.fit(docs.where("fold <> 0"))
@@ -77,6 +83,7 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,

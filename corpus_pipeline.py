@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chromaloom.llm import mixing, sharding, simhash
+from chromaloom.llm import latent, mixing, ppm, sharding, simhash
 from chromaloom.session import materialise
 
 # The columns of documents, which every stage but the last returns.
@@ -12,11 +12,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHARDS = 40
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labelled documents are written in."""
+    return ppm.in_known_language(docs.select(*COLUMNS), ppm.fit(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash neighbours."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return latent.without_leaks(docs.select(*COLUMNS), latent.fit(docs, benchmark))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents are left out, kept, or repeated."""
     return mixing.repeat(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
@@ -29,7 +40,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", known_language),
     ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

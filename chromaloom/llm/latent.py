@@ -131,12 +131,20 @@ def _vectors(hashed: np.ndarray, idf: np.ndarray, step: int) -> Iterator[tuple[i
 def _products(items: DataFrame, idf: np.ndarray, basis, gram: bool) -> np.ndarray:
     """Over all passages A: A^T A basis (FEATURES x width), or (A basis)^T (A basis), summed over tasks."""
     spark, width = items.sparkSession, RANK + EXTRA
-    held = shared(spark, (idf, basis))
+    if isinstance(basis, int):
+        packed = basis
+    else:  # only rows that a passage uses travel
+        used_rows = np.flatnonzero(basis.any(1))
+        packed = (used_rows, basis[used_rows])
+    held = shared(spark, (idf.astype(np.float32), packed))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (weights, at) = Words(), held()
-        # A seed stands for a Gaussian matrix.
-        at = np.random.default_rng(at).standard_normal((FEATURES, width)) if isinstance(at, int) else at
+        words, (weights, given) = Words(), held()
+        if isinstance(given, int):  # a seed stands for a Gaussian matrix
+            at = np.random.default_rng(given).standard_normal((FEATURES, width), np.float32)
+        else:
+            at = np.zeros((FEATURES, width), np.float32)
+            at[given[0]] = given[1]
         out = np.zeros((width if gram else FEATURES, width))
         for batch in batches:
             for hashed in words.of(batch.column(0).to_pylist()):

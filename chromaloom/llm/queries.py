@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords
+from chromaloom.llm import chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -55,6 +55,14 @@ def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hash are those of the patterns' spans; ``spans`` also holds what the network adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("found", tagger.spans_column(spark, tagger.fit(docs)))
+    base = F.sha2(F.col("found.base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "found.n_email", "found.n_ip", "found.n_card", "found.n_phone", base, "found.spans")
+
+
 # A text is of good quality from this score on.
 GOOD = 0.7
 
@@ -90,6 +98,7 @@ QUERIES = {
     "op5_shard": op5_shard,
     "op6_hidden_markov": op6_hidden_markov,
     "op7_nearest_vectors": op7_nearest_vectors,
+    "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
     "op10_chat_examples": op10_chat_examples,
 }

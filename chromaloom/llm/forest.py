@@ -24,15 +24,19 @@ BLOCK_ROWS = 100_000
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part: an id, the table's usual length, finite components, not all zero."""
+    """(id, vec) of the rows that can take part: an id, finite components, not all zero."""
     vec = F.col(vec_col).cast("array<double>")
     sound = F.coalesce(
         F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0),
         F.lit(False),
     )
-    kept = rows.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    lengths = kept.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return kept.where(F.size("vec") == (lengths[0]["n"] if lengths else 0))
+    return rows.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
+
+
+def usual_length(vectors: DataFrame) -> int:
+    """The most frequent length, the shorter one of a tie; 0 for an empty table."""
+    lengths = vectors.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    return lengths[0]["n"] if lengths else 0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -86,20 +90,20 @@ def nearest(
     holds more (vectors close together) is dealt into pieces by a hash of the id. Queries go to the pieces
     their prefix reaches. Each piece returns counts by level first, then its own k nearest.
     """
-    index = valid_vectors(rows, id_col, vec_col)
+    index, asked = valid_vectors(rows, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
+    width = usual_length(index)
+    index, asked = index.where(F.size("vec") == width), asked.where(F.size("vec") == width)
     copies = Window.partitionBy("vec").orderBy("id")
     index = materialise(index.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).drop("_copy"), "vectors")
     total = index.count()
-    asked = valid_vectors(queries, id_col, vec_col)
     if total == 0:
         return asked.selectExpr("id AS query_id", "1 AS rank", "id AS vec_id", "CAST(0 AS DOUBLE) AS score").where("false")
-    width = len(index.first()["vec"])
     mean = np.array(index.agg(*[F.avg(F.col("vec")[j]) for j in range(width)]).first(), dtype=np.float64)
     hashes = _hasher(mean, trees)
     lead = max(0, math.ceil(math.log2(total / block_rows)))
     block = F.shiftrightunsigned("hash", BITS - lead).alias("block")
     index = materialise(index.withColumn("hashes", hashes("vec")), "hashed")
-    asked = materialise(asked.where(F.size("vec") == width).withColumn("hashes", hashes("vec")), "hashed-queries")
+    asked = materialise(asked.withColumn("hashes", hashes("vec")), "hashed-queries")
     strings = index.select("id", "vec", F.posexplode("hashes").alias("tree", "hash")).select("*", block)
     wanted = asked.select(F.col("id").alias("query_id"), "vec", F.posexplode("hashes").alias("tree", "hash")).select("*", block)
 

@@ -67,7 +67,7 @@ class Features:
         near = np.flatnonzero(piece[1:] == piece[:-1])
         out.append((starts[near + 1], np.where(words[near + 1] == words[near], SAME, DIFFERENT).astype(np.int32)))
         for n in GRAMS:
-            size = len(data) - n + 1
+            size = max(len(data) - n + 1, 0)
             gram = np.zeros(size, np.uint64)
             for k in range(n):
                 gram = (gram << np.uint64(8)) | wide[k : k + size]

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from chromaloom.plans import catalog
 
 SF_DIR = os.environ.get("CHROMALOOM_PARITY_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -50,8 +51,9 @@ def test_query_equals_its_sql(spark, sql, name):
 def test_every_surveyed_operator_is_registered():
     sizes = {"a": 14, "k": 10, "b": 16, "j": 13, "d": 16, "w": 5, "f": 17, "g": 6, "p": 4, "u": 7}
     wanted = {f"{letter}{i}" for letter, n in sizes.items() for i in range(1, n + 1)}
-    assert {re.match(r"[a-z]\d+", name).group() for name in ALL} == wanted
-    assert set(entry_points.oracle_sql()) == set(ALL)
+    assert {re.match(r"[a-z]\d+", name).group() for name in catalog.QUERIES} == wanted
+    assert set(catalog.SQL) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(ALL) and set(entry_points.oracle_sql()) <= set(ALL)
 
 
 def test_entry_has_rows(spark):

@@ -28,10 +28,11 @@ def _ratio(covariance: Column, spread: Column, strict: bool) -> Column:
 
 
 def pearson(df: DataFrame, keys: Sequence[str] = ("accession",), strict: bool = False) -> DataFrame:
-    """Correlation per key, or over all rows at once with no keys."""
+    """Correlation per key, or over all rows at once with no keys; rows that lack a side do not count."""
+    y, y_hat = F.when(F.col("y_hat").isNotNull(), F.col("y")), F.when(F.col("y").isNotNull(), F.col("y_hat"))
     sums = df.groupBy(*keys).agg(
-        F.covar_pop("y_hat", "y").alias("_cov"),
-        (F.stddev_pop("y_hat") * F.stddev_pop("y")).alias("_spread"),
+        F.covar_pop(y_hat, y).alias("_cov"),
+        (F.stddev_pop(y_hat) * F.stddev_pop(y)).alias("_spread"),
     )
     return sums.select(*keys, _ratio(F.col("_cov"), F.col("_spread"), strict).alias("pearson"))
 
@@ -93,21 +94,32 @@ def _profile_sums(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def expression_similarity(
-    expr: DataFrame, test: DataFrame, train: DataFrame, genes_per_block: int = 1024
+    expr: DataFrame, test: DataFrame, train: DataFrame, genes_per_block: int = 1024, profiles_per_block: int = 1024
 ) -> DataFrame:
     """Pearson correlation of each test profile with each training profile over shared genes.
 
-    Genes are dealt into blocks of limited size; a block gives one row of sums per profile pair
-    by matrix products, and the sums are added up.
+    Genes and profiles are dealt into blocks of limited size; a block gives one row of sums per profile
+    pair by matrix products, and the sums are added up.
     """
     roles = test.select("accession", F.lit("test").alias("role")).unionByName(
         train.select("accession", F.lit("train").alias("role"))
     )
-    roles, _ = small_side(materialise(roles.distinct(), "roles"))
-    blocked = expr.join(roles, "accession").select(
-        F.floor(F.col("gene_idx") / genes_per_block).alias("block"), "gene_idx", "accession", "role", "y"
+    # A profile's mean is taken off first, as sums of squares of large values would cancel.
+    means = expr.groupBy("accession").agg(F.avg("y").alias("_mean")).join(F.broadcast(roles.distinct()), "accession")
+    means = materialise(means, "roles")
+    count = means.count()
+    chunks = max(1, -(-count // profiles_per_block))
+    means = means.withColumn("_chunk", F.pmod(F.xxhash64("accession"), F.lit(chunks)).cast("int"))
+    means, _ = small_side(means)
+    own, every = F.array("_chunk"), F.sequence(F.lit(0), F.lit(chunks - 1))
+    # A test profile meets every chunk of training profiles and the other way round.
+    placed = expr.join(means, "accession").select(
+        F.floor(F.col("gene_idx") / genes_per_block).alias("block"), "gene_idx", "accession", "role", (F.col("y") - F.col("_mean")).alias("y"),
+        F.explode(F.when(F.col("role") == "test", own).otherwise(every)).alias("test_chunk"), "_chunk",
     )
-    sums = blocked.groupBy("block").applyInPandas(
+    other = F.when(F.col("role") == "train", F.array("_chunk")).otherwise(every)
+    blocked = placed.withColumn("train_chunk", F.explode(other)).drop("_chunk")
+    sums = blocked.groupBy("block", "test_chunk", "train_chunk").applyInPandas(
         _profile_sums,
         "test string, train string, n double, sx double, sy double, sxx double, syy double, sxy double",
     )

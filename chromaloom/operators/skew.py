@@ -7,12 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.session import materialise, small_side
+from chromaloom.session import BROADCAST_ROWS, materialise, small_side
 
 # Keys with more rows than this are joined apart from the rest.
 HOT_ROWS = 1_000_000
-# Groups over which a full pairing is spread.
-SLOTS = 64
 
 
 def join_unique(
@@ -39,12 +37,19 @@ def join_unique(
     return rest.unionByName(salted_many.join(salted_one, [*on, "_salt"], how).drop("_salt"))
 
 
-def pair_all(few: DataFrame, many: DataFrame, order: str, slots: int = SLOTS) -> DataFrame:
+def pair_all(few: DataFrame, many: DataFrame, order: str, block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All pairs of two tables, which the result must hold by definition.
 
-    ``few`` is dealt over slots and ``many`` sent to each slot in use, so the pairing is an equi-join
-    spread over tasks rather than a nested loop.
+    ``few`` is written, counted, and broadcast whole or, beyond ``block_rows``, in blocks of about that many rows.
+    ``many`` stays where it is, so the pairs are made in as many tasks as it has, without a shuffle.
     """
-    dealt = few.withColumn("_slot", F.pmod(F.xxhash64(order), F.lit(slots)).cast("int"))
-    sent = many.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return dealt.join(sent, "_slot").drop("_slot")
+    few = materialise(few, "few")
+    blocks = max(1, -(-few.count() // block_rows))
+    dealt = few.withColumn("_block", F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int"))
+    pairs = None
+    for block in range(blocks):
+        # A key that the planner cannot fold keeps this a hash join.
+        own = F.broadcast(dealt.where(F.col("_block") == block))
+        met = own.join(many.withColumn("_block", F.pmod(F.xxhash64(*many.columns), F.lit(1)).cast("int") + block), "_block")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.drop("_block")

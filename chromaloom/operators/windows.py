@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions import names, numeric
 from chromaloom.operators import contacts, regions as region_ops, skew
-from chromaloom.session import materialise, small_side
+from chromaloom.session import BROADCAST_ROWS, materialise, small_side
 
 TILE = 64
+TILE_KEY = ["chrom", "row_tile", "col_tile"]
 # Cells carry the window's start bins; the text key is made once per window, after grouping.
 WINDOW = ["accession", "chrom", "rs", "cs"]
 
@@ -57,8 +58,8 @@ def _tiled(cells: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def _within(cells: DataFrame, tiles: DataFrame, height: int, width: int, tile: int) -> DataFrame:
-    joined = _tiled(cells, tile).join(tiles, ["chrom", "row_tile", "col_tile"])
+def _within(cells: DataFrame, tiles: DataFrame, height: int, width: int, tile: int, keys: list[str] = TILE_KEY) -> DataFrame:
+    joined = _tiled(cells, tile).join(tiles, keys)
     row, col = F.col("row") - F.col("rs"), F.col("col") - F.col("cs")
     inside = row.between(0, height - 1) & col.between(0, width - 1)
     return joined.where(inside).select(*WINDOW, row.alias("row"), col.alias("col"), "value", "flip")
@@ -77,19 +78,24 @@ def extract_windows(
 
 
 def extract_from_contacts(
-    kept: DataFrame, windows: DataFrame, height: int, width: int, tile: int = TILE
+    kept: DataFrame, windows: DataFrame, height: int, width: int, dims: DataFrame, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``symmetrise`` and ``extract_windows`` in one go.
 
-    With a broadcast window table the mirrored contacts outside every window are dropped before the
-    sum, so only what some window needs is shuffled.
+    The mirrored contacts outside every window are dropped before the sum in every plan, so only what some
+    window needs is shuffled; the tiles in use are broadcast if they are few, which overlapping windows
+    do not change. A window table too large to broadcast is joined by accession and tile (the accessions
+    of ``dims``), so a tile at the diagonal is no hot key of all accessions.
     """
-    tiles, is_small = small_side(materialise(window_tiles(windows, height, width, tile), "tiles"))
-    mirrored = contacts.mirror(kept)
+    tiles = materialise(window_tiles(windows, height, width, tile), "tiles")
+    wanted, _ = small_side(materialise(tiles.select(*TILE_KEY).distinct(), "tiles-in-use"), broadcast_rows)
+    mirrored = _tiled(contacts.mirror(kept), tile).join(wanted, TILE_KEY, "left_semi")
+    tiles, is_small = small_side(tiles, broadcast_rows)
+    cells = contacts.sum_cells(mirrored)
     if is_small:
-        wanted = F.broadcast(tiles.select("chrom", "row_tile", "col_tile").distinct())
-        mirrored = _tiled(mirrored, tile).join(wanted, ["chrom", "row_tile", "col_tile"], "left_semi")
-    return _within(contacts.sum_cells(mirrored), tiles, height, width, tile)
+        return _within(cells, tiles, height, width, tile)
+    owners, _ = small_side(dims.select("accession", "chrom").distinct())
+    return _within(cells, tiles.join(owners, "chrom"), height, width, tile, ["accession", *TILE_KEY])
 
 
 def strand_flip(cells: DataFrame, height: int, width: int) -> DataFrame:

@@ -377,7 +377,8 @@ def paired_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ft.target_pairs(spark, sf_dir, with_tokens=True)
     edited = ft.edited(spark, sf_dir, pairs)
-    scored = perturb.score_pairs(pairs, edited, ft.joint_model, HEIGHT, WIDTH, batch_size=16, dtype="float64", partitions=ft.tasks(spark))
+    spread = ft.tasks(spark, 2 * pairs.count())
+    scored = perturb.score_pairs(pairs, edited, ft.joint_model, HEIGHT, WIDTH, batch_size=16, dtype="float64", partitions=spread)
     return scored.select("accession", "target_idx", *[F.round(c, 6).alias(c) for c in ("y_orig", "y_pert", "delta")])
 
 
@@ -403,7 +404,8 @@ def _binned_encoder() -> Callable:
     ),
 )
 def embed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embedded = infer.embed_sequences(ft.tokens(spark, sf_dir, "fx_bed"), _binned_encoder, crop=4, batch_size=64, partitions=ft.tasks(spark))
+    spread = ft.tasks(spark, fixture(spark, sf_dir, "fx_bed").count())
+    embedded = infer.embed_sequences(ft.tokens(spark, sf_dir, "fx_bed"), _binned_encoder, crop=4, batch_size=64, partitions=spread)
     return ft.vector_view(embedded, "region_idx")
 
 
@@ -453,7 +455,7 @@ def embed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def predict_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ft.model_rows(spark, sf_dir)
-    preds = infer.predict(rows, ft.joint_model, ("bio_idx", "bedpe_idx"), "joint", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark))
+    preds = infer.predict(rows, ft.joint_model, ("bio_idx", "bedpe_idx"), "joint", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark, ft.item_count(spark, sf_dir)))
     return preds.select("bio_idx", "bedpe_idx", F.round(F.col("y")[0], 6).alias("y"))
 
 
@@ -467,7 +469,8 @@ def predict_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def predict_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ft.tokens(spark, sf_dir, "fx_bed")
-    preds = infer.predict(tokens, ft.sequence_model, ("region_idx",), "sequence", batch_size=64, dtype="float64", partitions=ft.tasks(spark))
+    spread = ft.tasks(spark, fixture(spark, sf_dir, "fx_bed").count())
+    preds = infer.predict(tokens, ft.sequence_model, ("region_idx",), "sequence", batch_size=64, dtype="float64", partitions=spread)
     rows = infer.per_biosample(preds)
     return rows.select("region_idx", F.col("bio_idx").cast("bigint").alias("bio_idx"), F.round("y_hat", 6).alias("y_hat"))
 
@@ -478,7 +481,7 @@ def predict_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def predict_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ft.assembled(spark, sf_dir)
-    preds = infer.predict(rows, ft.contact_model, ("bio_idx", "bedpe_idx"), "contact", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark))
+    preds = infer.predict(rows, ft.contact_model, ("bio_idx", "bedpe_idx"), "contact", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark, ft.item_count(spark, sf_dir)))
     return preds.select("bio_idx", "bedpe_idx", F.round(F.col("y")[0], 6).alias("y"))
 
 

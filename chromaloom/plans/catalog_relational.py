@@ -285,6 +285,18 @@ def perturbation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "j6_unknown_windows",
+    build(
+        """SELECT a.accession, t.target_idx, t.submat_key FROM fx_targets t CROSS JOIN (SELECT DISTINCT accession FROM keys) a
+        WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.accession = a.accession AND k.submat_key = t.submat_key)"""
+    ),
+)
+def unknown_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialise(ft.records(spark, sf_dir).select("accession", "submat_key"), "records")
+    return perturb.unknown_windows(fixture(spark, sf_dir, "fx_targets"), stored)
+
+
 @query(
     "j7_expected_fill",
     build(
@@ -346,7 +358,7 @@ def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j13_impute_from_nearest",
     build(
         """SELECT n.test AS accession, n.train AS source, l.gene_idx, round(l.y / 2, 6) + 0.0::DOUBLE AS y_hat FROM (
-             SELECT a.accession AS test, arg_max(b.accession, (b.r, b.accession)) AS train FROM (SELECT DISTINCT accession FROM labels_long WHERE accession IN (SELECT accession FROM fx_bio_split WHERE split = 'test')) a
+             SELECT a.accession AS test, arg_min(b.accession, (-b.r, b.accession)) AS train FROM (SELECT DISTINCT accession FROM labels_long WHERE accession IN (SELECT accession FROM fx_bio_split WHERE split = 'test')) a
              JOIN sims b ON a.accession = b.test GROUP BY a.accession) n
            JOIN labels_long l ON l.accession = n.train""",
         sims="""(SELECT t.accession AS test, r.accession, corr(t.y, r.y) AS r FROM labels_long t JOIN labels_long r ON t.gene_idx = r.gene_idx
@@ -521,6 +533,31 @@ def spearman_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.spearman(fixture(spark, sf_dir, "fx_scores"), ()).withColumn("spearman", F.round("spearman", 6))
 
 
+HALF_RANKED = RANKED.replace("FROM fx_scores", "FROM fx_half_scores WHERE y IS NOT NULL AND y_hat IS NOT NULL")
+
+
+@query("d13_pearson_incomplete", build("SELECT accession, round(corr(y_hat, y), 6) + 0.0::DOUBLE AS pearson FROM fx_half_scores GROUP BY accession"))
+def pearson_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pearson(fixture(spark, sf_dir, "fx_half_scores")).withColumn("pearson", F.round("pearson", 6))
+
+
+@query(
+    "d14_spearman_incomplete",
+    build("SELECT accession, round(corr(rh, ry), 6) + 0.0::DOUBLE AS spearman FROM half_ranked GROUP BY accession", half_ranked=HALF_RANKED),
+)
+def spearman_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.spearman(fixture(spark, sf_dir, "fx_half_scores")).withColumn("spearman", F.round("spearman", 6))
+
+
+@query(
+    "d14_mean_spearman",
+    build("SELECT round(avg(r), 6) + 0.0::DOUBLE AS mean_spearman FROM (SELECT corr(rh, ry) AS r FROM ranked GROUP BY accession)", ranked=RANKED),
+)
+def mean_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_key = metrics.spearman(fixture(spark, sf_dir, "fx_scores"))
+    return metrics.mean_score(per_key, "spearman").withColumn("mean_spearman", F.round("mean_spearman", 6))
+
+
 @query("d14_mean_scores", build("SELECT round(avg(r), 6) + 0.0::DOUBLE AS mean_pearson FROM (SELECT corr(y_hat, y) AS r FROM fx_scores GROUP BY accession)"))
 def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_key = metrics.pearson(fixture(spark, sf_dir, "fx_scores"))

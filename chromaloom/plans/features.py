@@ -46,8 +46,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_job(spark, sf_dir).cells
 
 
-def tasks(spark: SparkSession) -> int:
-    return spark.sparkContext.defaultParallelism
+# Model rows of one task; more tasks than cores come from more rows, fewer from none.
+TASK_ROWS = 4096
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many model rows: at least one a core, and one for every TASK_ROWS."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
+def item_count(spark: SparkSession, sf_dir: str) -> int:
+    return fixture(spark, sf_dir, "fx_regions").count() * fixture(spark, sf_dir, "fx_biosamples").count()
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +99,9 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> DataFrame:
-    """Targets of every window the store has, once per accession."""
+    """Every target once per accession; one whose window the store lacks is an error."""
     stored = materialise(records(spark, sf_dir), "records")
-    targets = fixture(spark, sf_dir, "fx_targets").join(stored.select("accession", "submat_key"), "submat_key")
+    targets = fixture(spark, sf_dir, "fx_known_targets")
     rows = tokens(spark, sf_dir, "fx_region_bed") if with_tokens else None
     return materialise(perturb.perturbation_pairs(targets, stored, rows), "pairs")
 
@@ -177,7 +186,7 @@ ATTRIBUTION_SQL = build(
 
 def attributions(spark: SparkSession, sf_dir: str, dtype: str = "float32") -> DataFrame:
     return infer.input_x_gradient(
-        model_rows(spark, sf_dir), joint_gradient, height=HEIGHT, width=WIDTH, batch_size=16, dtype=dtype, partitions=tasks(spark)
+        model_rows(spark, sf_dir), joint_gradient, height=HEIGHT, width=WIDTH, batch_size=16, dtype=dtype, partitions=tasks(spark, item_count(spark, sf_dir))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,15 +14,57 @@ from chromaloom.session import materialise
 
 @dataclass
 class WindowJob:
-    """Tables of the contacts-to-windows workflow."""
-
-    stats: DataFrame  # per chromosome, from a written table
-    dims: DataFrame  # accession, chrom, n_rows, n_cols of kept matrices
-    kept: DataFrame  # binned contacts of kept matrices, not mirrored
-    binned: DataFrame  # region rows with bins, key and flip
-    valid: DataFrame  # region rows per accession
-    cells: DataFrame  # window cells, flipped
-    totals: DataFrame  # accession, total_count
+    """Tables of the contacts-to-windows workflow, each made when it is first asked for."""
+
+    raw: DataFrame
+    bedpe: DataFrame
+    resolution: int
+    height: int
+    width: int
+
+    @cached_property
+    def cis(self) -> DataFrame:
+        return cis_contacts(self.raw, self.resolution)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """Per chromosome, from a written table."""
+        named = contacts.check_distinct_names(materialise(contacts.pair_stats(self.cis), "pair-stats"))
+        return contacts.prefix_names(named)
+
+    @cached_property
+    def dims(self) -> DataFrame:
+        """accession, chrom, n_rows, n_cols of kept matrices, a written table."""
+        sized = contacts.large_enough(contacts.dims_from_stats(contacts.nonzero_pairs(self.stats)), self.height, self.width)
+        return materialise(sized.select("accession", F.col("chrom1").alias("chrom"), "n_rows", "n_cols"), "dims")
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        """Binned contacts of kept matrices, not mirrored."""
+        pairs = self.dims.select("accession", F.col("chrom").alias("chrom1"), F.col("chrom").alias("chrom2"))
+        return contacts.keep_pairs(contacts.prefix_names(self.cis), pairs)
+
+    @cached_property
+    def binned(self) -> DataFrame:
+        """Region rows with bins, key and flip."""
+        return regions.window_regions(self.bedpe, self.resolution)
+
+    @cached_property
+    def valid(self) -> DataFrame:
+        """Region rows per accession."""
+        return regions.valid_regions(self.binned, self.dims)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Window cells, flipped."""
+        wanted = windows.distinct_windows(self.binned)
+        found = windows.extract_from_contacts(self.kept, wanted, self.height, self.width, self.dims)
+        return windows.strand_flip(found, self.height, self.width)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        """accession, total_count."""
+        return contacts.total_from_stats(contacts.nonzero_pairs(self.stats), self.height, self.width)
 
 
 def cis_contacts(raw: DataFrame, resolution: int) -> DataFrame:
@@ -35,32 +78,10 @@ def contact_windows(
 ) -> WindowJob:
     """All accessions in one job: the contacts are read twice, once for the statistics of each
     chromosome and once for the cells that some window needs."""
-    cis = cis_contacts(raw, resolution)
-    named = contacts.check_distinct_names(materialise(contacts.pair_stats(cis), "pair-stats"))
-    stats = contacts.prefix_names(named)
-    sized = contacts.large_enough(
-        contacts.dims_from_stats(contacts.nonzero_pairs(stats)), height, width
-    )
-    dims = materialise(
-        sized.select("accession", F.col("chrom1").alias("chrom"), "n_rows", "n_cols"), "dims"
-    )
-    kept = contacts.keep_pairs(
-        contacts.prefix_names(cis), dims.select("accession", F.col("chrom").alias("chrom1"), F.col("chrom").alias("chrom2"))
-    )
-    binned = regions.window_regions(bedpe, resolution)
-    wanted = windows.distinct_windows(binned)
-    cells = windows.strand_flip(
-        windows.extract_from_contacts(kept, wanted, height, width), height, width
-    )
-    return WindowJob(
-        stats=stats,
-        dims=dims,
-        kept=kept,
-        binned=binned,
-        valid=regions.valid_regions(binned, dims),
-        cells=cells,
-        totals=contacts.total_from_stats(contacts.nonzero_pairs(stats), height, width),
-    )
+    job = WindowJob(raw, bedpe, resolution, height, width)
+    # The statistics also refuse two spellings of one chromosome, which must not wait for a member that needs them.
+    _ = job.stats
+    return job
 
 
 def window_summary(job: WindowJob) -> DataFrame:

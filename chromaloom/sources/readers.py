@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,8 +131,8 @@ def organism_filter(pairs: DataFrame, organism: str = "human") -> DataFrame:
 def _indexed_csv(spark: SparkSession, path: str, index: str) -> DataFrame:
     """A CSV with header whose row order matters: numbered lines, parsed by position of the header."""
     rows = ordered_lines(spark, path, not_blank(), "line_idx")
-    header = rows.where("line_idx = 0").first().value
-    schema = ", ".join(f"`{name.strip()}` string" for name in header.split(","))
+    header = next(csv.reader([rows.where("line_idx = 0").first().value]))
+    schema = ", ".join(f"`{name.strip().replace('`', '``')}` string" for name in header)
     parsed = F.from_csv("value", F.lit(schema)).alias("r")
     return rows.where("line_idx > 0").select((F.col("line_idx") - 1).alias(index), parsed).select(index, "r.*")
 
@@ -142,8 +144,17 @@ def read_genes(spark: SparkSession, path: str) -> DataFrame:
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
     """Perturbation blocks in file order; columns besides the known ones stay text."""
     table = _indexed_csv(spark, path, "target_idx")
-    kinds = {"r0": "bigint", "r1": "bigint", "c0": "bigint", "c1": "bigint", "seq_row": "bigint", "Regulated": "int"}
-    return table.withColumns({c: F.col(c).cast(k) for c, k in kinds.items() if c in table.columns})
+    kinds = {"r0": "bigint", "r1": "bigint", "c0": "bigint", "c1": "bigint", "seq_row": "bigint"}
+    typed = {c: F.col(c).cast(k) for c, k in kinds.items() if c in table.columns}
+    if "Regulated" in table.columns:
+        typed["Regulated"] = zero_or_one(F.col("Regulated"))
+    return table.withColumns(typed)
+
+
+def zero_or_one(flag: Column) -> Column:
+    """A flag written as number or as true or false, as an integer."""
+    word = F.lower(F.trim(flag.cast("string")))
+    return F.when(word == "true", 1).when(word == "false", 0).otherwise(word.cast("int"))
 
 
 def check_k_median(table: DataFrame, length: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.functions import numeric
+from chromaloom.session import materialise
 
 
 def _replace_partitions(df: DataFrame, path: str, *by: str) -> None:
@@ -28,13 +29,19 @@ def write_windows(records: DataFrame, path: str) -> None:
     _replace_partitions(records, path, "accession")
 
 
-def write_invalid_bed(empty: DataFrame, path: str) -> bool:
-    """Chromosome and start bins of empty windows, one line per region row; nothing when there are none."""
-    if empty.isEmpty():
-        return False
-    rows = empty.repartitionByRange("accession", "bedpe_idx").sortWithinPartitions("accession", "bedpe_idx")
-    rows.select("accession", "chrom", "rs", "cs").write.mode("overwrite").partitionBy("accession").csv(path, sep="\t")
-    return True
+def write_invalid_bed(empty: DataFrame, path: str | None = None) -> int:
+    """Chromosome and start bins of empty windows, one line per region row, by accession; returns their number.
+
+    The windows are computed once. Lists of other accessions stay, an earlier list of the same accession is
+    replaced; without rows, or without a path, nothing is written.
+    """
+    rows = materialise(empty.select("accession", "bedpe_idx", "chrom", "rs", "cs"), "empty-windows")
+    count = rows.count()
+    if path and count:
+        ordered = rows.repartitionByRange("accession", "bedpe_idx").sortWithinPartitions("accession", "bedpe_idx")
+        lines = ordered.select("accession", "chrom", "rs", "cs").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        lines.partitionBy("accession").csv(path, sep="\t")
+    return count
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

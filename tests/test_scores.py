@@ -155,10 +155,11 @@ def test_hot_keys_join_like_any_other(spark, how):
     assert sorted(map(str, hot.collect())) == plain
 
 
-def test_pairing_is_complete(spark):
+@pytest.mark.parametrize("block_rows", [1000, 4])
+def test_pairing_is_complete(spark, block_rows):
     few = spark.createDataFrame([(i,) for i in range(9)], "b bigint")
     many = spark.createDataFrame([(i,) for i in range(11)], "m bigint")
-    pairs = skew.pair_all(few, many, "b", slots=4)
+    pairs = skew.pair_all(few, many, "b", block_rows)
     assert pairs.count() == 99 and pairs.distinct().count() == 99
     plan = pairs._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -168,3 +169,29 @@ def test_blocks_hold_values_in_order(spark):
     df = spark.createDataFrame([("x", i, float(i)) for i in reversed(range(10))], "k string, p bigint, v double")
     got = {r["first"]: r["values"] for r in ranks.vector_blocks(df, ["k"], "p", "v", 4).collect()}
     assert got == {0: [0.0, 1.0, 2.0, 3.0], 4: [4.0, 5.0, 6.0, 7.0], 8: [8.0, 9.0]}
+
+
+def test_scores_leave_out_rows_that_lack_a_side(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 1.0), ("a", 3.0, 4.0), ("a", None, 100.0), ("a", 50.0, None), ("b", None, 1.0)]
+    df = spark.createDataFrame(rows, "accession string, y double, y_hat double")
+    got = {r["accession"]: r["pearson"] for r in metrics.pearson(df).collect()}
+    assert got["a"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 1, 4])[0, 1]) and got["b"] is None
+
+
+@pytest.mark.parametrize("profiles", [1024, 1])
+def test_similarity_of_large_values_keeps_its_digits(spark, profiles):
+    rng = np.random.default_rng(2)
+    base = rng.random(40)
+    rows = [(name, g, 1e5 + scale * float(base[g])) for name, scale in (("t", 1e-4), ("u", 1e-4), ("v", -1e-4)) for g in range(40)]
+    expr = spark.createDataFrame(rows, "accession string, gene_idx bigint, y double")
+    test, train = (spark.createDataFrame([(n,) for n in names], "accession string") for names in (["t"], ["u", "v"]))
+    got = {r["train"]: r["similarity"] for r in metrics.expression_similarity(expr, test, train, 16, profiles).collect()}
+    assert got["u"] == pytest.approx(1, abs=1e-4) and got["v"] == pytest.approx(-1, abs=1e-4)
+
+
+def test_equal_similarities_go_to_the_first_name(spark):
+    rows = [(name, g, float(g)) for name in ("t", "y", "x") for g in range(4)]
+    expr = spark.createDataFrame(rows, "accession string, gene_idx bigint, y double")
+    test, train = (spark.createDataFrame([(n,) for n in names], "accession string") for names in (["t"], ["y", "x"]))
+    preds = expr.withColumnRenamed("y", "y_hat")
+    assert {r["source"] for r in metrics.impute_from_nearest(expr, preds, test, train).collect()} == {"x"}

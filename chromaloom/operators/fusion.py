@@ -24,9 +24,17 @@ def mean_pool(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame
     return df.groupBy(*keys).agg(vector_mean(vec).alias(vec))
 
 
-def seq_bins(flat: DataFrame, dim: int) -> DataFrame:
-    """Flat sequence vectors to one row per bin."""
+def _expected(bins: Column, expected: int) -> Column:
+    """The bins, or an error where an item has not exactly so many; read off the row, nothing is shuffled."""
+    message = F.concat(F.lit(f"expected {expected} bins, an item has "), F.size(bins).cast("string"))
+    return F.when(F.size(bins) != expected, F.raise_error(message)).otherwise(bins)
+
+
+def seq_bins(flat: DataFrame, dim: int, expected: int | None = None) -> DataFrame:
+    """Flat sequence vectors to one row per bin; with ``expected``, every item must have that many."""
     bins = arrays.reshape_bins(F.col("vec"), dim)
+    if expected is not None:
+        bins = _expected(bins, expected)
     return flat.select("m", F.posexplode(bins).alias("bin", "vec"))
 
 
@@ -193,3 +201,69 @@ def fused_features(
     if mode == "rows" and n_cols > n_rows:
         seq = pad_columns(seq, n_rows, n_cols)
     return fuse(hic, seq, scale)
+
+
+def _spans(n_rows: int, n_cols: int, ratio: int, mode: str) -> tuple[int, int]:
+    """Bins that an item must have, and the first bin of the row stream."""
+    if n_rows > n_cols:
+        raise ValueError("the grid must not have more rows than columns")
+    if mode == "rows":
+        return n_rows * ratio, 0
+    if mode != "cols":
+        raise ValueError(f"unknown mode {mode}")
+    surplus = (n_cols - n_rows) * ratio
+    if surplus % 2:
+        raise ValueError("(n_cols - n_rows) * ratio must be even")
+    return n_cols * ratio, surplus // 2
+
+
+def sequence_grids(
+    flat: DataFrame, dim: int, n_rows: int, n_cols: int, ratio: int, mode: str
+) -> DataFrame:
+    """(m, seq_grid): per item its cells row by row, aligned, pooled, added up and padded with zeros.
+
+    One row per item goes through from the flat vector to the grid; nothing is exploded or shuffled.
+    """
+    expected, first = _spans(n_rows, n_cols, ratio, mode)
+    width = n_cols if mode == "cols" else n_rows
+
+    def pooled(bins: Column, start: int, count: int) -> Column:
+        def mean(p: Column) -> Column:
+            run = F.slice(bins, p * ratio + start + 1, ratio)
+            total = F.aggregate(run, F.array_repeat(F.lit(0.0), dim), lambda acc, x: arrays.vector_sum(acc, x))
+            return F.transform(total, lambda x: x / ratio)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), mean)
+
+    left = (n_cols - width) // 2
+    blank = F.array_repeat(F.lit(0.0), dim)
+
+    def cells(rows: Column, cols: Column) -> Column:
+        def cell(i: Column) -> Column:
+            r, c = F.floor(i / n_cols).cast("int"), (i % n_cols) - left
+            made = arrays.vector_sum(F.get(rows, r), F.get(cols, c))
+            return F.when(c.between(0, width - 1), made).otherwise(blank)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n_rows * n_cols - 1)), cell)
+
+    bins = flat.select("m", _expected(arrays.reshape_bins(F.col("vec"), dim), expected).alias("bins"))
+    streams = bins.select("m", pooled(F.col("bins"), first, n_rows).alias("rows"), pooled(F.col("bins"), 0, width).alias("cols"))
+    return streams.select("m", cells(F.col("rows"), F.col("cols")).alias("seq_grid"))
+
+
+def fused_items(
+    hic: DataFrame, seq: DataFrame, dim: int, n_rows: int, n_cols: int, ratio: int, mode: str, scale: float = 1.0, norm: bool = False
+) -> DataFrame:
+    """(b, m, r, c, vec) from flat contact vectors (b, m, vec) and flat sequence vectors (m, vec).
+
+    The same as ``fused_features``, with both sides whole rows until their one join on the item.
+    """
+    grids = sequence_grids(seq, dim, n_rows, n_cols, ratio, mode)
+    cells = _expected(arrays.reshape_bins(F.col("vec"), dim), n_rows * n_cols)
+    both = hic.select("b", "m", cells.alias("hic_grid")).join(grids, "m")
+    rows = both.select("b", "m", F.posexplode(F.arrays_zip("hic_grid", "seq_grid")).alias("i", "cell"))
+    hic_vec, seq_vec = F.col("cell.hic_grid"), F.col("cell.seq_grid")
+    if norm:  # padding is zero before and after
+        hic_vec, seq_vec = arrays.layer_norm(hic_vec), arrays.layer_norm(seq_vec)
+    place = [F.floor(F.col("i") / n_cols).alias("r"), (F.col("i") % n_cols).cast("bigint").alias("c")]
+    return rows.select("b", "m", *place, arrays.add_scaled(hic_vec, seq_vec, scale).alias("vec"))

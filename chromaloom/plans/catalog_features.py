@@ -74,7 +74,7 @@ def nan_to_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     build("SELECT accession, submat_key, row, col, red, round(green, 6) + 0.0::DOUBLE AS green, round(green, 6) + 0.0::DOUBLE AS blue FROM rgb"),
 )
 def contact_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rgb = windows.with_key(image.contact_rgb(ft.cells(spark, sf_dir)))
+    rgb = image.packed_rgb(windows.pack_windows(ft.cells(spark, sf_dir), half=False), HEIGHT, WIDTH, ("accession", "submat_key"))
     return _pixel(rgb, F.col("red"), F.round("green", 6).alias("green"), F.round("blue", 6).alias("blue"))
 
 
@@ -211,7 +211,7 @@ ROWS_SUMMED = """(SELECT r.m, r.pos AS r, c.pos AS c, r.d, r.v + c.v AS v
 
 
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.check_bin_count(fusion.seq_bins(fixture(spark, sf_dir, "fx_emb"), 8), 8)
+    return fusion.seq_bins(fixture(spark, sf_dir, "fx_emb"), 8, expected=8)
 
 
 @query(
@@ -299,8 +299,30 @@ def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hic = fusion.grid_cells(fixture(spark, sf_dir, "fx_emb"), 4, 8)
-    return ft.grid_view(fusion.fused_features(hic, _bins(spark, sf_dir), 2, 4, 2, "cols", 0.5), "b", "m")
+    emb = fixture(spark, sf_dir, "fx_emb")
+    return ft.grid_view(fusion.fused_items(emb, emb.select("m", "vec"), 8, 2, 4, 2, "cols", 0.5), "b", "m")
+
+
+ROWS_NORMED = """(SELECT m, r, c, d, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5::DOUBLE) AS v FROM summed WINDOW w AS (PARTITION BY m, r, c))"""
+GRID_NORMED = """(SELECT b, m, r, c, d, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5::DOUBLE) AS v FROM grid WINDOW w AS (PARTITION BY b, m, r, c))"""
+
+
+@query(
+    "g6_fuse_rows_norm",
+    build(
+        """SELECT h.b, h.m, CAST(h.r AS BIGINT) AS r, CAST(h.c AS BIGINT) AS c, CAST(h.d AS BIGINT) AS d,
+           round(h.v + 0.5::DOUBLE * coalesce(s.v, 0.0::DOUBLE), 6) + 0.0::DOUBLE AS v
+        FROM grid_normed h LEFT JOIN rows_normed s ON h.m = s.m AND h.r = s.r AND h.c = s.c + 1 AND h.d = s.d""",
+        summed=ROWS_SUMMED,
+        rows_normed=ROWS_NORMED,
+        grid_normed=GRID_NORMED,
+    ),
+)
+def fuse_rows_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default path: bins span the rows, zero padding, both sides normalised."""
+    emb = fixture(spark, sf_dir, "fx_emb")
+    fused = fusion.fused_items(emb, emb.select("m", "vec"), 8, 2, 4, 4, "rows", 0.5, norm=True)
+    return ft.grid_view(fused, "b", "m")
 
 
 # Perturbation.
@@ -343,7 +365,7 @@ GRADED = """(SELECT b.*, s.is_empty, greatest(max(b.x) OVER (PARTITION BY b.vari
 )
 def paired_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ft.target_pairs(spark, sf_dir)
-    images = perturb.paired_images(perturb.original_cells(pairs, HEIGHT, WIDTH), ft.perturbed(spark, sf_dir, pairs))
+    images = perturb.paired_images(pairs, ft.edited(spark, sf_dir, pairs), HEIGHT, WIDTH)
     return images.select(
         "accession",
         "target_idx",

@@ -51,8 +51,8 @@ def test_blocks_are_half_open_and_filled_everywhere(spark, fill):
 
 def test_an_empty_original_blackens_its_edited_version(spark):
     pairs = perturb.perturbation_pairs(spark.createDataFrame(TARGETS, TARGET), records(spark))
-    edited = perturb.perturb(pairs, bands(spark), "k_expected", H, W, OFFSET, BANDS)
-    images = perturb.paired_images(perturb.original_cells(pairs, H, W), edited)
+    edited = perturb.perturb_records(pairs, perturb.expectation(bands(spark), BANDS), "k_expected", H, W, OFFSET)
+    images = perturb.paired_images(pairs, edited, H, W)
     black = (0 - 0.485) / 0.229
     rows = images.where("target_idx = 1").collect()
     assert rows and all(abs(r.red - black) < 1e-12 for r in rows)

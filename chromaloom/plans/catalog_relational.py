@@ -252,8 +252,9 @@ def rna_to_hic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j5_training_rows",
     build(
-        """SELECT h.b, h.m, round(CAST(h.vec[1] AS DOUBLE), 6) + 0.0::DOUBLE AS hic_first, round(CAST(s.vec[64] AS DOUBLE), 6) + 0.0::DOUBLE AS seq_last, y.y, w.w
-        FROM fx_emb h JOIN fx_emb s ON h.m = s.m JOIN fx_y y ON h.b = y.b AND h.m = y.m JOIN fx_weights w ON h.m = w.m"""
+        """SELECT h.b, h.m, CAST(d AS BIGINT) AS d, round(CAST(h.vec[d + 1] AS DOUBLE), 6) + 0.0::DOUBLE AS hic_v,
+           round(CAST(s.vec[d + 1] AS DOUBLE), 6) + 0.0::DOUBLE AS seq_v, y.y, w.w
+        FROM fx_emb h JOIN fx_emb s ON h.m = s.m JOIN fx_y y ON h.b = y.b AND h.m = y.m JOIN fx_weights w ON h.m = w.m, generate_series(0, 63) AS g(d)"""
     ),
 )
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,11 +262,13 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq, y = emb.select("m", "vec"), fixture(spark, sf_dir, "fx_y")
     fusion.check_training_shapes(emb, seq, y)
     rows = fusion.training_rows(emb, seq, y, fixture(spark, sf_dir, "fx_weights"))
-    return rows.select(
+    values = rows.select("b", "m", F.posexplode(F.arrays_zip("hic_vec", "seq_vec")).alias("d", "v"), "y", "w")
+    return values.select(
         "b",
         "m",
-        F.round(F.col("hic_vec")[0].cast("double"), 6).alias("hic_first"),
-        F.round(F.col("seq_vec")[63].cast("double"), 6).alias("seq_last"),
+        F.col("d").cast("bigint").alias("d"),
+        F.round(F.col("v.hic_vec").cast("double"), 6).alias("hic_v"),
+        F.round(F.col("v.seq_vec").cast("double"), 6).alias("seq_v"),
         "y",
         "w",
     )

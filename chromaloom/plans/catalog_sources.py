@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.operators import perturb
+from chromaloom.operators import infer, perturb
 from chromaloom.plans import features as ft
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import BANDS, CONTEXT, fixture, table
@@ -296,3 +296,35 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.pending(
         named(suppliers, "s_suppkey"), named(suppliers.where("s_acctbal < 0"), "s_suppkey"), named(available, "l_suppkey")
     )
+
+
+@query(
+    "k10_missing_inputs",
+    """SELECT 'ENCFF' || CAST(s_suppkey AS VARCHAR) AS accession FROM supplier
+    WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 4 <> 1)""",
+)
+def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accessions whose input was never delivered."""
+    def named(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.concat(F.lit("ENCFF"), F.col(key).cast("string")).alias("accession"))
+
+    delivered = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 <> 1")
+    return writers.missing_inputs(named(table(spark, sf_dir, "supplier"), "s_suppkey"), named(delivered, "l_suppkey"))
+
+
+@query(
+    "k7_write_sequence_predictions",
+    build(
+        f"""SELECT region_idx, CAST(b AS BIGINT) AS bio_idx, round({ft.SEQ_SQL} + b * (f0 + f1 + f2 + f3), 6) + 0.0::DOUBLE AS y_hat
+        FROM freq, generate_series(0, 2) AS g(b)""",
+        bed_source="fx_bed",
+    ),
+)
+def write_sequence_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence-only predictions in the order of a (biosamples, items) matrix."""
+    tokens, items = ft.tokens(spark, sf_dir, "fx_bed"), fixture(spark, sf_dir, "fx_bed").count()
+    preds = infer.predict(tokens, ft.sequence_model, ("region_idx",), "sequence", batch_size=64, dtype="float64", partitions=ft.tasks(spark, items))
+    path = scratch_path(spark, "sequence-predictions")
+    writers.write_predictions(infer.per_biosample(preds), path, ("bio_idx", "region_idx"))
+    stored = spark.read.parquet(path)
+    return stored.select("region_idx", F.col("bio_idx").cast("bigint").alias("bio_idx"), F.round("y_hat", 6).alias("y_hat"))

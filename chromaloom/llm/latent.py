@@ -128,61 +128,82 @@ def _vectors(hashed: np.ndarray, idf: np.ndarray, step: int) -> Iterator[tuple[i
         yield int(start), used, weight / np.sqrt((weight**2).sum())
 
 
-def _products(items: DataFrame, idf: np.ndarray, basis, gram: bool) -> np.ndarray:
-    """Over all passages A: A^T A basis (FEATURES x width), or (A basis)^T (A basis), summed over tasks."""
-    spark, width = items.sparkSession, RANK + EXTRA
-    if isinstance(basis, int):
-        packed = basis
-    else:  # only rows that a passage uses travel
-        used_rows = np.flatnonzero(basis.any(1))
-        packed = (used_rows, basis[used_rows])
-    held = shared(spark, (idf.astype(np.float32), packed))
+def _gaussian(features: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a fixed Gaussian matrix, each from its own number, so that only the rows in use exist."""
+    return np.array([np.random.default_rng([SEED, int(f)]).standard_normal(width) for f in features]).reshape(-1, width)
+
+
+class Rows:
+    """A matrix with few rows other than zero: their features in order, and their values."""
+
+    def __init__(self, features: np.ndarray, values: np.ndarray):
+        self.features, self.values = features, values
+
+    def at(self, features: np.ndarray) -> np.ndarray:
+        if not len(self.features):
+            return np.zeros((len(features), self.values.shape[1]))
+        place = np.minimum(np.searchsorted(self.features, features), len(self.features) - 1)
+        return np.where((self.features[place] == features)[:, None], self.values[place], 0.0)
+
+
+def _products(items: DataFrame, idf: np.ndarray, basis: Rows | None, gram: bool) -> Rows:
+    """Over all passages A: A^T A basis, or (A basis)^T (A basis), summed over tasks; no basis is a Gaussian one.
+
+    Tasks and driver hold the rows that some passage uses, no others.
+    """
+    width = RANK + EXTRA
+    held = shared(items.sparkSession, (idf.astype(np.float32), basis))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (weights, given) = Words(), held()
-        if isinstance(given, int):  # a seed stands for a Gaussian matrix
-            at = np.random.default_rng(given).standard_normal((FEATURES, width), np.float32)
-        else:
-            at = np.zeros((FEATURES, width), np.float32)
-            at[given[0]] = given[1]
-        out = np.zeros((width if gram else FEATURES, width))
         for batch in batches:
-            for hashed in words.of(batch.column(0).to_pylist()):
-                if len(hashed) < LEAST_WORDS:
-                    continue
-                for _, used, weight in _vectors(hashed, weights, ITEM_STEP):
-                    latent = weight @ at[used]
-                    if gram:
-                        out += np.outer(latent, latent)
-                    else:
-                        out[used] += np.outer(weight, latent)
-        used = np.flatnonzero(out.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(out[used, j]) for j in range(width)]], names)
+            passages = [
+                (used, weight)
+                for hashed in words.of(batch.column(0).to_pylist())
+                if len(hashed) >= LEAST_WORDS
+                for _, used, weight in _vectors(hashed, weights, ITEM_STEP)
+            ]
+            if not passages:
+                continue
+            features = np.unique(np.concatenate([used for used, _ in passages]))
+            at = _gaussian(features, width) if given is None else given.at(features)
+            out = np.zeros((width if gram else len(features), width))
+            for used, weight in passages:
+                rows = np.searchsorted(features, used)
+                latent = weight @ at[rows]
+                if gram:
+                    out += np.outer(latent, latent)
+                else:
+                    out[rows] += np.outer(weight, latent)
+            keys = np.arange(width) if gram else features
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(out[:, j]) for j in range(width)]], names)
 
     names = ["row", *[f"c{j}" for j in range(width)]]
     partial = items.select("text").mapInArrow(multiply, "row long, " + ", ".join(f"{n} double" for n in names[1:]))
-    summed = partial.groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]]).toArrow()
-    out = np.zeros((width if gram else FEATURES, width))
-    out[summed["row"].to_numpy()] = np.column_stack([summed[n].to_numpy() for n in names[1:]]) if summed.num_rows else 0
-    return out
+    summed = partial.groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]]).toArrow().sort_by("row")
+    values = np.empty((summed.num_rows, width))
+    for j, name in enumerate(names[1:]):
+        values[:, j] = summed[name].to_numpy()
+    return Rows(summed["row"].to_numpy(), values)
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """FEATURES x RANK: the leading right singular vectors of all benchmark passages.
+def latent_basis(items: DataFrame, idf: np.ndarray) -> Rows:
+    """RANK columns: the leading right singular vectors of all benchmark passages.
 
     Random projection, one power step and Rayleigh-Ritz: three jobs that sum small products over tasks. The
     driver holds FEATURES x (RANK + EXTRA) numbers at most, however large the benchmark is.
     """
-    basis: object = SEED
+    basis = None
     for _ in range(2):
         product = _products(items, idf, basis, gram=False)
-        used = np.flatnonzero(product.any(1))
-        basis = np.zeros_like(product)
-        if len(used):
-            q = np.linalg.qr(product[used])[0]
-            basis[used, : q.shape[1]] = q
-    _, turned = np.linalg.eigh(_products(items, idf, basis, gram=True))
-    return (basis @ turned[:, ::-1][:, :RANK]).astype(np.float32)
+        q = np.linalg.qr(product.values)[0]
+        basis = Rows(product.features, np.zeros_like(product.values))
+        basis.values[:, : q.shape[1]] = q
+    gram = _products(items, idf, basis, gram=True).values
+    if not len(gram):
+        return Rows(basis.features, np.zeros((0, RANK)))
+    _, turned = np.linalg.eigh(gram)
+    return Rows(basis.features, basis.values @ turned[:, ::-1][:, :RANK])
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -201,7 +222,7 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 class Index:
     """A block of benchmark items: their words, answers and latent passages, and what documents need to meet them."""
 
-    def __init__(self, rows: list[tuple[int, str, str | None]], idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str, str | None]], idf: np.ndarray, basis: Rows):
         self.idf = idf
         words = Words()
         self.ids, self.words, self.answers = [], [], []
@@ -214,7 +235,7 @@ class Index:
                 continue
             known[(hashed & np.uint64(FEATURES - 1)).astype(np.int64)] = True
             for start, used, weight in _vectors(hashed, idf, ITEM_STEP):
-                z = weight @ basis[used]
+                z = weight @ basis.at(used)
                 size = (z**2).sum()
                 if size > 0:
                     # A passage's own product with this is 1, whatever part of it the latent space keeps.
@@ -228,7 +249,7 @@ class Index:
         used = np.flatnonzero(known)
         self.row[used] = np.arange(len(used))
         # The last row stands for words that no item has.
-        self.basis = np.vstack([basis[used] * idf[used, None], np.zeros((1, RANK))]).astype(np.float32)
+        self.basis = np.vstack([basis.at(used) * idf[used, None], np.zeros((1, RANK))]).astype(np.float32)
         self.latent = np.array(latent, np.float32).reshape(-1, RANK)
         self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
 

@@ -45,9 +45,8 @@ def test_basis_spans_the_passages(spark):
     basis = latent.latent_basis(items, idf)
     for hashed in latent.Words().of(texts):
         for _, used, weight in latent._vectors(hashed, idf, latent.ITEM_STEP):
-            assert np.linalg.norm(weight @ basis[used]) == pytest.approx(1, abs=1e-3)
-    used = np.flatnonzero(basis.any(1))
-    gram = basis[used].T @ basis[used]
+            assert np.linalg.norm(weight @ basis.at(used)) == pytest.approx(1, abs=1e-3)
+    gram = basis.values.T @ basis.values
     strong = np.diag(gram) > 0.5
     assert np.allclose(gram[np.ix_(strong, strong)], np.eye(strong.sum()), atol=1e-3)
 

@@ -220,17 +220,26 @@ class Model:
         self.counts, self.vocabulary, self.chain = counts, vocabulary, chain
 
 
+def _least_known(words: DataFrame) -> int:
+    """The count from which on words are at most KNOWN_WORDS, from the number of words of each count."""
+    sizes = words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("c", "descending")])
+    fitting = np.flatnonzero(np.cumsum(sizes["n"].to_numpy()) <= KNOWN_WORDS)
+    return int(sizes["c"][int(fitting[-1])].as_py()) if len(fitting) else np.iinfo(np.int64).max
+
+
 def fit(docs: DataFrame, text_col: str = "text", states: int = STATES) -> Model:
     """Word counts over all ``docs`` and a chain trained on them.
 
-    Counts and the full rounds go over all rows. The driver holds the KNOWN_WORDS most frequent words (ties by
-    word) and the chain, (SYMBOLS + 2) x states numbers. Without rows the chain is uniform over end and other.
+    Counts and the full rounds go over all rows. The driver holds the most frequent words, at most KNOWN_WORDS
+    (words of one count all or none), and the chain, (SYMBOLS + 2) x states numbers. Words are picked by a least
+    count, so no task has to order them all. Without rows the chain is uniform over end and other.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = materialise(count_words(texts), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    known = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).toArrow()
+    words = counts.where(F.col("word") != END)
+    known = words.where(F.col("c") >= _least_known(words)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     vocabulary = Vocabulary(known["word"].to_pylist(), known["c"].to_numpy(), total, distinct, ends)
     chain = Chain.first(vocabulary.symbol_counts(), states)
     if ends:

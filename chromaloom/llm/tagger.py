@@ -22,8 +22,8 @@ KINDS = ("email", "ip", "card", "phone")
 HIDDEN = 8
 # Characters of a window, and those at either end whose tags a neighbouring window decides.
 WINDOW, MARGIN = 160, 16
-# Windows read in lockstep.
-LANES = 1024
+# Windows read in lockstep, and how many such sets of texts are laid out together.
+LANES, GROUP = 1024, 8
 # The network is fitted on windows of about so many documents, chosen by a hash, and on so many a kind.
 FIT_DOCS, FIT_WINDOWS, FIT_LENGTH = 6000, 300, 80
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.02, 13
@@ -201,17 +201,9 @@ class Network:
         back = np.empty((steps, N_TAGS, lanes), np.int8)
         best = scores[0]
         for t in range(1, steps):
-            nxt = np.empty_like(best)
-            for j in range(N_TAGS):
-                top = best[0] + step[0, j]
-                back[t, j] = 0
-                for i in range(1, N_TAGS):
-                    other = best[i] + step[i, j]
-                    back[t, j][other > top] = i
-                    np.maximum(top, other, out=top)
-                nxt[j] = top
-            nxt += scores[t]
-            best = nxt
+            ways = best[:, None] + step[:, :, None]
+            back[t] = ways.argmax(0)
+            best = ways.max(0) + scores[t]
         tags = np.empty((steps, lanes), np.int8)
         tags[-1] = best.argmax(0)
         every = np.arange(lanes)
@@ -427,7 +419,7 @@ def spans_column(spark: SparkSession, tagger: Tagger | None, text_col: str = "te
         rows, first = [], 0
         while first < len(texts):
             size, end = 0, first
-            while end < len(texts) and (end == first or size + len(texts[end]) < LANES * WINDOW):
+            while end < len(texts) and (end == first or size + len(texts[end]) < GROUP * LANES * WINDOW):
                 size += len(texts[end])
                 end += 1
             part = texts[first:end]

@@ -23,9 +23,7 @@ from chromaloom.llm.common import arrow_column, shared
 FEATURES, RANK, EXTRA, SEED = 1 << 17, 128, 8, 3
 # Words of a passage; items are cut densely, documents at every half passage.
 PASSAGE, ITEM_STEP, DOC_STEP = 16, 4, 8
-# A window can be near a passage only if the benchmark's words carry this share of its squared weight: the
-# squared cosine in word space is no larger.
-COVER, COSINE = 0.5, 0.5
+COSINE = 0.5
 # Shares of an item's words found in order: enough alone, or enough together with this share of the answer's.
 LCS_SURE, LCS_LIKELY, ANSWER = 0.7, 0.45, 0.8
 # Shorter items cannot be told from ordinary text and are not searched.
@@ -112,9 +110,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
     return int(out[FEATURES]), out[:FEATURES]
 
 
-def _cut(length: int, step: int) -> np.ndarray:
+def _cut(length: int, step: int, width: int = PASSAGE) -> np.ndarray:
     """Starts of the passages of a text; the last one ends with the text."""
-    last = max(length - PASSAGE, 0)
+    last = max(length - width, 0)
     starts = np.arange(0, last + 1, step)
     return starts if starts[-1] == last else np.append(starts, last)
 
@@ -245,6 +243,16 @@ class Index:
             self.ids.append(item)
             self.words.append(hashed)
             self.answers.append(answer)
+        lengths = np.array([len(hashed) for hashed in self.words], np.int64)[np.array(owner, np.int64)] if owner else np.zeros(0, np.int64)
+        # (window, step, passages, their words): all by windows of a passage, and items shorter than a passage also
+        # by windows of their own length at every word, so that a whole item fills one.
+        self.searches = [(PASSAGE, DOC_STEP, np.arange(len(owner)), known)]
+        for width in np.unique(lengths[lengths < PASSAGE]).tolist():
+            own = np.zeros(FEATURES, bool)
+            for hashed in self.words:
+                if len(hashed) == width:
+                    own[(hashed & np.uint64(FEATURES - 1)).astype(np.int64)] = True
+            self.searches.append((width, 1, np.flatnonzero(lengths == width), own))
         self.row = np.full(FEATURES, -1, np.int32)
         used = np.flatnonzero(known)
         self.row[used] = np.arange(len(used))
@@ -258,32 +266,43 @@ class Index:
         sizes = np.array([len(hashed) for hashed in texts])
         firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         feature = (np.concatenate(texts) & np.uint64(FEATURES - 1)).astype(np.int64)
-        cuts = [_cut(n, DOC_STEP) if n else np.zeros(0, np.int64) for n in sizes]
-        text = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
-        starts = np.concatenate(cuts) + firsts[text]
-        ends = np.minimum(starts + PASSAGE, (firsts + sizes)[text])
-        row = self.row[feature]
-        squares = self.idf[feature] ** 2
-        sums = np.zeros((2, len(feature) + 1))
-        np.cumsum(squares, out=sums[0, 1:])
-        np.cumsum(np.where(row >= 0, squares, 0.0), out=sums[1, 1:])
-        whole, own = sums[:, ends] - sums[:, starts]
-        kept = np.flatnonzero(own >= COVER * whole)
+        row, squares = self.row[feature], self.idf[feature] ** 2
         found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for k in range(0, len(kept), 1024):
-            some = kept[k : k + 1024]
-            at = starts[some, None] + np.arange(PASSAGE)
-            real = at < ends[some, None]
-            at = np.minimum(at, len(feature) - 1)
-            here = np.where(real, feature[at], -1)
-            times = (here[:, :, None] == here[:, None, :]).sum(2)
-            norm = np.sqrt((np.where(real, squares[at], 0.0) * times).sum(1))
-            used = np.where(real & (row[at] >= 0), row[at], len(self.basis) - 1)
-            z = self.basis[used].sum(1)
-            near = (z @ self.latent.T) / norm[:, None]
-            for i, p in zip(*np.nonzero(near >= COSINE)):
-                place = int(starts[some[i]] - firsts[text[some[i]]] - self.offset[p])
-                found.setdefault((int(text[some[i]]), int(self.owner[p])), []).append((float(near[i, p]), place))
+        for width, step, passages, known in self.searches:
+            cuts = [_cut(n, step, width) if n else np.zeros(0, np.int64) for n in sizes]
+            text = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+            starts = np.concatenate(cuts) + firsts[text]
+            ends = np.minimum(starts + width, (firsts + sizes)[text])
+            mine, latent = known[feature], self.latent[passages]
+            # No cosine exceeds the size of the window's part over that of the passage's: of what the bounds below
+            # pass over, none is near.
+            least = 0.999 * COSINE**2 / (latent.astype(np.float64) ** 2).sum(1).max()
+            sums = np.zeros((3, len(feature) + 1))
+            np.cumsum(squares, out=sums[0, 1:])
+            np.cumsum(np.where(mine, squares, 0.0), out=sums[1, 1:])
+            np.cumsum(mine, out=sums[2, 1:])
+            whole, own, count = sums[:, ends] - sums[:, starts]
+            # A word's weight grows with its repeats, of which there are no more than known words.
+            kept = np.flatnonzero((count > 0.5) & (count * own >= least * whole))
+            for k in range(0, len(kept), 1024):
+                some = kept[k : k + 1024]
+                at = starts[some, None] + np.arange(width)
+                real = at < ends[some, None]
+                at = np.minimum(at, len(feature) - 1)
+                here = np.where(real, feature[at], -1)
+                weight = np.where(real, squares[at], 0.0) * (here[:, :, None] == here[:, None, :]).sum(2)
+                square = weight.sum(1)
+                close = np.where(mine[at], weight, 0.0).sum(1) >= least * square
+                some, at, real, square = some[close], at[close], real[close], square[close]
+                used = np.where(real & (row[at] >= 0), row[at], len(self.basis) - 1)
+                z = self.basis[used].sum(1)
+                close = (z**2).sum(1) >= least * square
+                some, z, norm = some[close], z[close], np.sqrt(square[close])
+                near = (z @ latent.T) / norm[:, None]
+                for i, p in zip(*np.nonzero(near >= COSINE)):
+                    passage = passages[p]
+                    place = int(starts[some[i]] - firsts[text[some[i]]] - self.offset[passage])
+                    found.setdefault((int(text[some[i]]), int(self.owner[passage])), []).append((float(near[i, p]), place))
         return found
 
     def leaks(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int, int, float]]]:

@@ -120,3 +120,39 @@ def test_query_equals_exact_runs_of_words(spark):
             if any(tuple(own_words[j : j + 5]) in runs for j in range(len(own_words) - 4)):
                 touched.add((doc, item))
     assert whole <= got <= touched and whole
+
+
+def found_in(spark, docs, items):
+    frame, benchmark = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    column = latent.leak_column(spark, latent.fit(frame, benchmark))
+    leaks = frame.select("doc_id", latent.F.explode(column).alias("l")).select("doc_id", "l.item_id").collect()
+    return {tuple(r) for r in leaks}
+
+
+def rare(rng, n):
+    return " ".join("".join(rng.choice("bcdfghjkmpqvwxyz") for _ in range(12)) for _ in range(n))
+
+
+def test_whole_short_items_are_found_between_rare_words(spark):
+    rng = random.Random(4)
+    common = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(120)]
+    items = [(k, " ".join(rng.sample(common, 5 + k % 11))) for k in range(66)]
+    plain = [(k, " ".join(rng.sample(common, 40))) for k in range(40)]
+    docs = [(100 + k, f"{rare(rng, 17 + k)} {text} {rare(rng, 30 - k % 9)}") for k, text in items]
+    got = found_in(spark, plain + docs, items)
+    assert {(100 + k, k) for k, _ in items} <= got
+
+
+def test_paraphrases_with_rare_words_are_found(spark):
+    """Twelve of sixteen words kept in order: under half of the squared weight, a cosine of over a half."""
+    rng = random.Random(5)
+    common = ["".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(120)]
+    items = [(k, " ".join(rng.sample(common, 16))) for k in range(8)]
+    plain = [(k, " ".join(rng.sample(common, 40))) for k in range(90)]
+    docs = []
+    for k, text in items:
+        words = text.split()
+        for j in (2, 6, 9, 13):
+            words[j] = rare(rng, 1)
+        docs.append((100 + k, f"{rare(rng, 16)} {' '.join(words)} {rare(rng, 16)}"))
+    assert {(100 + k, k) for k, _ in items} <= found_in(spark, plain + docs, items)

@@ -5,11 +5,14 @@ distributed randomised SVD gives their latent space; windows of the documents ar
 compared by cosine. Candidates are checked by the longest common subsequence with the item around the place
 found, and near misses also by the item's answer, so paraphrases count and chance likeness does not.
 
-Words are runs of letters, digits and non-ASCII characters in lower case, known by a 64-bit hash.
+Words are runs of letters, digits and non-ASCII characters in lower case, known by a 64-bit hash. In scripts
+written without blanks, words are the pairs of neighbouring characters.
 """
 
 from __future__ import annotations
 
+import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,23 @@ LEAST_WORDS = 5
 BLOCK_ITEMS = 20_000
 CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+# Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, Han, kana and bopomofo.
+_UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f"
+    "\u3031-\u303c\u3040-\u30fa\u30fc-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+"
+)
+# General, ideographic and full-width punctuation.
+_MARKS = re.compile("[\u2010-\u2027\u2030-\u205e\u3000-\u3004\u3008-\u3020\u3030\u30fb\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+
+
+def _pairs(run: re.Match) -> str:
+    text = run.group()
+    return f" {' '.join(map(operator.add, text, text[1:])) or text} "
+
+
+def _spaced(text: str) -> str:
+    """Runs of an unspaced script as their pairs of neighbouring characters."""
+    return text if text.isascii() else _UNSPACED.sub(_pairs, _MARKS.sub(" ", text))
 
 
 class Words:
@@ -61,7 +81,7 @@ class Words:
         waiting: list[bytes] = []
         held = 0
         for text in texts:
-            data = b" " + (text or "").lower().encode("utf-8", "replace") + b" "
+            data = b" " + _spaced((text or "").lower()).encode("utf-8", "replace") + b" "
             if held + len(data) > CHUNK and waiting:
                 yield from self._together(waiting)
                 waiting, held = [], 0
@@ -341,8 +361,8 @@ def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
 
 def last_sentence(text: str | None) -> str:
     """What follows the last sentence end inside a text: an item's answer where none is given."""
-    body = (text or "").rstrip(" .!?\n\t")
-    return body[max(body.rfind(mark) for mark in ".!?\n") + 1 :]
+    body = (text or "").rstrip(" .!?\n\t。！？")
+    return body[max(body.rfind(mark) for mark in ".!?\n。！？") + 1 :]
 
 
 def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", answer_col: str | None = None) -> list[Index]:

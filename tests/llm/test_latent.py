@@ -156,3 +156,19 @@ def test_paraphrases_with_rare_words_are_found(spark):
             words[j] = rare(rng, 1)
         docs.append((100 + k, f"{rare(rng, 16)} {' '.join(words)} {rare(rng, 16)}"))
     assert {(100 + k, k) for k, _ in items} <= found_in(spark, plain + docs, items)
+
+
+def test_items_of_unspaced_scripts_are_found_inside_longer_text(spark):
+    rng = random.Random(6)
+    say = lambda first, last, n: "".join(chr(rng.randint(first, last)) for _ in range(n))
+    scripts = [(0x4E00, 0x9FA0), (0x3041, 0x3090), (0x0E01, 0x0E2E)]
+    items = [(10 * j + k, say(*script, 6 + 7 * k)) for j, script in enumerate(scripts) for k in range(6)]
+    docs = [(100 + item, say(*scripts[item // 10], 40) + text + say(*scripts[item // 10], 23)) for item, text in items]
+    clean = [(j, say(*script, 200)) for j, script in enumerate(scripts)]
+    assert found_in(spark, docs + clean, items) == {(100 + item, item) for item, _ in items}
+
+
+def test_words_of_unspaced_scripts_are_pairs_of_characters():
+    count = lambda text: len(next(latent.Words().of([text])))
+    assert [count(t) for t in ("数据集很大", "数据，很大。", "用Python写", "ＡＢ", "Ελλάδα über", "한국어 문장")] == [4, 2, 3, 1, 2, 2]
+    assert latent.last_sentence("问题是什么？答案很长。") == "答案很长"

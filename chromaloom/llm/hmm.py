@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from chromaloom.llm.common import arrow_column, shared
 from chromaloom.session import materialise
 
-STATES, SYMBOLS = 8, 4096
+STATES = 8
 # Words whose counts every task knows; the counts of all others are joined by a shuffle.
 KNOWN_WORDS = 200_000
-# Rounds on about so many documents come before the rounds on all of them.
-WARM_ROUNDS, WARM_DOCS, FULL_ROUNDS = 6, 2000, 1
+SYMBOLS = 4096
+# Rounds before the last ones, and the last ones, each on all documents.
+WARM_ROUNDS, FULL_ROUNDS = 6, 1
 SEED, PRIOR = 5, 0.5
 # Tokens whose state probabilities are held at a time, and distinct words counted before they are passed on.
 GROUP_TOKENS, FLUSH_WORDS = 1 << 20, 1 << 18
@@ -205,13 +206,16 @@ def _reestimate(docs: DataFrame, vocabulary: Vocabulary, chain: Chain) -> Chain:
 
     columns = [f"s{k}" for k in range(states)]
     partial = docs.select("text").mapInArrow(expect, "row int, " + ", ".join(f"{c} double" for c in columns))
-    summed = partial.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).collect()
+    summed = partial.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
     rows = np.zeros((1 + states + width, states))
-    for row in summed:
-        rows[row["row"]] = row[1:]
+    for k, column in enumerate(columns):
+        rows[summed["row"].to_numpy(), k] = summed[column].to_numpy()
     start, step, emit = rows[0] + PRIOR, rows[1 : 1 + states] + PRIOR, rows[1 + states :]
-    counts = vocabulary.symbol_counts() + PRIOR
-    emit = emit + PRIOR * states * (counts / counts.sum())[:, None]
+    # One more occurrence of every word, dealt over the states as all words are: one state alone is the add-one model.
+    more = np.ones(width)
+    more[vocabulary.other] += max(vocabulary.other_distinct, 0)
+    share = emit.sum(0) + PRIOR
+    emit = emit + more[:, None] * (share / share.sum())
     return Chain(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
@@ -230,7 +234,7 @@ def _least_known(words: DataFrame) -> int:
 def fit(docs: DataFrame, text_col: str = "text", states: int = STATES) -> Model:
     """Word counts over all ``docs`` and a chain trained on them.
 
-    Counts and the full rounds go over all rows. The driver holds the most frequent words, at most KNOWN_WORDS
+    Counts and every round go over all rows. The driver holds the most frequent words, at most KNOWN_WORDS
     (words of one count all or none), and the chain, (SYMBOLS + 2) x states numbers. Words are picked by a least
     count, so no task has to order them all. Without rows the chain is uniform over end and other.
     """
@@ -243,11 +247,7 @@ def fit(docs: DataFrame, text_col: str = "text", states: int = STATES) -> Model:
     vocabulary = Vocabulary(known["word"].to_pylist(), known["c"].to_numpy(), total, distinct, ends)
     chain = Chain.first(vocabulary.symbol_counts(), states)
     if ends:
-        place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-        sample = materialise(texts.where(place < min(1.0, WARM_DOCS / ends)), "warm-up")
-        for _ in range(WARM_ROUNDS):
-            chain = _reestimate(sample, vocabulary, chain)
-        for _ in range(FULL_ROUNDS):
+        for _ in range(WARM_ROUNDS + FULL_ROUNDS):
             chain = _reestimate(texts, vocabulary, chain)
     return Model(counts, vocabulary, chain)
 

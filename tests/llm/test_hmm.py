@@ -107,3 +107,31 @@ def test_query(spark):
         assert got.loc[k, "base_score"] == pytest.approx(want) and got.loc[k, "held_out"] == (fold(k, 7) == 2)
     held = got[got["held_out"]]
     assert held["score"].sum() > held["base_score"].sum()
+
+
+def test_every_round_sees_every_document(spark, monkeypatch):
+    """The chain of a table of many documents is that of plain rounds over all of them."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], rng.integers(1, 5))) for _ in range(5000)]
+    monkeypatch.setattr(hmm, "WARM_ROUNDS", 2)
+    model = hmm.fit(documents(spark, list(enumerate(texts))).repartition(3), states=3)
+    own = model.vocabulary
+    counts = own.symbol_counts()
+    chain = hmm.Chain.first(own.symbol_counts(), 3)
+    seen = [own.reader()(text.encode())[0] for text in texts]
+    for _ in range(3):
+        sums = np.zeros(3), np.zeros((3, 3)), np.zeros((len(counts), 3))
+        chain.expectations(seen, sums)
+        share = sums[2].sum(0) + hmm.PRIOR
+        start, step, emit = sums[0] + hmm.PRIOR, sums[1] + hmm.PRIOR, sums[2] + share / share.sum()
+        chain = hmm.Chain(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
+    assert np.allclose(model.chain.start, chain.start) and np.allclose(model.chain.step, chain.step)
+    assert np.allclose(model.chain.emit, chain.emit)
+
+
+def test_one_state_is_the_add_one_model(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "KNOWN_WORDS", 3)
+    docs = documents(spark, [(0, "a a a b b c d e"), (1, "c c b unseen f")])
+    got = hmm.score(docs, hmm.fit(docs.where("doc_id = 0"), states=1)).collect()
+    steps = {r["doc_id"]: r["score"] - r["base_score"] for r in got}
+    assert steps == pytest.approx({0: 0.0, 1: 0.0})

@@ -1,6 +1,6 @@
 """Hidden Markov language model: Baum-Welch over partitions, exact likelihood by the scaled forward recursion.
 
-The symbols of the chain are the most frequent words, the end of a text, and one symbol for all other words;
+The symbols of the chain are the words that tasks know, the end of a text, and one symbol for all other words;
 a word behind that symbol has its add-one share of all such words' occurrences. The probability of a text is
 thus that of its symbols times that of the words behind the common symbol, and it sums to one over all texts
 (all unknown words together count as one word).
@@ -24,7 +24,8 @@ from chromaloom.session import materialise
 STATES = 8
 # Words whose counts every task knows; the counts of all others are joined by a shuffle.
 KNOWN_WORDS = 200_000
-SYMBOLS = 4096
+# Known words with emissions of their own: all of them.
+SYMBOLS = KNOWN_WORDS
 # Rounds before the last ones, and the last ones, each on all documents.
 WARM_ROUNDS, FULL_ROUNDS = 6, 1
 SEED, PRIOR = 5, 0.5

@@ -129,6 +129,12 @@ def test_every_round_sees_every_document(spark, monkeypatch):
     assert np.allclose(model.chain.emit, chain.emit)
 
 
+def test_all_known_words_have_emissions_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "WARM_ROUNDS", 0)
+    model = hmm.fit(documents(spark, [(0, " ".join(f"w{k}" for k in range(6000)))]))
+    assert model.vocabulary.symbols == 6000 and model.chain.emit.shape == (6002, hmm.STATES)
+
+
 def test_one_state_is_the_add_one_model(spark, monkeypatch):
     monkeypatch.setattr(hmm, "KNOWN_WORDS", 3)
     docs = documents(spark, [(0, "a a a b b c d e"), (1, "c c b unseen f")])

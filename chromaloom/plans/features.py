@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.operators import contacts, infer, labels, perturb, sequence, windows
+from chromaloom.operators import contacts, infer, labels, perturb, sequence, skew, windows
 from chromaloom.plans import pipelines
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import BANDS, CONTEXT, HEIGHT, OFFSET, RESOLUTION, WIDTH, fixture
@@ -99,9 +99,12 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> DataFrame:
-    """Every target once per accession; one whose window the store lacks is an error."""
+    """Every target once per accession whose store has its window; ``unknown_windows`` lists the others."""
     stored = materialise(records(spark, sf_dir), "records")
-    targets = fixture(spark, sf_dir, "fx_known_targets")
+    targets = fixture(spark, sf_dir, "fx_targets").drop("gene_symbol", "enhancer_id", "regulated")
+    asked = skew.pair_all(stored.select("accession").distinct(), targets, order="accession")
+    unknown = perturb.unknown_windows(targets, stored)
+    targets = asked.join(unknown, ["accession", "target_idx", "submat_key"], "left_anti")
     rows = tokens(spark, sf_dir, "fx_region_bed") if with_tokens else None
     return materialise(perturb.perturbation_pairs(targets, stored, rows), "pairs")
 

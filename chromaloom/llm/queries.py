@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger
+from chromaloom.llm import bpe, chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -90,6 +90,26 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(turns.unionByName(trap)))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.load(tokenizer_file())
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_column(spark, tokenizer).alias("ids"))
+    both = ids.withColumn("decoded", bpe.decode_column(spark, tokenizer))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_language_id": op2_language_id,
@@ -101,6 +121,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
     "op10_chat_examples": op10_chat_examples,
+    "op12_bpe": op12_bpe,
 }
 
 MIX_SQL = r"""

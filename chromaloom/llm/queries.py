@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import bpe, chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger
+from chromaloom.llm import bpe, chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger, whitening
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -90,6 +90,10 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(turns.unionByName(trap)))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """A vocabulary of the installed public tokenizers."""
     import public_tokenizers
@@ -121,6 +125,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_quality": op9_quality,
     "op10_chat_examples": op10_chat_examples,
+    "op11_whiten": op11_whiten,
     "op12_bpe": op12_bpe,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import bpe, chat, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger, whitening
+from chromaloom.llm import bpe, chat, collocations, forest, hmm, latent, mixing, ppm, sharding, simhash, subwords, tagger, whitening
 from chromaloom.llm.common import remainder, table
 
 SHARDS = 40
@@ -114,6 +114,10 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_leaks": op1_benchmark_leaks,
     "op2_language_id": op2_language_id,
@@ -127,6 +131,7 @@ QUERIES = {
     "op10_chat_examples": op10_chat_examples,
     "op11_whiten": op11_whiten,
     "op12_bpe": op12_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 MIX_SQL = r"""
@@ -193,4 +198,46 @@ SELECT conv_id, COUNT(*)::BIGINT AS n_turns,
 FROM placed GROUP BY conv_id
 """
 
-SQL = {"op4_mix_sources": MIX_SQL, "op10_chat_examples": CHAT_SQL}
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(
+      translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), placed AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM worded
+), counted AS (
+  SELECT lang, m, array_to_string(w[p:p + m - 1], ' ') AS phrase, COUNT(*) AS c
+  FROM placed, (SELECT unnest(range(1, 6)) AS m) sizes WHERE p + m - 1 <= len(w) GROUP BY ALL
+), totals AS (
+  SELECT lang, SUM(c) AS n FROM counted WHERE m = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM counted WHERE m > 1 AND c >= 100
+), scored AS (
+  SELECT s.lang, s.m, s.phrase, s.w, s.a, s.k, l.c AS l, r.c AS r, t.n,
+    (1000::HUGEINT * s.a * t.n) // (l.c::HUGEINT * r.c) AS score
+  FROM cuts s
+  JOIN counted l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1:s.k], ' ')
+  JOIN counted r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[s.k + 1:s.m], ' ')
+  JOIN totals t ON t.lang = s.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), spans AS (
+  SELECT lang, m, w, a, unnest(range(2, m)) AS size FROM lowest WHERE m > 2
+), inside AS (
+  SELECT lang, size, w, a, unnest(range(1, m - size + 2)) AS p FROM spans
+), longer AS (
+  SELECT lang, array_to_string(w[p:p + size - 1], ' ') AS phrase, MAX(a) AS most FROM inside GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase
+  WHERE o.most IS NULL OR 100 * o.most < 100 * c.a
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+SQL = {"op4_mix_sources": MIX_SQL, "op10_chat_examples": CHAT_SQL, "op13_collocations": COLLOCATION_SQL}

@@ -33,7 +33,7 @@ LISTED = 200_000
 # Words that tasks know by number; the others keep their text.
 KNOWN_WORDS = 500_000
 # Bytes of text and words handled at a time, and distinct words counted before they are passed on.
-SLICE, BLOCK, FLUSH_WORDS = 1 << 23, 1 << 21, 1 << 18
+SLICE, BLOCK, FLUSH_WORDS = 1 << 22, 1 << 19, 1 << 17
 # Rows of one output batch, and rows that one task ranks.
 BATCH, RANKED = 1 << 16, 1 << 17
 

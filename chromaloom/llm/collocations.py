@@ -32,6 +32,8 @@ GROUP_LEAVES = 1 << 19
 LISTED = 200_000
 # Words that tasks know by number; the others keep their text.
 KNOWN_WORDS = 500_000
+# Frequent pairs that tasks know: a suffix then ends before an infrequent one. Beyond, suffixes keep their length.
+KNOWN_PAIRS = 1_000_000
 # Bytes of text and words handled at a time, and distinct words counted before they are passed on.
 SLICE, BLOCK, FLUSH_WORDS = 1 << 22, 1 << 19, 1 << 17
 # Rows of one output batch, and rows that one task ranks.
@@ -110,11 +112,35 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Numbers (from 1) of known words by language. ``complete``: every other word is too rare for a phrase."""
+    """Numbers (from 1) of known words by language. ``complete``: every other word is too rare for a phrase.
+
+    ``pairs`` are the sorted keys of all pairs of words that a phrase can hold, if they are known.
+    """
 
     def __init__(self, words: dict[str, list[bytes]], complete: bool):
         self.words, self.complete = words, complete
         self.places: dict[str, dict[bytes, int]] = {}
+        self.pairs: dict[str, np.ndarray] | None = None
+
+    def learn_pairs(self, table: pa.Table) -> None:
+        """Take in all frequent pairs, (lang, phrase)."""
+        self.pairs = {lang: np.empty(0, np.int64) for lang in self.words}
+        for lang in self.words:
+            own = table.filter(pc.equal(table["lang"], lang))["phrase"].combine_chunks()
+            names, both = _texts(self.words[lang]), pc.split_pattern(own, " ")
+            first, second = (pc.index_in(pc.list_element(both, k), names).to_numpy().astype(np.int64) + 1 for k in (0, 1))
+            self.pairs[lang] = np.sort(first << 32 | second)
+
+    def joined(self, lang: str, ids: np.ndarray) -> np.ndarray:
+        """Whether a phrase can go on from each word to the next."""
+        on = (ids[:-1] != 0) & (ids[1:] != 0)
+        if self.pairs is not None:
+            keys = self.pairs.get(lang, ())
+            if not len(keys):
+                return np.zeros(len(ids), bool)
+            key = ids[:-1].astype(np.int64) << 32 | ids[1:]
+            on &= keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+        return np.append(on, False)
 
     def numbers(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Word numbers of the texts, 0 where a phrase has to end, and the words by number."""
@@ -164,22 +190,25 @@ class Heavy:
         return levels[len(prefix) - 1].get(prefix) if levels else None
 
 
-def _suffixes(ids: np.ndarray) -> Iterator[np.ndarray]:
+def _suffixes(lexicon: Lexicon, lang: str, ids: np.ndarray) -> Iterator[np.ndarray]:
     """Matrices (LONGEST x starts) of word numbers, 0 after the end of a suffix."""
     for at in range(0, len(ids), BLOCK):
         part = ids[at : at + BLOCK + LONGEST - 1]
         size = min(BLOCK, len(ids) - at)
+        goes_on = lexicon.joined(lang, part)
         suffix = np.zeros((LONGEST, size), np.int32)
         suffix[0] = part[:size]
+        inside = np.ones(size, bool)
         for d in range(1, LONGEST):
             later = part[d : d + size]
-            suffix[d, : len(later)] = later
-            suffix[d][suffix[d - 1] == 0] = 0
+            inside[len(later) :] = False
+            inside[: len(later)] &= goes_on[d - 1 : d - 1 + len(later)]
+            suffix[d, : len(later)] = np.where(inside[: len(later)], later, 0)
         yield suffix[:, suffix[0] != 0]
 
 
-def _descend(suffix: np.ndarray, tree: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each suffix's longest extended prefix of at most ``depth`` words in its level (-1: none), and its length."""
+def _descend(suffix: np.ndarray, tree: list[np.ndarray], depth: int) -> np.ndarray:
+    """Length of each suffix's longest extended prefix of at most ``depth`` words."""
     count = suffix.shape[1]
     node, length = np.zeros(count, np.int64), np.zeros(count, np.int8)
     inside = np.ones(count, bool)
@@ -191,7 +220,7 @@ def _descend(suffix: np.ndarray, tree: list[np.ndarray], depth: int) -> tuple[np
         inside &= keys[np.minimum(at, len(keys) - 1)] == key
         node = np.where(inside, at, node)
         length += inside
-    return np.where(length > 0, node, -1), length
+    return length
 
 
 def _merged(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +250,10 @@ def _batches(lang: str, columns: list[pa.Array], names: list[str]) -> Iterator[p
 
 
 def _extensions(texts: DataFrame, lexicon: Lexicon, heavy: Heavy, depth: int) -> DataFrame:
-    """(lang, phrase, c) of the prefixes of ``depth`` words whose first words are an extended prefix."""
+    """(lang, phrase, c) of the prefixes of ``depth`` words whose first words are an extended prefix.
+
+    Of two words, all prefixes are counted if all words are known, as their counts also tell where suffixes end.
+    """
     held = shared(texts.sparkSession, (lexicon, heavy))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +261,13 @@ def _extensions(texts: DataFrame, lexicon: Lexicon, heavy: Heavy, depth: int) ->
         for lang, own in _by_lang(batches):
             ids, names = known.numbers(lang, own)
             tree, shown = listed.tree(lang, names), _texts(names)
-            if len(tree) < depth - 1 or not len(tree[depth - 2]):
+            every = depth == 2 and known.complete
+            if not every and (len(tree) < depth - 1 or not len(tree[depth - 2])):
                 continue
-            for suffix in _suffixes(ids):
-                _, length = _descend(suffix, tree, depth - 1)
-                chosen = suffix[:, (length == depth - 1) & (suffix[depth - 1] != 0)]
+            for suffix in _suffixes(known, lang, ids):
+                chosen = suffix[:, suffix[depth - 1] != 0]
+                if not every:
+                    chosen = chosen[:, _descend(chosen, tree, depth - 1) == depth - 1]
                 chosen[depth:] = 0
                 distinct, counts = _merged(chosen)
                 yield from _batches(lang, [_phrases(distinct, shown), pa.array(counts, pa.int64())], ["phrase", "c"])
@@ -249,19 +283,34 @@ def _leaves(texts: DataFrame, lexicon: Lexicon, heavy: Heavy) -> DataFrame:
     its prefixes are counted already.
     """
     held = shared(texts.sparkSession, (lexicon, heavy))
+    columns = ["phrase", "root", "c"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, listed = held()
+        alone: dict[str, np.ndarray] = {}
         for lang, own in _by_lang(batches):
             ids, names = known.numbers(lang, own)
             tree, shown = listed.tree(lang, names), _texts(names)
-            for suffix in _suffixes(ids):
+            for suffix in _suffixes(known, lang, ids):
+                if known.complete:
+                    # Suffixes of one word are summed over the whole task.
+                    counts = np.bincount(suffix[0, suffix[1] == 0], minlength=len(names) + 1)
+                    alone[lang] = alone[lang] + counts if lang in alone else counts
+                    suffix = suffix[:, suffix[1] != 0]
                 distinct, counts = _merged(suffix)
-                _, length = _descend(distinct, tree, LONGEST - 1)
+                length = _descend(distinct, tree, LONGEST - 1)
                 goes_on = distinct[length, np.arange(len(length))] != 0
                 distinct, counts, length = distinct[:, goes_on], counts[goes_on], length[goes_on]
-                columns = [_phrases(distinct, shown), pa.array(length + 1, pa.int32()), pa.array(counts, pa.int64())]
-                yield from _batches(lang, columns, ["phrase", "root", "c"])
+                made = [_phrases(distinct, shown), pa.array(length + 1, pa.int32()), pa.array(counts, pa.int64())]
+                yield from _batches(lang, made, columns)
+        for lang, counts in alone.items():
+            names = known.words[lang] if lang in known.words else []
+            tree = listed.tree(lang, names)
+            if tree and len(tree[0]):
+                counts[tree[0]] = 0
+            used = np.flatnonzero(counts)
+            made = [_texts(names).take(pa.array(used - 1)), pa.array(np.ones(len(used), np.int32)), pa.array(counts[used])]
+            yield from _batches(lang, made, columns)
 
     return texts.mapInArrow(spread, "lang string, phrase string, root int, c long")
 
@@ -346,12 +395,19 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
     for depth in range(1, LONGEST):
         if depth > 1:
             level = _extensions(texts, lexicon, heavy, depth)
+        if depth == 2 and complete:
+            level = materialise(level.where(F.col("c") >= min(least, budget // 2)), "pairs")
+            pairs = level.where(F.col("c") >= least)
+            if pairs.count() <= KNOWN_PAIRS:
+                lexicon.learn_pairs(pairs.select("lang", "phrase").toArrow())
         for row in level.where(F.col("c") > budget // 2).collect():
             prefix = tuple(row.phrase.encode().split(b" "))
+            if depth > 1 and heavy.count(row.lang, prefix[:-1]) is None:
+                continue
             lefts = [heavy.count(row.lang, prefix[:k]) for k in range(1, depth)]
             listed.append((row.lang, row.phrase, depth, row.c, lefts))
             heavy.add(row.lang, prefix, row.c)
-        if not heavy.any_at(depth):
+        if not heavy.any_at(depth) and (depth > 1 or not complete):
             break
     groups = max(1, -(-2 * total // budget))
     root = F.expr("substring_index(phrase, ' ', root)")

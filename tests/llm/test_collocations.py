@@ -56,7 +56,7 @@ def made(seed, size=60):
     for _ in range(size):
         line = "".join(rng.choices(words, [9, 7, 5, *[2] * (len(words) - 3)])[0] + rng.choice([" "] * 9 + ["\t", ". ", ",", "\n", "  "]) for _ in range(60))
         docs.append((rng.choice(["en", "en", "de", None]), line + " one two three four five six " * rng.randint(0, 2)))
-    return docs + [("en", "ab ab ab ab ab ab ab"), ("en", None), ("fr", ""), (None, " .,; ")]
+    return docs + [("en", "ab ab ab ab ab ab ab"), ("en", None), ("fr", ""), ("it", "rara avis"), (None, " .,; ")]
 
 
 def got(spark, docs, least, best):
@@ -70,12 +70,16 @@ def test_equals_plain_counting(spark):
     assert got(spark, docs, 6, 2000) == sorted(plain(docs, 6, 2000)) != []
 
 
-@pytest.mark.parametrize("leaves, listed, known", [(40, 10**6, 10**6), (8, 10**6, 10**6), (40, 10**6, 5), (60, 200, 0)])
-def test_groups_extended_prefixes_and_unknown_words_change_nothing(spark, monkeypatch, leaves, listed, known):
+@pytest.mark.parametrize(
+    "leaves, listed, known, pairs",
+    [(40, 10**6, 10**6, 10**6), (8, 10**6, 10**6, 10**6), (8, 10**6, 10**6, 3), (40, 10**6, 5, 10**6), (60, 200, 0, 10**6)],
+)
+def test_groups_extended_prefixes_and_unknown_words_change_nothing(spark, monkeypatch, leaves, listed, known, pairs):
     """Small groups (prefixes of up to four words extended), long lists, and words beyond the known ones."""
     monkeypatch.setattr(collocations, "GROUP_LEAVES", leaves)
     monkeypatch.setattr(collocations, "LISTED", listed)
     monkeypatch.setattr(collocations, "KNOWN_WORDS", known)
+    monkeypatch.setattr(collocations, "KNOWN_PAIRS", pairs)
     for name, value in (("SLICE", 200), ("BLOCK", 64), ("FLUSH_WORDS", 10), ("BATCH", 7), ("RANKED", 20)):
         monkeypatch.setattr(collocations, name, value)
     docs = made(2, 30)

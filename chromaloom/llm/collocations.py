@@ -36,6 +36,8 @@ KNOWN_WORDS = 500_000
 KNOWN_PAIRS = 1_000_000
 # Bytes of text and words handled at a time, and distinct words counted before they are passed on.
 SLICE, BLOCK, FLUSH_WORDS = 1 << 22, 1 << 19, 1 << 17
+# Distinct suffixes that a task gathers before it passes them on.
+GATHERED = 1 << 20
 # Rows of one output batch, and rows that one task ranks.
 BATCH, RANKED = 1 << 16, 1 << 17
 
@@ -223,8 +225,8 @@ def _descend(suffix: np.ndarray, tree: list[np.ndarray], depth: int) -> np.ndarr
     return length
 
 
-def _merged(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct suffixes and how often each occurs."""
+def _merged(suffix: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes and how often each occurs, or the sum of its weights."""
     head = suffix[0].astype(np.int64) << 32 | suffix[1]
     middle = suffix[2].astype(np.int64) << 32 | suffix[3]
     order = np.lexsort((suffix[4], middle, head))
@@ -232,7 +234,41 @@ def _merged(suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(order), bool)
     new[1:] = (head[1:] != head[:-1]) | (middle[1:] != middle[:-1]) | (last[1:] != last[:-1])
     starts = np.flatnonzero(new)
-    return suffix[:, order[starts]], np.diff(np.append(starts, len(order)))
+    distinct = suffix[:, order[starts]]
+    if weights is None or not len(starts):
+        return distinct, np.diff(np.append(starts, len(order)))
+    return distinct, np.add.reduceat(weights[order], starts)
+
+
+def _gathered(
+    lexicon: Lexicon, found: Iterator[tuple[str, list[bytes], np.ndarray]]
+) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """Suffixes by language, merged over a whole task where it holds at most GATHERED; (lang, names, suffixes, counts).
+
+    Unknown words have numbers of their block only, so with such words each block goes on by itself.
+    """
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(np.hstack([x for x, _ in held[lang]]), np.concatenate([c for _, c in held[lang]]))
+
+    for lang, names, suffix in found:
+        distinct, counts = _merged(suffix)
+        if not lexicon.complete:
+            yield lang, names, distinct, counts
+            continue
+        held.setdefault(lang, []).append((distinct, counts))
+        size += len(counts)
+        if size > GATHERED:
+            held = {own: [merged(own)] for own in held}
+            size = sum(len(blocks[0][1]) for blocks in held.values())
+            if size > GATHERED // 2:
+                for own, blocks in held.items():
+                    yield own, lexicon.words.get(own, []), *blocks[0]
+                held, size = {}, 0
+    for lang in held:
+        yield lang, lexicon.words.get(lang, []), *merged(lang)
 
 
 def _phrases(suffix: np.ndarray, names: pa.Array) -> pa.Array:
@@ -256,21 +292,26 @@ def _extensions(texts: DataFrame, lexicon: Lexicon, heavy: Heavy, depth: int) ->
     """
     held = shared(texts.sparkSession, (lexicon, heavy))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, listed = held()
+    def chosen(
+        known: Lexicon, listed: Heavy, batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
         for lang, own in _by_lang(batches):
             ids, names = known.numbers(lang, own)
-            tree, shown = listed.tree(lang, names), _texts(names)
+            tree = listed.tree(lang, names)
             every = depth == 2 and known.complete
             if not every and (len(tree) < depth - 1 or not len(tree[depth - 2])):
                 continue
             for suffix in _suffixes(known, lang, ids):
-                chosen = suffix[:, suffix[depth - 1] != 0]
+                suffix = suffix[:, suffix[depth - 1] != 0]
                 if not every:
-                    chosen = chosen[:, _descend(chosen, tree, depth - 1) == depth - 1]
-                chosen[depth:] = 0
-                distinct, counts = _merged(chosen)
-                yield from _batches(lang, [_phrases(distinct, shown), pa.array(counts, pa.int64())], ["phrase", "c"])
+                    suffix = suffix[:, _descend(suffix, tree, depth - 1) == depth - 1]
+                suffix[depth:] = 0
+                yield lang, names, suffix
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, listed = held()
+        for lang, names, distinct, counts in _gathered(known, chosen(known, listed, batches)):
+            yield from _batches(lang, [_phrases(distinct, _texts(names)), pa.array(counts, pa.int64())], ["phrase", "c"])
 
     partial = texts.mapInArrow(count, "lang string, phrase string, c long")
     return partial.groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
@@ -285,28 +326,32 @@ def _leaves(texts: DataFrame, lexicon: Lexicon, heavy: Heavy) -> DataFrame:
     held = shared(texts.sparkSession, (lexicon, heavy))
     columns = ["phrase", "root", "c"]
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, listed = held()
-        alone: dict[str, np.ndarray] = {}
+    def starts(
+        known: Lexicon, alone: dict[str, np.ndarray], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
         for lang, own in _by_lang(batches):
             ids, names = known.numbers(lang, own)
-            tree, shown = listed.tree(lang, names), _texts(names)
             for suffix in _suffixes(known, lang, ids):
                 if known.complete:
-                    # Suffixes of one word are summed over the whole task.
+                    # Suffixes of one word are summed apart, by the word's number.
                     counts = np.bincount(suffix[0, suffix[1] == 0], minlength=len(names) + 1)
                     alone[lang] = alone[lang] + counts if lang in alone else counts
                     suffix = suffix[:, suffix[1] != 0]
-                distinct, counts = _merged(suffix)
-                length = _descend(distinct, tree, LONGEST - 1)
-                goes_on = distinct[length, np.arange(len(length))] != 0
-                distinct, counts, length = distinct[:, goes_on], counts[goes_on], length[goes_on]
-                made = [_phrases(distinct, shown), pa.array(length + 1, pa.int32()), pa.array(counts, pa.int64())]
-                yield from _batches(lang, made, columns)
+                yield lang, names, suffix
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, listed = held()
+        alone: dict[str, np.ndarray] = {}
+        for lang, names, distinct, counts in _gathered(known, starts(known, alone, batches)):
+            length = _descend(distinct, listed.tree(lang, names), LONGEST - 1)
+            goes_on = distinct[length, np.arange(len(length))] != 0
+            distinct, counts, length = distinct[:, goes_on], counts[goes_on], length[goes_on]
+            made = [_phrases(distinct, _texts(names)), pa.array(length + 1, pa.int32()), pa.array(counts, pa.int64())]
+            yield from _batches(lang, made, columns)
         for lang, counts in alone.items():
-            names = known.words[lang] if lang in known.words else []
+            names = known.words.get(lang, [])
             tree = listed.tree(lang, names)
-            if tree and len(tree[0]):
+            if tree:
                 counts[tree[0]] = 0
             used = np.flatnonzero(counts)
             made = [_texts(names).take(pa.array(used - 1)), pa.array(np.ones(len(used), np.int32)), pa.array(counts[used])]

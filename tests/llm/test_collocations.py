@@ -80,7 +80,7 @@ def test_groups_extended_prefixes_and_unknown_words_change_nothing(spark, monkey
     monkeypatch.setattr(collocations, "LISTED", listed)
     monkeypatch.setattr(collocations, "KNOWN_WORDS", known)
     monkeypatch.setattr(collocations, "KNOWN_PAIRS", pairs)
-    for name, value in (("SLICE", 200), ("BLOCK", 64), ("FLUSH_WORDS", 10), ("BATCH", 7), ("RANKED", 20)):
+    for name, value in (("SLICE", 200), ("BLOCK", 64), ("GATHERED", 90), ("FLUSH_WORDS", 10), ("BATCH", 7), ("RANKED", 20)):
         monkeypatch.setattr(collocations, name, value)
     docs = made(2, 30)
     docs += [("en", "the of the of the of the of the of " * 40)]

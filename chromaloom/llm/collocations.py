@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +120,16 @@ class Lexicon:
     ``pairs`` are the sorted keys of all pairs of words that a phrase can hold, if they are known.
     """
 
-    def __init__(self, words: dict[str, list[bytes]], complete: bool):
-        self.words, self.complete = words, complete
+    def __init__(self, words: dict[str, list[bytes]], counts: dict[str, list[int]], complete: bool):
+        self.words, self.counts, self.complete = words, counts, complete
         self.places: dict[str, dict[bytes, int]] = {}
         self.pairs: dict[str, np.ndarray] | None = None
 
+    def place(self, lang: str) -> dict[bytes, int]:
+        if lang not in self.places:
+            self.places[lang] = {word: k for k, word in enumerate(self.words.get(lang, []), 1)}
+        return self.places[lang]
+
     def learn_pairs(self, table: pa.Table) -> None:
         """Take in all frequent pairs, (lang, phrase)."""
         self.pairs = {lang: np.empty(0, np.int64) for lang in self.words}
@@ -133,6 +139,11 @@ class Lexicon:
             first, second = (pc.index_in(pc.list_element(both, k), names).to_numpy().astype(np.int64) + 1 for k in (0, 1))
             self.pairs[lang] = np.sort(first << 32 | second)
 
+    def count(self, lang: str, word: bytes) -> int | None:
+        """How often a known word occurs."""
+        at = self.place(lang).get(word)
+        return None if at is None else self.counts[lang][at - 1]
+
     def joined(self, lang: str, ids: np.ndarray) -> np.ndarray:
         """Whether a phrase can go on from each word to the next."""
         on = (ids[:-1] != 0) & (ids[1:] != 0)
@@ -147,9 +158,7 @@ class Lexicon:
     def numbers(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Word numbers of the texts, 0 where a phrase has to end, and the words by number."""
         names = self.words.get(lang, [])
-        if lang not in self.places:
-            self.places[lang] = {word: k for k, word in enumerate(names, 1)}
-        place, found = self.places[lang], []
+        place, found = self.place(lang), []
         if self.complete:
             for words in _words(texts):
                 found.append(np.fromiter(map(place.get, words, repeat(0)), np.int32, len(words)))
@@ -317,65 +326,66 @@ def _extensions(texts: DataFrame, lexicon: Lexicon, heavy: Heavy, depth: int) ->
     return partial.groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
 
 
-def _leaves(texts: DataFrame, lexicon: Lexicon, heavy: Heavy) -> DataFrame:
-    """(lang, phrase, root, c): suffixes with the length of the prefix that picks their group.
+def _leaves(texts: DataFrame, lexicon: Lexicon, heavy: Heavy, groups: int) -> DataFrame:
+    """(group, lang, phrases, roots, counts): the suffixes of a group that one task has gathered, in one row.
 
-    That is the shortest prefix that is not extended. A suffix that ends as an extended prefix gives no row:
-    its prefixes are counted already.
+    The group is a hash of a suffix's root: its shortest prefix that is not extended. A suffix that ends as an
+    extended prefix, or as one word where all words are counted, is left out, as its prefixes are counted already.
     """
     held = shared(texts.sparkSession, (lexicon, heavy))
-    columns = ["phrase", "root", "c"]
 
-    def starts(
-        known: Lexicon, alone: dict[str, np.ndarray], batches: Iterator[pa.RecordBatch]
-    ) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    def starts(known: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
         for lang, own in _by_lang(batches):
             ids, names = known.numbers(lang, own)
             for suffix in _suffixes(known, lang, ids):
-                if known.complete:
-                    # Suffixes of one word are summed apart, by the word's number.
-                    counts = np.bincount(suffix[0, suffix[1] == 0], minlength=len(names) + 1)
-                    alone[lang] = alone[lang] + counts if lang in alone else counts
-                    suffix = suffix[:, suffix[1] != 0]
-                yield lang, names, suffix
+                yield lang, names, suffix[:, suffix[1] != 0] if known.complete else suffix
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, listed = held()
-        alone: dict[str, np.ndarray] = {}
-        for lang, names, distinct, counts in _gathered(known, starts(known, alone, batches)):
-            length = _descend(distinct, listed.tree(lang, names), LONGEST - 1)
-            goes_on = distinct[length, np.arange(len(length))] != 0
-            distinct, counts, length = distinct[:, goes_on], counts[goes_on], length[goes_on]
-            made = [_phrases(distinct, _texts(names)), pa.array(length + 1, pa.int32()), pa.array(counts, pa.int64())]
-            yield from _batches(lang, made, columns)
-        for lang, counts in alone.items():
-            names = known.words.get(lang, [])
-            tree = listed.tree(lang, names)
-            if tree:
-                counts[tree[0]] = 0
-            used = np.flatnonzero(counts)
-            made = [_texts(names).take(pa.array(used - 1)), pa.array(np.ones(len(used), np.int32)), pa.array(counts[used])]
-            yield from _batches(lang, made, columns)
-
-    return texts.mapInArrow(spread, "lang string, phrase string, root int, c long")
-
-
-def subtree(rows: pa.Table, least: int, ancestor=lambda lang, prefix: None) -> pa.Table:
+        for lang, names, suffix, counts in _gathered(known, starts(known, batches)):
+            length = _descend(suffix, listed.tree(lang, names), LONGEST - 1)
+            goes_on = suffix[length, np.arange(len(length))] != 0
+            suffix, counts, length = suffix[:, goes_on], counts[goes_on], length[goes_on]
+            if not len(counts):
+                continue
+            shown = _texts(names)
+            root = np.where(np.arange(LONGEST)[:, None] <= length, suffix, 0)
+            # Suffixes are in order, so those of one root stand together.
+            first = np.flatnonzero(np.append(True, (root[:, 1:] != root[:, :-1]).any(0)))
+            hashed = [xxhash.xxh64_intdigest(f"{lang}\t{text}") % groups for text in _phrases(root[:, first], shown).to_pylist()]
+            group = np.repeat(np.array(hashed, np.int64), np.diff(np.append(first, len(counts))))
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            ends = pa.array(np.append(cuts, len(group)).astype(np.int32))
+            lists = [_phrases(suffix[:, order], shown), pa.array(length[order].astype(np.int32) + 1), pa.array(counts[order].astype(np.int64))]
+            made = [pa.array(group[cuts]), *(pa.ListArray.from_arrays(ends, column) for column in lists)]
+            yield from _batches(lang, made, ["group", "phrases", "roots", "counts"])
+
+    schema = "lang string, group long, phrases array<string>, roots array<int>, counts array<long>"
+    return texts.mapInArrow(spread, schema)
+
+
+def subtree(rows: pa.Table, least: int, counted: int, ancestor: Callable[[str, tuple[bytes, ...]], int | None]) -> pa.Table:
     """Nodes of a group's subtree: (lang, phrase, depth, c, lefts) of the phrases that occur ``least`` times or more.
 
-    ``rows`` are leaves (lang, phrase, root, c), equal ones possibly several times. ``lefts`` are the counts of the
-    phrase's first 1, 2, ... words; those above the group's roots come from ``ancestor``.
+    ``rows`` hold leaves (lang, phrases, roots, counts), equal ones possibly several times. ``lefts`` are the counts
+    of the phrase's first 1, 2, ... words. Those of up to ``counted`` words and those above the leaves' roots were
+    counted before; they come from ``ancestor`` and give no node here.
     """
     langs = rows["lang"].combine_chunks().dictionary_encode()
-    split = pc.split_pattern(rows["phrase"].combine_chunks(), " ")
+    lists = rows["phrases"].combine_chunks()
+    split = pc.split_pattern(lists.flatten(), " ")
     lengths = pc.list_value_length(split).to_numpy()
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary
-    matrix = np.zeros((LONGEST, rows.num_rows), np.int32)
+    matrix = np.zeros((LONGEST, len(split)), np.int32)
     matrix.T[np.arange(LONGEST)[None, :] < lengths[:, None]] = coded.indices.to_numpy() + 1
-    owner, weights = langs.indices.to_numpy(), rows["c"].to_numpy()
+    owner = np.repeat(langs.indices.to_numpy(), pc.list_value_length(lists).to_numpy())
+    weights = rows["counts"].combine_chunks().flatten().to_numpy()
+    roots = np.maximum(rows["roots"].combine_chunks().flatten().to_numpy(), counted + 1)
     order = np.lexsort((*matrix[::-1], owner))
-    matrix, owner, weights, roots = matrix[:, order], owner[order], weights[order], rows["root"].to_numpy()[order]
+    matrix, owner, weights, roots = matrix[:, order], owner[order], weights[order], roots[order]
     # Where neighbouring leaves part: at this depth a new node starts.
     parts = np.ones(len(order), bool)
     parts[1:] = owner[1:] != owner[:-1]
@@ -394,11 +404,10 @@ def subtree(rows: pa.Table, least: int, ancestor=lambda lang, prefix: None) -> p
         phrases = _phrases(path, words)
         lefts = totals[:d, shown].T.copy()
         for k in np.flatnonzero(roots[shown] > 1):
-            first = phrases[int(k)].as_py().encode().split(b" ")
+            first = tuple(phrases[int(k)].as_py().encode().split(b" "))
             lang = langs.dictionary[int(owner[shown[k]])].as_py()
-            for above in range(1, roots[shown[k]]):
-                if above <= d:
-                    lefts[k, above - 1] = ancestor(lang, tuple(first[:above]))
+            for above in range(1, min(int(roots[shown[k]]) - 1, d) + 1):
+                lefts[k, above - 1] = ancestor(lang, first[:above])
         ends = pa.array(np.arange(len(shown) + 1, dtype=np.int32) * d)
         columns = [
             langs.dictionary.take(pa.array(owner[shown])),
@@ -430,9 +439,11 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
     known = frequent.where(F.col("c") >= (int(fitting["c"].min()) if len(fitting) else np.iinfo(np.int64).max))
     table = known.toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     names: dict[str, list[bytes]] = {}
-    for lang, word in zip(table["lang"].to_pylist(), table["word"].cast(pa.binary()).to_pylist()):
+    own_counts: dict[str, list[int]] = {}
+    for lang, word, c in zip(table["lang"].to_pylist(), table["word"].cast(pa.binary()).to_pylist(), table["c"].to_pylist()):
         names.setdefault(lang, []).append(word)
-    lexicon = Lexicon(names, complete)
+        own_counts.setdefault(lang, []).append(c)
+    lexicon = Lexicon(names, own_counts, complete)
     total = int((frequent if complete else words).agg(F.sum("c")).first()[0])
     budget = max(GROUP_LEAVES, -(-2 * total * LONGEST // LISTED))
     heavy, level = Heavy(), words.select("lang", F.col("word").alias("phrase"), "c")
@@ -455,15 +466,24 @@ def phrase_counts(texts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
         if not heavy.any_at(depth) and (depth > 1 or not complete):
             break
     groups = max(1, -(-2 * total // budget))
-    root = F.expr("substring_index(phrase, ' ', root)")
-    group = F.pmod(F.xxhash64("lang", root), F.lit(groups)).cast("int")
-    leaves = _leaves(texts, lexicon, heavy).withColumn("group", group)
-    held = shared(spark, heavy)
+    leaves = _leaves(texts, lexicon, heavy, groups)
+    held = shared(spark, (lexicon, heavy))
+    # Where every frequent word is known, words are not counted again.
+    counted = 1 if complete else 0
 
     def build(rows: pa.Table) -> pa.Table:
-        return subtree(rows, least, held().count)
+        known, listed = held()
+
+        def ancestor(lang: str, prefix: tuple[bytes, ...]) -> int | None:
+            return known.count(lang, prefix[0]) if len(prefix) <= counted else listed.count(lang, prefix)
+
+        return subtree(rows, least, counted, ancestor)
 
     nodes = leaves.groupBy("group").applyInArrow(build, NODES)
+    if complete:
+        alone = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("depth"), "c", F.array().cast("array<long>").alias("lefts"))
+        nodes = nodes.unionByName(alone)
+        listed = [row for row in listed if row[2] > 1]
     if listed:
         nodes = nodes.unionByName(spark.createDataFrame(listed, NODES).where(F.col("c") >= least))
     return nodes

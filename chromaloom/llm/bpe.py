@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql.functions import ArrowUDFType
 
 from chromaloom.llm.common import shared
 
-# Texts are cut at these blanks before their pieces are looked up: one blank between a character that is no white
-# space in any sense and an ASCII one of that kind. The pre-tokenizer always starts a piece there.
-SAFE_CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~])")
-# Chunks whose ids a task remembers, and the longest chunk (in characters) that it remembers.
-CACHE_CHUNKS, CACHE_CHARS = 1 << 18, 64
+# Texts are cut before these blanks and line ends, and their parts looked up: one of them alone between two characters
+# that are no white space in any sense. The pre-tokenizer always starts a piece there.
+SAFE_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n][!-~À-ɏ])")
+PLAIN = re.compile(r" ?[A-Za-z]+")
+# Chunks whose ids a task remembers in each of two generations, and the longest chunk (in characters) it remembers.
+CACHE_CHUNKS, CACHE_CHARS = 1 << 17, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -54,62 +56,73 @@ class Tokenizer:
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens have to stand for themselves")
         self.vocabulary: dict[str, int] = model["vocab"]
-        self.ranks = {}
+        self.size = max(self.vocabulary.values()) + 1
+        # Rank and merged symbol of a pair of symbols, both as ids.
+        self.merges: dict[int, tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
-            self.ranks.setdefault(tuple(merge.split(" ") if isinstance(merge, str) else merge), rank)
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            pair = self.vocabulary[left] * self.size + self.vocabulary[right]
+            self.merges.setdefault(pair, (rank, self.vocabulary[left + right]))
         self.cutter = tokenizers.Tokenizer.from_str(text).pre_tokenizer
         self.added = added
         longest_first = sorted(added, key=len, reverse=True)
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         byte_of = {letter: byte for byte, letter in byte_alphabet().items()}
         strings = {**{v: k for k, v in self.vocabulary.items()}, **{v: k for k, v in added.items()}}
-        self.bytes_of = {
-            k: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode() for k, s in strings.items()
-        }
+        # By id; ids without a string give nothing.
+        self.bytes_of = [b""] * (max(strings) + 1)
+        for k, s in strings.items():
+            self.bytes_of[k] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one piece, given in the byte alphabet.
 
-        Symbols are a doubly linked list; the queue holds (rank, left symbol, both texts). An entry is stale if
-        either symbol has changed since, which shows as another text at its place, and is skipped.
+        Symbols are a doubly linked list, the queue holds rank and place of pairs. An entry is stale if the pair that
+        begins at its place has another rank by now, or none as its symbol is gone, and is skipped.
         """
-        symbols: list[str | None] = list(piece)
-        before = list(range(-1, len(symbols) - 1))
-        after = [*range(1, len(symbols)), -1]
-        rank_of = self.ranks.get
-        queue = [
-            (rank, at, pair) for at, pair in enumerate(zip(symbols, symbols[1:])) if (rank := rank_of(pair)) is not None
-        ]
+        # A character outside the vocabulary has no id, as there is no unknown token.
+        symbols = [k for k in map(self.vocabulary.get, piece) if k is not None]
+        count, size, merges, none = len(symbols), self.size, self.merges, (-1, -1)
+        before, after = list(range(-1, count - 1)), [*range(1, count), -1]
+        found = [merges.get(a * size + b, none) for a, b in zip(symbols, symbols[1:])] + [none]
+        queue = [rank * count + at for at, (rank, _) in enumerate(found) if rank >= 0]
         heapq.heapify(queue)
         while queue:
-            _, at, pair = heapq.heappop(queue)
-            right = after[at]
-            if right < 0 or symbols[at] != pair[0] or symbols[right] != pair[1]:
+            rank, at = divmod(heapq.heappop(queue), count)
+            if found[at][0] != rank:
                 continue
-            symbols[at], symbols[right] = pair[0] + pair[1], None
+            right = after[at]
+            symbols[at], symbols[right] = found[at][1], -1
+            found[right] = none
             after[at] = follower = after[right]
             if follower >= 0:
                 before[follower] = at
-                fresh = (symbols[at], symbols[follower])
-                if (rank := rank_of(fresh)) is not None:
-                    heapq.heappush(queue, (rank, at, fresh))
-            if (leader := before[at]) >= 0:
-                fresh = (symbols[leader], symbols[at])
-                if (rank := rank_of(fresh)) is not None:
-                    heapq.heappush(queue, (rank, leader, fresh))
-        # A character outside the vocabulary has no id, as there is no unknown token.
-        return [self.vocabulary[s] for s in symbols if s is not None and s in self.vocabulary]
+                found[at] = merges.get(symbols[at] * size + symbols[follower], none)
+                if found[at][0] >= 0:
+                    heapq.heappush(queue, found[at][0] * count + at)
+            else:
+                found[at] = none
+            leader = before[at]
+            if leader >= 0:
+                found[leader] = merges.get(symbols[leader] * size + symbols[at], none)
+                if found[leader][0] >= 0:
+                    heapq.heappush(queue, found[leader][0] * count + leader)
+        return [k for k in symbols if k >= 0]
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        found = self.cache.get(text)
-        if found is None:
-            found = tuple(chain.from_iterable(self.merge(piece) for piece, _ in self.cutter.pre_tokenize_str(text)))
-            if len(text) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_CHUNKS:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
+        ids = self.older.get(text)
+        if ids is None:
+            # A blank and plain letters are one piece in any case.
+            pieces = [text.replace(" ", "Ġ")] if PLAIN.fullmatch(text) else [p for p, _ in self.cutter.pre_tokenize_str(text)]
+            ids = tuple(chain.from_iterable(map(self.merge, pieces)))
+        if len(text) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_CHUNKS:
+                # What was not met for a whole generation is forgotten.
+                self.older, self.cache = self.cache, {}
+            self.cache[text] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of added tokens become their ids."""
@@ -119,18 +132,18 @@ class Tokenizer:
             if k % 2:
                 ids.append(self.added[part])
             elif part:
-                first, *rest = SAFE_CUT.split(part)
-                ids.extend(self.chunk(first))
-                ids.extend(chain.from_iterable(map(self.chunk, [" " + x for x in rest])))
+                chunks = SAFE_CUT.split(part)
+                found = list(map(self.cache.get, chunks))
+                ids.extend(chain.from_iterable(self.chunk(c) if f is None else f for c, f in zip(chunks, found)))
         return np.array(ids, np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The vocabulary's strings put together; ids without one are skipped, broken UTF-8 becomes U+FFFD."""
-        nothing = b""
-        return b"".join([self.bytes_of.get(k, nothing) for k in ids]).decode("utf-8", "replace")
+        known = ids[(ids >= 0) & (ids < len(self.bytes_of))].tolist()
+        return b"".join(map(self.bytes_of.__getitem__, known)).decode("utf-8", "replace")
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "cache": {}, "older": {}}
 
 
 def load(path: str) -> Tokenizer:
@@ -139,9 +152,10 @@ def load(path: str) -> Tokenizer:
         return Tokenizer(file.read())
 
 
-def _strings(column: pa.Array) -> list[str]:
-    """Texts without nulls; bytes that are not UTF-8 become U+FFFD."""
-    return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+def _strings(column: pa.Array) -> Iterator[str]:
+    """Texts one by one, without nulls; bytes that are not UTF-8 become U+FFFD."""
+    for text in column.cast(pa.binary()):
+        yield (text.as_py() or b"").decode("utf-8", "replace")
 
 
 def encode_column(spark: SparkSession, tokenizer: Tokenizer, text_col: str = "text") -> Column:
@@ -167,7 +181,9 @@ def decode_column(spark: SparkSession, tokenizer: Tokenizer, ids_col: str = "ids
     held = shared(spark, tokenizer)
 
     def decode(column: pa.Array) -> pa.Array:
-        return pa.array([held().decode(ids or []) for ids in column.to_pylist()], pa.string())
+        none = np.empty(0, np.int32)
+        lists = (ids.values.drop_null().to_numpy() if ids.is_valid else none for ids in column)
+        return pa.array([held().decode(ids) for ids in lists], pa.string())
 
     once = F.arrow_udf(decode, "string", ArrowUDFType.SCALAR).asNondeterministic()
     return once(F.col(ids_col).cast("array<int>"))

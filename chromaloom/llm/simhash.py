@@ -157,10 +157,33 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one id of each near-duplicate group.
+    """One row of ``docs`` of each near-duplicate group: that of the smallest id, of equal ids the first one written.
 
-    Rows without an id that stand in a group of their own kind only are kept, as nothing stands for them.
+    Rows are decided on one by one: rows of one id but different texts stay or go on their own, repeated rows
+    count as copies, and rows without an id come after all others of their group. The rows are written with a
+    number first, so that a rerun decides alike.
     """
-    classes = near_duplicates(docs, id_col, text_col)
-    gone = classes.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    own = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    prints = materialise(
+        own.select(F.col(number).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(
+            _row_fingerprints, "_row long, _id long, fp long"
+        ),
+        "row-fingerprints",
+    )
+    # The first row of each fingerprint by (id, nulls last, number), then the first of each component.
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    firsts = materialise(prints.groupBy("fp").agg(F.min(place).alias("first")), "first-rows")
+    linked = connected_components(links(firsts.select("fp")))
+    members = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = members.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.row").alias(number))
+    return own.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _row_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = pa.array([fingerprint(text.as_py()) for text in batch.column(2).cast(pa.binary())], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["_row", "_id", "fp"])

@@ -62,7 +62,8 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     docs = documents(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "q w e r t y"), (7, None)])
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
     assert got == [(False, 5, 5), (False, 5, 5), (False, 7, 7), (True, 0, 0), (True, 0, 5)]
-    assert simhash.keep_one(docs).count() == 5
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "q w e r t y"), (5, "a b c d"), (7, "")]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
@@ -71,6 +72,22 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 2]
 
 
+def test_rows_of_one_id_are_decided_on_one_by_one(spark):
+    """No text is lost because another row of its id goes; names used inside meet no column of the table."""
+    rows = [(1, "one text of some words"), (2, "one text of some words"), (2, "another text altogether, quite unlike it"), (2, "another text altogether, quite unlike it")]
+    rows += [(None, "one text of some words"), (None, "words without any id here"), (None, "words without any id here")]
+    docs = documents(spark, rows, _row="clash", fp="clash", first="clash").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"], r["_row"], r["fp"]) for r in kept.collect())
+    assert got == [
+        (0, "words without any id here", "clash", "clash"),
+        (1, "one text of some words", "clash", "clash"),
+        (2, "another text altogether, quite unlike it", "clash", "clash"),
+    ]
+    assert simhash.keep_one(documents(spark, [])).count() == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (3, 2), (None, 4)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -307,8 +307,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays(fields, ["n_tokens", "n_known", "n_rest", "base", "chain", "rest"])
 
     kept = [c for c in docs.columns if c not in (*made, text_col)]
+    # The table's own columns travel in a struct, so that they meet no name used here.
+    own_columns = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])
     judged = docs.select(
-        *kept,
+        own_columns.alias("_own"),
         F.monotonically_increasing_id().alias("_row"),
         arrow_column(
             judge,
@@ -316,20 +318,20 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             text_col,
         ).alias("_j"),
     )
-    judged = materialise(judged.select(*kept, "_row", "_j.*"), "judged")
-    asked = judged.select("_row", F.explode("rest").alias("w")).select("_row", "w.word", "w.n")
+    judged = materialise(judged, "judged")
+    asked = judged.select("_row", F.explode("_j.rest").alias("w")).select("_row", "w.word", "w.n")
     met = asked.join(model.counts, "word", "left").select("_row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     sums = met.groupBy("_row").agg(
         F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("found")
     )
-    joined = judged.join(sums, "_row", "left")
-    logs, found = F.coalesce("logs", F.lit(0.0)), F.coalesce("found", F.lit(0))
+    joined = judged.join(sums.select("_row", F.struct("logs", "found").alias("_far")), "_row", "left")
+    logs, found = F.coalesce("_far.logs", F.lit(0.0)), F.coalesce("_far.found", F.lit(0))
     return joined.select(
-        *[F.col(c) for c in kept],
-        "n_tokens",
-        (F.col("n_known") + found).alias("n_known"),
+        *[F.col(f"_own.c{k}").alias(c) for k, c in enumerate(kept)],
+        F.col("_j.n_tokens").alias("n_tokens"),
+        (F.col("_j.n_known") + found).alias("n_known"),
         F.lit(vocabulary.total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_rest") * vocabulary.base_norm).alias("base_score"),
-        (F.col("chain") + logs - F.col("n_rest") * vocabulary.other_norm).alias("score"),
+        (F.col("_j.base") + logs - F.col("_j.n_rest") * vocabulary.base_norm).alias("base_score"),
+        (F.col("_j.chain") + logs - F.col("_j.n_rest") * vocabulary.other_norm).alias("score"),
     )
 

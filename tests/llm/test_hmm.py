@@ -141,3 +141,11 @@ def test_one_state_is_the_add_one_model(spark, monkeypatch):
     got = hmm.score(docs, hmm.fit(docs.where("doc_id = 0"), states=1)).collect()
     steps = {r["doc_id"]: r["score"] - r["base_score"] for r in got}
     assert steps == pytest.approx({0: 0.0, 1: 0.0})
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["base", "rest", "chain", "n_rest", "word", "logs", "found", "_row", "_j", "_own", "c0"]
+    docs = documents(spark, [(0, "a b a"), (1, None)], **{name: name for name in names})
+    got = hmm.score(docs, hmm.fit(docs)).collect()
+    assert len(got) == 2 and all(r[name] == name for r in got for name in names)
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {0: 4, 1: 1}

@@ -6,6 +6,7 @@ file's pre-tokenizer only cuts texts into pieces; merging and decoding are done
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -24,9 +25,10 @@ from chromaloom.llm.common import shared
 # Texts are cut before these blanks and line ends, and their parts looked up: one of them alone between two characters
 # that are no white space in any sense. The pre-tokenizer always starts a piece there.
 SAFE_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n][!-~À-ɏ])")
-PLAIN = re.compile(r" ?[A-Za-z]+")
+# Chunks whose pieces need no closer look: a line end, a word of Latin letters with the blank before it, marks.
+PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 # Chunks whose ids a task remembers in each of two generations, and the longest chunk (in characters) it remembers.
-CACHE_CHUNKS, CACHE_CHARS = 1 << 17, 64
+CACHE_CHUNKS, CACHE_CHARS = 1 << 19, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -56,17 +58,19 @@ class Tokenizer:
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens have to stand for themselves")
         self.vocabulary: dict[str, int] = model["vocab"]
+        # Symbols are ids throughout. A pair of symbols gives its rank and the merged symbol, packed into one number.
         self.size = max(self.vocabulary.values()) + 1
-        # Rank and merged symbol of a pair of symbols, both as ids.
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pair = self.vocabulary[left] * self.size + self.vocabulary[right]
-            self.merges.setdefault(pair, (rank, self.vocabulary[left + right]))
+            self.merges.setdefault(pair, rank * self.size + self.vocabulary[left + right])
         self.cutter = tokenizers.Tokenizer.from_str(text).pre_tokenizer
         self.added = added
         longest_first = sorted(added, key=len, reverse=True)
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        # A byte outside the vocabulary has no id, as there is no unknown token.
+        self.byte_ids = [self.vocabulary.get(letter, -1) for _, letter in sorted(byte_alphabet().items())]
         byte_of = {letter: byte for byte, letter in byte_alphabet().items()}
         strings = {**{v: k for k, v in self.vocabulary.items()}, **{v: k for k, v in added.items()}}
         # By id; ids without a string give nothing.
@@ -76,47 +80,55 @@ class Tokenizer:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: str) -> list[int]:
-        """The ids of one piece, given in the byte alphabet.
+    def merge(self, symbols: list[int]) -> list[int]:
+        """The ids of one piece, from those of its bytes.
 
-        Symbols are a doubly linked list, the queue holds rank and place of pairs. An entry is stale if the pair that
-        begins at its place has another rank by now, or none as its symbol is gone, and is skipped.
+        Symbols are a doubly linked list, the queue holds merges and their places by rank, then place. An entry is stale
+        if another merge or none is due at its place by now, and is skipped.
         """
-        # A character outside the vocabulary has no id, as there is no unknown token.
-        symbols = [k for k in map(self.vocabulary.get, piece) if k is not None]
-        count, size, merges, none = len(symbols), self.size, self.merges, (-1, -1)
+        count, size, get = len(symbols), self.size, self.merges.get
+        if count < 2:
+            return symbols
         before, after = list(range(-1, count - 1)), [*range(1, count), -1]
-        found = [merges.get(a * size + b, none) for a, b in zip(symbols, symbols[1:])] + [none]
-        queue = [rank * count + at for at, (rank, _) in enumerate(found) if rank >= 0]
+        due = [get(a * size + b, -1) for a, b in zip(symbols, symbols[1:])]
+        due.append(-1)
+        queue = [merge * count + at for at, merge in enumerate(due) if merge >= 0]
         heapq.heapify(queue)
         while queue:
-            rank, at = divmod(heapq.heappop(queue), count)
-            if found[at][0] != rank:
+            merge, at = divmod(heapq.heappop(queue), count)
+            if due[at] != merge:
                 continue
             right = after[at]
-            symbols[at], symbols[right] = found[at][1], -1
-            found[right] = none
-            after[at] = follower = after[right]
-            if follower >= 0:
-                before[follower] = at
-                found[at] = merges.get(symbols[at] * size + symbols[follower], none)
-                if found[at][0] >= 0:
-                    heapq.heappush(queue, found[at][0] * count + at)
-            else:
-                found[at] = none
-            leader = before[at]
-            if leader >= 0:
-                found[leader] = merges.get(symbols[leader] * size + symbols[at], none)
-                if found[leader][0] >= 0:
-                    heapq.heappush(queue, found[leader][0] * count + leader)
+            symbols[at] = merged = merge % size
+            symbols[right] = due[right] = -1
+            after[at] = right = after[right]
+            fresh = -1
+            if right >= 0:
+                before[right] = at
+                fresh = get(merged * size + symbols[right], -1)
+                if fresh >= 0:
+                    heapq.heappush(queue, fresh * count + at)
+            due[at] = fresh
+            left = before[at]
+            if left >= 0:
+                due[left] = fresh = get(symbols[left] * size + merged, -1)
+                if fresh >= 0:
+                    heapq.heappush(queue, fresh * count + left)
         return [k for k in symbols if k >= 0]
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        ids = self.older.get(text)
+        """The ids of a chunk, remembered; those of a plain chunk's parts are remembered too."""
+        ids = self.cache.get(text) or self.older.get(text)
         if ids is None:
-            # A blank and plain letters are one piece in any case.
-            pieces = [text.replace(" ", "Ġ")] if PLAIN.fullmatch(text) else [p for p, _ in self.cutter.pre_tokenize_str(text)]
-            ids = tuple(chain.from_iterable(map(self.merge, pieces)))
+            plain = PLAIN.fullmatch(text)
+            if plain is None:
+                letters = (piece for piece, _ in self.cutter.pre_tokenize_str(text))
+                pieces = ([self.vocabulary.get(letter, -1) for letter in piece] for piece in letters)
+                ids = tuple(chain.from_iterable(self.merge([k for k in piece if k >= 0]) for piece in pieces))
+            elif plain[1] or plain[3]:
+                ids = tuple(chain.from_iterable(map(self.chunk, filter(None, plain.groups()))))
+            else:
+                ids = tuple(self.merge([k for k in map(self.byte_ids.__getitem__, text.encode()) if k >= 0]))
         if len(text) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_CHUNKS:
                 # What was not met for a whole generation is forgotten.
@@ -166,7 +178,12 @@ def encode_column(spark: SparkSession, tokenizer: Tokenizer, text_col: str = "te
     held = shared(spark, tokenizer)
 
     def encode(column: pa.Array) -> pa.Array:
-        ids = [held().encode(text) for text in _strings(column)]
+        # Nothing made here refers back to itself; the collector would only walk the remembered chunks again and again.
+        gc.disable()
+        try:
+            ids = [held().encode(text) for text in _strings(column)]
+        finally:
+            gc.enable()
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))

@@ -14,6 +14,7 @@ from chromaloom.plans import features as ft
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import HEIGHT, WIDTH, fixture, table
 from chromaloom.plans.registry import query
+from chromaloom.session import materialise
 
 
 def _pixel(df: DataFrame, *more: Column) -> DataFrame:
@@ -540,3 +541,115 @@ def fit_decoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = metrics.best_run(runs).first().reg_param
     scored = decoder.score(model, rows.where("m % 4 = 0"))
     return scored.select("m", F.round("y_hat", 6).alias("y_hat"), F.lit(best).alias("reg_param"))
+
+
+# Decoders with several outputs from one pass. Ridge in SQL: Gauss-Jordan steps on the centred products, a system per strength.
+RIDGES = (0.01, 0.1, 1.0)
+
+
+def _ridge_sql(items: str, features: int, outputs: int) -> str:
+    """Predictions (key, k, y, y_hat, reg_param) of the validation rows of ``items`` (key, split, w, x list, ys list)."""
+    return f"""
+    WITH RECURSIVE items AS MATERIALIZED (SELECT key, split, w, list_concat(x, ys) AS z FROM ({items})),
+    entries AS (SELECT key, w, generate_subscripts(z, 1) AS i, unnest(z) AS v FROM items WHERE split = 'train'),
+    means AS MATERIALIZED (SELECT i, sum(w * v) / sum(w) AS m FROM entries GROUP BY i),
+    centred AS MATERIALIZED (SELECT e.key, e.w, e.i, e.v - m.m AS v FROM entries e JOIN means m ON e.i = m.i),
+    products AS (
+      SELECT a.i, b.i AS j, sum(a.w * a.v * b.v) / sum(a.w) AS p FROM centred a JOIN centred b ON a.key = b.key
+      WHERE a.i <= {features} GROUP BY a.i, b.i
+    ), lams AS (SELECT unnest([{", ".join(f"{r}::DOUBLE" for r in RIDGES)}]) AS lam),
+    matrix_rows AS (
+      SELECT lam, i, list(p + CASE WHEN i = j THEN lam ELSE 0 END ORDER BY j) AS line FROM products, lams GROUP BY lam, i
+    ), steps AS (
+      SELECT lam, 1 AS k, list(line ORDER BY i) AS m FROM matrix_rows GROUP BY lam
+      UNION ALL
+      SELECT lam, k + 1, list_transform(m, lambda line, i: CASE WHEN i = k
+        THEN list_transform(line, lambda x: x / line[k])
+        ELSE list_transform(line, lambda x, j: x - line[k] * m[k][j] / m[k][k]) END) FROM steps WHERE k <= {features}
+    ), fits AS (
+      SELECT lam, o.k AS k, list_transform(m, lambda line: line[{features} + o.k]) AS b
+      FROM steps, (SELECT unnest(range(1, {outputs + 1})) AS k) o WHERE steps.k = {features + 1}
+    ), centre AS (SELECT list(m ORDER BY i) AS c FROM means),
+    scored AS (
+      SELECT t.key, t.w, f.lam, f.k - 1 AS k, t.z[{features} + f.k] AS y,
+        c[{features} + f.k] + list_sum(list_transform(f.b, lambda b, i: b * (t.z[i] - c[i]))) AS y_hat
+      FROM items t, fits f, centre WHERE t.split = 'val'
+    ), best AS (
+      SELECT lam FROM (SELECT lam, k, sum(w * pow(y - y_hat, 2)) / sum(w) AS loss FROM scored GROUP BY lam, k)
+      GROUP BY lam ORDER BY avg(loss), lam LIMIT 1
+    )
+    SELECT s.key, s.k, s.y, s.y_hat, s.lam AS reg_param FROM scored s JOIN best ON s.lam = best.lam"""
+
+
+SEQ_ITEMS = build(
+    """SELECT l.gene_idx AS key, l.seq_split AS split, 1.0::DOUBLE AS w, p.x, l.ys
+    FROM (SELECT gene_idx, seq_split, list(y ORDER BY accession) AS ys FROM labels_long GROUP BY gene_idx, seq_split) l
+    JOIN (SELECT m, list(x ORDER BY d) AS x FROM (SELECT m, d, avg(v) AS x FROM seq_bins GROUP BY m, d) GROUP BY m) p ON p.m = l.gene_idx"""
+)
+SEQ_FIT = _ridge_sql(SEQ_ITEMS, 8, 4)
+
+
+def _gene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene_idx, split, vec, ys): mean-pooled sequence embeddings and a label per biosample, split by chromosome."""
+    bins = fusion.seq_bins(fixture(spark, sf_dir, "fx_emb").select("m", "vec"), 8)
+    pooled = fusion.mean_pool(bins, ["m"]).withColumnRenamed("m", "gene_idx")
+    by_name = F.array_sort(F.collect_list(F.struct("accession", "y")))
+    ys = ft.labels_long(spark, sf_dir).groupBy("gene_idx", F.col("seq_split").alias("split")).agg(F.transform(by_name, lambda s: s["y"]).alias("ys"))
+    return materialise(ys.join(pooled, "gene_idx"), "gene-rows")
+
+
+@query("u7_decoder_outputs", f"SELECT key AS gene_idx, CAST(k AS BIGINT) AS output, round(y_hat, 5) + 0.0::DOUBLE AS y_hat, reg_param FROM ({SEQ_FIT})")
+def decoder_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence-only: one output per biosample, chosen on the validation chromosome, predicted there."""
+    rows = _gene_rows(spark, sf_dir)
+    model, _ = decoder.fit_outputs(rows, RIDGES)
+    preds = model.predict(rows.where("split = 'val'")).select("gene_idx", F.posexplode("y_hat").alias("output", "v"))
+    return preds.select(
+        "gene_idx", F.col("output").cast("bigint").alias("output"), F.round("v", 5).alias("y_hat"), F.lit(model.strength).alias("reg_param")
+    )
+
+
+@query(
+    "u7_decoder_scores",
+    f"""WITH preds AS (SELECT k, y, y_hat FROM ({SEQ_FIT})), ranked AS (
+      SELECT *, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0::DOUBLE AS ry,
+        rank() OVER (PARTITION BY k ORDER BY y_hat) + (count(*) OVER (PARTITION BY k, y_hat) - 1) / 2.0::DOUBLE AS rh FROM preds)
+    SELECT CAST(k AS BIGINT) AS output, round(avg(pow(y - y_hat, 2)), 5) AS mse, round(corr(y, y_hat), 5) AS pearson, round(corr(ry, rh), 5) AS spearman
+    FROM ranked GROUP BY k""",
+)
+def decoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _gene_rows(spark, sf_dir)
+    model, _ = decoder.fit_outputs(rows, RIDGES)
+    scores = decoder.output_scores(model.predict(rows.where("split = 'val'")))
+    return scores.select(F.col("output").cast("bigint").alias("output"), *[F.round(c, 5).alias(c) for c in ("mse", "pearson", "spearman")])
+
+
+# Fused cells of an item as one vector of 64, two outputs (the label, and the label's square), weighted by item.
+FUSED_ITEMS = build(
+    """SELECT f.m AS key, CASE WHEN f.m % 4 = 0 THEN 'val' ELSE 'train' END AS split, any_value(w.w) AS w,
+      list(f.v ORDER BY f.r, f.c, f.d) AS x, any_value([y.y, y.y * y.y]) AS ys
+    FROM (SELECT h.b, h.m, h.r, h.c, h.d, h.v + 0.5::DOUBLE * s.v AS v FROM grid h JOIN summed s ON h.m = s.m AND h.r = s.r AND h.c = s.c AND h.d = s.d) f
+    JOIN fx_weights w ON w.m = f.m JOIN fx_y y ON y.m = f.m AND y.b = f.b GROUP BY f.b, f.m""",
+    streams=f"({COLS_STREAMS})",
+    pooled=POOLED,
+    summed=SUMMED,
+)
+
+
+@query(
+    "u7_decoder_fused",
+    f"SELECT key AS m, CAST(k AS BIGINT) AS output, round(y_hat, 5) + 0.0::DOUBLE AS y_hat, reg_param FROM ({_ridge_sql(FUSED_ITEMS, 64, 2)})",
+)
+def decoder_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decoder on fused features: every fourth item validates, item weights in both."""
+    emb = fixture(spark, sf_dir, "fx_emb")
+    cells = fusion.fused_items(emb, emb.select("m", "vec"), 8, 2, 4, 2, "cols", 0.5)
+    ordered = F.array_sort(F.collect_list(F.struct("r", "c", "vec")))
+    items = cells.groupBy("b", "m").agg(F.flatten(F.transform(ordered, lambda s: s["vec"])).alias("vec"))
+    y, weights = fixture(spark, sf_dir, "fx_y"), fixture(spark, sf_dir, "fx_weights")
+    labelled = items.join(y, ["b", "m"]).join(weights, "m")
+    split = F.when(F.col("m") % 4 == 0, "val").otherwise("train")
+    rows = materialise(labelled.select("m", split.alias("split"), "vec", F.array("y", F.col("y") * F.col("y")).alias("ys"), "w"), "fused-rows")
+    model, _ = decoder.fit_outputs(rows, RIDGES, weight="w")
+    preds = model.predict(rows.where("split = 'val'")).select("m", F.posexplode("y_hat").alias("output", "v"))
+    return preds.select("m", F.col("output").cast("bigint").alias("output"), F.round("v", 5).alias("y_hat"), F.lit(model.strength).alias("reg_param"))

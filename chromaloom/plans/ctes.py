@@ -120,9 +120,10 @@ STEPS: dict[str, str] = {
                CASE WHEN a.is_empty OR a.top = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS red,
                CASE WHEN a.is_empty OR a.top = 0 THEN 0.0::DOUBLE ELSE 1 + f.fade / 1280 END AS green
         FROM assembled a LEFT JOIN fade_sums f ON a.accession = f.accession AND a.submat_key = f.submat_key""",
-    # Perturbation: every target is asked of every accession.
+    # Perturbation: every target is asked of every accession whose store has its window.
     "asked": """
-        SELECT k.accession, t.* FROM fx_known_targets t CROSS JOIN (SELECT DISTINCT accession FROM keys) k""",
+        SELECT k.accession, t.target_idx, t.submat_key, t.r0, t.r1, t.c0, t.c1, t.seq_row
+        FROM fx_targets t JOIN keys k ON t.submat_key = k.submat_key""",
     "orig_cells": """
         SELECT a.accession, a.target_idx, c.row, c.col, c.value FROM asked a
         JOIN cells c ON a.accession = c.accession AND a.submat_key = c.submat_key""",

@@ -101,14 +101,6 @@ DEFINITIONS: dict[str, str] = {
                p_name AS gene_symbol, concat('E', CAST(p_partkey AS STRING)) AS enhancer_id,
                CAST(p_partkey % 2 AS INT) AS regulated
         FROM {part}""",
-    # The blocks whose windows lie within every accession's matrices.
-    "fx_known_targets": """
-        SELECT p_partkey AS target_idx,
-               concat('chr', CAST(p_size % 8 + 1 AS STRING), ':', CAST(p_partkey * 37 % 420 AS STRING), ',',
-                      CAST(greatest(p_partkey * 37 % 420 - 32, 0) AS STRING)) AS submat_key,
-               CAST(0 AS BIGINT) AS r0, CAST(16 AS BIGINT) AS r1,
-               p_partkey % 70 AS c0, p_partkey % 70 + 5 AS c1, p_partkey AS seq_row
-        FROM {part} WHERE p_size % 8 < 5 AND p_partkey * 37 % 420 < 180""",
     # Mean count by distance from the diagonal, the last band taking all further ones.
     "fx_k_median": """
         SELECT CAST(least(abs(l_partkey % 400 - (l_suppkey * 7) % 400), 47) AS BIGINT) AS k, avg(l_quantity) AS value

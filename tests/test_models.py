@@ -227,6 +227,65 @@ def test_decoder_recovers_a_linear_rule(spark):
     assert decoder.score(model, rows).where("abs(y_hat - y) > 1e-6").isEmpty()
 
 
+def _ridge(x, y, w, strength):
+    """Weighted ridge with a free intercept, in one place."""
+    total = w.sum()
+    mx, my = w @ x / total, w @ y / total
+    left = (x - mx).T @ ((x - mx) * w[:, None]) / total + strength * np.eye(x.shape[1])
+    b = np.linalg.solve(left, (x - mx).T @ ((y - my) * w[:, None]) / total)
+    return b, my - mx @ b
+
+
+def test_many_outputs_from_one_pass_equal_plain_ridge(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5)) + 1000
+    y = x @ rng.normal(size=(5, 3)) + rng.normal(size=(300, 3)) * 4
+    w = rng.integers(0, 4, 300).astype(float)
+    split = np.where(np.arange(300) % 3 == 0, "val", np.where(np.arange(300) % 7 == 0, "test", "train"))
+    data = [(s, a.tolist(), b.tolist(), float(c)) for s, a, b, c in zip(split, x, y, w)]
+    rows = spark.createDataFrame(data, "split string, vec array<double>, ys array<double>, w double").repartition(7)
+    found = decoder.moments(rows, "w", fan=3)
+    assert set(found) == {"train", "val", "test"}
+    for name, own in found.items():
+        here = split == name
+        z = np.hstack([x, y])[here]
+        mean = w[here] @ z / w[here].sum()
+        assert own.weight == w[here].sum() and np.allclose(own.mean, mean)
+        assert np.allclose(own.products, (z - mean).T @ ((z - mean) * w[here][:, None]))
+    model, runs = decoder.fit_outputs(rows, (0.0, 0.5, 50.0), "w")
+    train, val = split == "train", split == "val"
+    means = {}
+    for strength in (0.0, 0.5, 50.0):
+        b, base = _ridge(x[train], y[train], w[train], strength)
+        losses = w[val] @ (x[val] @ b + base - y[val]) ** 2 / w[val].sum()
+        means[strength] = losses.mean()
+        got = [r.val_loss for r in sorted(runs.where(f"reg_param = {strength}").collect(), key=lambda r: r.output)]
+        assert np.allclose(got, losses, rtol=1e-6)
+        if strength == model.strength:
+            assert np.allclose(model.coefficients, b, rtol=1e-6) and np.allclose(model.intercepts, base, rtol=1e-6)
+    assert model.strength == min(means, key=means.get)
+    preds = model.predict(rows.where("split = 'test'")).collect()
+    assert all(np.allclose(r.y_hat, np.array(r.vec) @ model.coefficients + model.intercepts) for r in preds)
+    scores = {r.output: r for r in decoder.output_scores(model.predict(rows)).collect()}
+    for k in range(3):
+        y_hat = x @ model.coefficients[:, k] + model.intercepts[k]
+        assert scores[k].mse == pytest.approx(np.mean((y_hat - y[:, k]) ** 2)) and scores[k].pearson == pytest.approx(np.corrcoef(y_hat, y[:, k])[0, 1])
+
+
+def test_decoder_edges(spark):
+    schema = "split string, vec array<double>, ys array<double>"
+    flat = spark.createDataFrame([("train", [1.0, 2.0], [3.0]), ("train", [2.0, 2.0], [5.0]), ("val", [3.0, 2.0], [7.0])], schema)
+    model, _ = decoder.fit_outputs(flat, (0.0,))
+    assert np.allclose(model.coefficients, [[2], [0]]) and np.allclose(model.intercepts, [1])
+    with pytest.raises(ValueError, match="are needed"):
+        decoder.fit_outputs(flat.where("split = 'train'"), (0.0,))
+    with pytest.raises(ValueError, match="are needed"):
+        decoder.fit_outputs(flat.limit(0), (0.0,))
+    ragged = flat.unionByName(spark.createDataFrame([("val", [1.0], [2.0])], schema)).coalesce(1)
+    with pytest.raises(Exception, match="of one length"):
+        decoder.fit_outputs(ragged, (0.0,))
+
+
 def test_sequences_match_slices(spark):
     rng = np.random.default_rng(6)
     contigs = {f"c{i}": "".join(rng.choice(list("ACGTNacgt"), n)) for i, n in enumerate([5, 64, 1000])}

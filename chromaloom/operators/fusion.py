@@ -99,7 +99,8 @@ def align_bins(bins: DataFrame, n_rows: int, n_cols: int, ratio: int, mode: str)
     """Row and column streams of sequence bins, each counted from 0.
 
     ``cols``: the bins span the grid's columns and the row stream is their middle. ``rows``: the
-    bins span the grid's rows and serve as both streams.
+    bins span the grid's rows and serve as both streams. Every item must have exactly the bins that
+    are spanned.
     """
     if n_rows > n_cols:
         raise ValueError("the grid must not have more rows than columns")
@@ -111,15 +112,14 @@ def align_bins(bins: DataFrame, n_rows: int, n_cols: int, ratio: int, mode: str)
         expected, surplus = n_rows * ratio, 0
     else:
         raise ValueError(f"unknown mode {mode}")
-    message = F.concat(F.lit(f"expected bins 0 to {expected - 1}, got "), F.col("bin").cast("string"))
-    checked = F.when(F.col("bin") >= expected, F.raise_error(message)).otherwise(F.col("bin"))
+    bins = check_bin_count(bins, expected)
     start = surplus // 2
     in_rows = F.col("bin").between(start, start + n_rows * ratio - 1)
     col_part = F.struct(F.lit("col").alias("stream"), F.col("bin").alias("bin"))
     row_part = F.struct(F.lit("row").alias("stream"), (F.col("bin") - start).cast("int").alias("bin"))
     streams = F.when(in_rows, F.array(col_part, row_part)).otherwise(F.array(col_part))
     return (
-        bins.withColumn("bin", checked.cast("int"))
+        bins.withColumn("bin", F.col("bin").cast("int"))
         .select("m", F.explode(streams).alias("s"), "vec")
         .select("m", "s.stream", "s.bin", "vec")
     )
@@ -130,7 +130,7 @@ def check_bin_count(bins: DataFrame, expected: int) -> DataFrame:
     counts = bins.groupBy("m").agg(F.count_distinct("bin").alias("n"), F.max("bin").alias("last"))
     bad = counts.where((F.col("n") != expected) | (F.col("last") != expected - 1)).first()
     if bad is not None:
-        raise ValueError(f"expected {expected} bins, item {bad.m} has {bad.n}")
+        raise ValueError(f"expected bins 0 to {expected - 1} (expected {expected} bins), item {bad.m} has {bad.n} up to {bad['last']}")
     return bins
 
 

@@ -14,15 +14,24 @@ HOT_ROWS = 1_000_000
 
 
 def join_unique(
-    many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS
+    many: DataFrame,
+    one: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique in ``on``) without a hot key landing in one task.
 
-    Rows of ``many`` differ from each other (they carry an index or were grouped before). Keys are counted with map-side partial sums. Without hot keys this is an ordinary join. Rows of
-    hot keys go over a salted copy of their few partners, all other rows over the plain shuffle.
+    Rows of ``many`` differ from each other (they carry an index or were grouped before). Keys are counted with
+    map-side partial sums, unless ``counts`` (keys and _n) tells them. Without keys of more than ``hot_rows`` rows
+    this is an ordinary join. Rows of such keys go over a salted copy of their few partners, all other rows over the
+    plain shuffle.
     """
     on = list(on)
-    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if counts is None:
+        counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*on, "_n").where(F.col("_n") > hot_rows)
     hot = materialise(counts, "hot-keys")
     if hot.isEmpty():
         return many.join(one, on, how)

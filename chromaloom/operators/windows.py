@@ -187,10 +187,21 @@ def in_window(height: int, width: int) -> Column:
     return F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)
 
 
-def assemble(biosamples: DataFrame, binned_regions: DataFrame, records: DataFrame) -> DataFrame:
+def _pair_counts(listed: DataFrame, regions: DataFrame, hot_rows: int) -> DataFrame:
+    """(accession, submat_key, _n) of the pairing's keys that may pass ``hot_rows``, from counts of either side."""
+    owners = materialise(listed.groupBy("accession").agg(F.count(F.lit(1)).alias("_owners")), "owners")
+    most = owners.agg(F.max("_owners")).first()[0] or 0
+    keys = regions.groupBy("submat_key").agg(F.count(F.lit(1)).alias("_regions")).where(F.col("_regions") * most > hot_rows)
+    return skew.pair_all(owners, keys, order="accession").withColumn("_n", F.col("_owners") * F.col("_regions"))
+
+
+def assemble(
+    biosamples: DataFrame, binned_regions: DataFrame, records: DataFrame, hot_rows: int = skew.HOT_ROWS
+) -> DataFrame:
     """Every biosample with every region, in biosample-major order by ``bio_idx`` and ``bedpe_idx``.
 
-    A window that is missing from the store is an empty one; a stored flag is believed.
+    A window that is missing from the store is an empty one; a stored flag is believed. The pairing is made once:
+    how often a window is asked for is the product of its regions and its accession's biosamples.
     """
     if "is_empty" not in records.columns:
         records = records.withColumn("is_empty", F.lit(None).cast("boolean"))
@@ -199,7 +210,9 @@ def assemble(biosamples: DataFrame, binned_regions: DataFrame, records: DataFram
     pairs = skew.pair_all(
         listed, binned_regions.select("bedpe_idx", "chrom", "rs", "cs", "submat_key"), order="bio_idx"
     )
-    found = skew.join_unique(pairs, records.drop("total_count"), ["accession", "submat_key"], "left")
+    counts = _pair_counts(listed, binned_regions, hot_rows)
+    stored = records.drop("total_count")
+    found = skew.join_unique(pairs, stored, ["accession", "submat_key"], "left", hot_rows, counts)
     return found.select(
         "bio_idx",
         "bedpe_idx",

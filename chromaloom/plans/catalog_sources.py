@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chromaloom.operators import infer, perturb
 from chromaloom.plans import features as ft
+from chromaloom.plans import pipelines
 from chromaloom.plans.ctes import build
-from chromaloom.plans.fixtures import BANDS, CONTEXT, fixture, table
+from chromaloom.plans.fixtures import BANDS, CONTEXT, HEIGHT, RESOLUTION, WIDTH, fixture, table
 from chromaloom.plans.registry import query
 from chromaloom.session import scratch_path
 from chromaloom.sources import fasta, readers, writers
@@ -85,6 +86,21 @@ def read_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_expression(spark, path, by_folder=True)
 
 
+@query("a6_read_expression_files", build("SELECT rna_accession, gene_id, tpm FROM fx_expr"))
+def read_expression_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of ``*.tsv`` files, each named by its accession."""
+    path = scratch_path(spark, "expression-files")
+    expr = fixture(spark, sf_dir, "fx_expr").select("rna_accession", "gene_id", F.col("tpm").alias("TPM"))
+    expr.repartition("rna_accession").write.partitionBy("rna_accession").csv(f"{path}/folders", sep="\t", header=True)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(f"{path}/files"))
+    for part in files.globStatus(hadoop.Path(f"{path}/folders/rna_accession=*/part-*.csv")):
+        accession = part.getPath().getParent().getName().removeprefix("rna_accession=")
+        files.rename(part.getPath(), hadoop.Path(f"{path}/files/{accession}.tsv"))
+    return readers.read_expression(spark, f"{path}/files")
+
+
 @query(
     "a7_read_accessions",
     """SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS bio_idx, 'ENCFF' || CAST(s_suppkey AS VARCHAR) AS accession
@@ -298,6 +314,27 @@ def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "k10_resume_windows",
+    build(
+        """SELECT r.run, k.accession, count(*) AS windows FROM keys k, (VALUES (1), (3)) AS r(run)
+        WHERE r.run = 1 OR k.accession = (SELECT min(accession) FROM keys) GROUP BY r.run, k.accession"""
+    ),
+)
+def resume_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs into one store: the second finds nothing to do, before the third the first store is taken away."""
+    path = scratch_path(spark, "window-store")
+    raw, bedpe = fixture(spark, sf_dir, "fx_contacts"), fixture(spark, sf_dir, "fx_regions")
+    listed = fixture(spark, sf_dir, "fx_biosamples").select("accession")
+    runs = []
+    for run in (1, 2, 3):
+        if run == 3:
+            writers.drop_partition(spark, path, "accession", min(writers.partition_values(spark, path, "accession")))
+        made = pipelines.resume_windows(raw, bedpe, listed, path, RESOLUTION, HEIGHT, WIDTH)
+        runs.append(made.select(F.lit(run).alias("run"), "accession", "windows"))
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query(
     "k10_missing_inputs",
     """SELECT 'ENCFF' || CAST(s_suppkey AS VARCHAR) AS accession FROM supplier

@@ -93,9 +93,10 @@ def tokens(spark: SparkSession, sf_dir: str, bed: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of every biosample and region with their tokens."""
-    by_region = tokens(spark, sf_dir, "fx_region_bed").select(F.col("region_idx").alias("bedpe_idx"), "token_text")
-    return assembled(spark, sf_dir).join(by_region, "bedpe_idx")
+    """Windows of every biosample and region with their tokens; a region without its token row is an error."""
+    regions = fixture(spark, sf_dir, "fx_regions").select("bedpe_idx")
+    by_region = sequence.seq_by_region(regions, tokens(spark, sf_dir, "fx_region_bed"), CONTEXT)
+    return assembled(spark, sf_dir).join(by_region, "bedpe_idx", "left")
 
 
 def target_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaloom.operators import contacts, labels, regions, windows
-from chromaloom.session import materialise
+from chromaloom.session import materialise, small_side
+from chromaloom.sources import writers
 
 
 @dataclass
@@ -97,3 +98,20 @@ def expression_labels(expr: DataFrame, pairs: DataFrame, genes: DataFrame, split
     as listed biosamples, absent ones and the gene list are all taken from them."""
     long = materialise(labels.label_join(expr, pairs, genes), "labels")
     return labels.biosample_split_join(long, splits)
+
+
+def resume_windows(
+    raw: DataFrame, bedpe: DataFrame, accessions: DataFrame, path: str, resolution: int = 1000, height: int = 192, width: int = 960
+) -> DataFrame:
+    """Bring a window store up to date: compute and commit only the listed accessions that it lacks.
+
+    Returns (accession, windows) of those written now. Accessions without contacts are passed over, as
+    ``missing_inputs`` lists them. Nothing is computed if nothing is missing.
+    """
+    spark = raw.sparkSession
+    todo = materialise(writers.pending(accessions, writers.completed(spark, path), raw), "pending")
+    if todo.isEmpty():
+        return spark.createDataFrame([], "accession string, windows bigint")
+    names, _ = small_side(todo.select("accession").distinct())
+    job = contact_windows(raw.join(names, "accession", "left_semi"), bedpe, resolution, height, width)
+    return writers.commit_windows(materialise(window_records(job), "records"), path, todo)

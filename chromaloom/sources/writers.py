@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.functions import numeric
@@ -29,11 +31,30 @@ def write_windows(records: DataFrame, path: str) -> None:
     _replace_partitions(records, path, "accession")
 
 
-def write_invalid_bed(empty: DataFrame, path: str | None = None) -> int:
+def partition_values(spark: SparkSession, path: str, by: str) -> set[str]:
+    """Values that a partitioned store has folders for; none where there is no store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return set()
+    names = [status.getPath().getName() for status in files.listStatus(folder) if status.isDirectory()]
+    return {unquote(name.removeprefix(f"{by}=")) for name in names if name.startswith(f"{by}=")}
+
+
+def drop_partition(spark: SparkSession, path: str, by: str, value: str) -> None:
+    """Remove one partition's folder from a store, if it is there."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, f"{by}=*")):
+        if unquote(status.getPath().getName().removeprefix(f"{by}=")) == value:
+            files.delete(status.getPath(), True)
+
+
+def write_invalid_bed(empty: DataFrame, path: str | None = None, processed: DataFrame | None = None) -> int:
     """Chromosome and start bins of empty windows, one line per region row, by accession; returns their number.
 
     The windows are computed once. Lists of other accessions stay, an earlier list of the same accession is
-    replaced; without rows, or without a path, nothing is written.
+    replaced, and that of a ``processed`` accession without empty windows is removed. Without a path nothing is
+    written. The driver holds the names of the processed accessions.
     """
     rows = materialise(empty.select("accession", "bedpe_idx", "chrom", "rs", "cs"), "empty-windows")
     count = rows.count()
@@ -41,6 +62,10 @@ def write_invalid_bed(empty: DataFrame, path: str | None = None) -> int:
         ordered = rows.repartitionByRange("accession", "bedpe_idx").sortWithinPartitions("accession", "bedpe_idx")
         lines = ordered.select("accession", "chrom", "rs", "cs").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         lines.partitionBy("accession").csv(path, sep="\t")
+    if path and processed is not None:
+        full = processed.select("accession").distinct().join(rows, "accession", "left_anti")
+        for stale in partition_values(rows.sparkSession, path, "accession") & {r.accession for r in full.collect()}:
+            drop_partition(rows.sparkSession, path, "accession", stale)
     return count
 
 
@@ -92,3 +117,33 @@ def pending(accessions: DataFrame, done: DataFrame, available: DataFrame | None
 def missing_inputs(accessions: DataFrame, available: DataFrame) -> DataFrame:
     """The warning list: listed accessions without input."""
     return accessions.join(available.select("accession").distinct(), "accession", "left_anti")
+
+
+MARKERS = "windows bigint, accession string"
+
+
+def completed(spark: SparkSession, path: str) -> DataFrame:
+    """(accession, windows) of the accessions whose windows are all stored.
+
+    A marker is written after its windows, so a run that broke off leaves none. A marker whose windows have gone
+    does not count. The driver lists the store's folders.
+    """
+    if not partition_values(spark, f"{path}/_done", "accession"):
+        return spark.createDataFrame([], MARKERS).select("accession", "windows")
+    marked = spark.read.schema(MARKERS).parquet(f"{path}/_done")
+    there = spark.createDataFrame([(v,) for v in sorted(partition_values(spark, path, "accession"))], "accession string")
+    stored = marked.join(F.broadcast(there), "accession", "left_semi")
+    return stored.unionByName(marked.where("windows = 0")).select("accession", "windows")
+
+
+def commit_windows(records: DataFrame, path: str, processed: DataFrame) -> DataFrame:
+    """Write the windows (a written table) of the ``processed`` accessions, then a marker for each of them.
+
+    The marker holds the number of windows, which may be none. Returns the markers.
+    """
+    write_windows(records, path)
+    counts = records.groupBy("accession").agg(F.count(F.lit(1)).alias("windows"))
+    names = processed.select("accession").distinct()
+    marks = materialise(names.join(counts, "accession", "left").select("accession", F.coalesce("windows", F.lit(0)).alias("windows")), "markers")
+    _replace_partitions(marks, f"{path}/_done", "accession")
+    return marks

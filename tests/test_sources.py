@@ -161,6 +161,18 @@ def test_invalid_bed_is_written_only_when_needed(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(path)).collect()) == ["chr1\t5\t7"] * 2
 
 
+def test_stale_list_of_empty_windows_goes(spark, tmp_path):
+    schema = "accession string, bedpe_idx bigint, chrom string, rs bigint, cs bigint"
+    path = str(tmp_path / "invalid")
+    writers.write_invalid_bed(spark.createDataFrame([(a, 0, "chr1", 5, 7) for a in ("a", "b", "c d")], schema), path)
+    processed = spark.createDataFrame([("a",), ("c d",), ("new",)], "accession string")
+    now = spark.createDataFrame([("a", 1, "chr1", 1, 2)], schema)
+    assert writers.write_invalid_bed(now, path, processed) == 1
+    assert writers.partition_values(spark, path, "accession") == {"a", "b"}
+    assert writers.write_invalid_bed(now.limit(0), path, processed) == 0
+    assert writers.partition_values(spark, path, "accession") == {"b"}
+
+
 def test_labels_tokens_embeddings_predictions_round_trip(spark, tmp_path):
     emb = spark.createDataFrame([(1, 0, [0.1, 70000.0]), (0, 1, [1.0, 2.0])], "b bigint, m bigint, vec array<float>")
     writers.write_embeddings(emb, str(tmp_path / "e"), ("b", "m"))

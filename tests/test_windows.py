@@ -4,6 +4,7 @@ import pytest
 from chromaloom.operators import contacts, image, regions, windows
 from chromaloom.plans import pipelines
 from chromaloom.session import materialise
+from chromaloom.sources import writers
 
 RAW = "accession string, chrom1 string, chrom2 string, pos1 bigint, pos2 bigint, counts double"
 BED = (
@@ -196,3 +197,37 @@ def test_flag_of_an_empty_window_blackens_stored_cells(spark):
     df = spark.createDataFrame([("a", 0, 0, 5.0, True)], "accession string, row int, col int, value double, is_empty boolean")
     row = image.contact_rgb(df, ("accession",)).first()
     assert (row.red, row.green, row.blue) == (0.0, 0.0, 0.0)
+
+
+def test_resumed_run_commits_only_what_is_missing(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = random_contacts(rng, "a", "chr1", 40, 300) + random_contacts(rng, "b", "chr1", 40, 300) + [("none", "chr9", "chr9", 1, 2, 3.0)]
+    raw = spark.createDataFrame(rows, RAW)
+    bed = spark.createDataFrame([region(0, "chr1", 3, 5, "+"), region(1, "chr1", 9, 9, "-")], BED)
+    listed = spark.createDataFrame([(x,) for x in ("a", "b", "none", "unseen")], "accession string")
+    path = str(tmp_path / "store")
+
+    def run():
+        return sorted(map(tuple, pipelines.resume_windows(raw, bed, listed, path, 1, 4, 8).collect()))
+
+    assert run() == [("a", 2), ("b", 2), ("none", 0)]
+    whole = sorted(map(str, spark.read.parquet(path).collect()))
+    assert run() == []
+    writers.drop_partition(spark, path, "accession", "b")
+    assert run() == [("b", 2)]
+    # A run that broke off before its marker is done again.
+    writers.drop_partition(spark, f"{path}/_done", "accession", "a")
+    assert run() == [("a", 2)] and run() == []
+    assert sorted(map(str, spark.read.parquet(path).collect())) == whole
+
+
+def test_assemble_counts_hot_windows_on_their_factors(spark):
+    """The same rows whether windows asked for often are salted or not."""
+    bios = spark.createDataFrame([(k, "a" if k < 5 else "b") for k in range(7)], "bio_idx bigint, accession string")
+    regs = spark.createDataFrame([(k, "chr1", k // 4, 0, f"w{k // 4}") for k in range(12)], "bedpe_idx bigint, chrom string, rs bigint, cs bigint, submat_key string")
+    kinds = "accession string, submat_key string, row array<smallint>, col array<smallint>, data array<float>, total_count double"
+    records = spark.createDataFrame([("a", "w0", [1], [2], [3.0], 9.0), ("b", "w1", [0], [0], [1.0], 4.0)], kinds)
+    counts = {(r.accession, r.submat_key): r["_n"] for r in windows._pair_counts(bios, regs, 7).collect()}
+    assert counts[("a", "w0")] == 20 and counts[("b", "w2")] == 8
+    got = [sorted(map(str, windows.assemble(bios, regs, records, hot_rows=hot).collect())) for hot in (7, 10**6)]
+    assert got[0] == got[1] and len(got[0]) == 84

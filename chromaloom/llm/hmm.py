@@ -182,31 +182,46 @@ def _groups(numbered: list[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int,
         yield group
 
 
-def _reestimate(docs: DataFrame, vocabulary: Vocabulary, chain: Chain) -> Chain:
-    """One Baum-Welch round: tasks send their expected counts, summed by symbol and state in a shuffle."""
-    held = shared(docs.sparkSession, (vocabulary, chain))
+def _sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(symbols) of every text, a written table: texts are cut into words once, however many rounds follow."""
+    held = shared(docs.sparkSession, vocabulary)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = held().reader()
+        for batch in batches:
+            found = [one(text)[0] for text in _texts(batch.column(0))]
+            if found:
+                ends = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
+                symbols = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([symbols], ["symbols"])
+
+    return materialise(docs.select("text").mapInArrow(read, "symbols array<int>"), "symbols")
+
+
+def _reestimate(sequences: DataFrame, vocabulary: Vocabulary, chain: Chain) -> Chain:
+    """One Baum-Welch round: tasks send their expected counts, summed by symbol and state in a shuffle.
+
+    A task's sums are made in double precision and sent in single precision, which halves what is shuffled.
+    """
+    held = shared(sequences.sparkSession, chain)
     states, width = len(chain.start), len(chain.emit)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = held()
-        read = own.reader()
+        model = held()
         sums = np.zeros(states), np.zeros((states, states)), np.zeros((width, states))
         for batch in batches:
-            waiting, size = [], 0
-            for k, text in enumerate(_texts(batch.column(0))):
-                waiting.append((k, read(text)[0]))
-                size += len(waiting[-1][1])
-                if size > 4 * GROUP_TOKENS or k == batch.num_rows - 1:
-                    for group in _groups(waiting):
-                        model.expectations([s for _, s in group], sums)
-                    waiting, size = [], 0
+            column = batch.column(0)
+            flat, cuts = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
+            numbered = [(k, flat[cuts[k] : cuts[k + 1]]) for k in range(len(column))]
+            for group in _groups(numbered):
+                model.expectations([s for _, s in group], sums)
         rows = np.vstack([sums[0][None, :], sums[1], sums[2]])
         used = np.flatnonzero(rows.any(1))
-        arrays = [pa.array(used, pa.int32()), *[pa.array(rows[used, k]) for k in range(states)]]
+        arrays = [pa.array(used, pa.int32()), *[pa.array(rows[used, k].astype(np.float32)) for k in range(states)]]
         yield pa.RecordBatch.from_arrays(arrays, ["row", *[f"s{k}" for k in range(states)]])
 
     columns = [f"s{k}" for k in range(states)]
-    partial = docs.select("text").mapInArrow(expect, "row int, " + ", ".join(f"{c} double" for c in columns))
+    partial = sequences.mapInArrow(expect, "row int, " + ", ".join(f"{c} float" for c in columns))
     summed = partial.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
     rows = np.zeros((1 + states + width, states))
     for k, column in enumerate(columns):
@@ -248,8 +263,9 @@ def fit(docs: DataFrame, text_col: str = "text", states: int = STATES) -> Model:
     vocabulary = Vocabulary(known["word"].to_pylist(), known["c"].to_numpy(), total, distinct, ends)
     chain = Chain.first(vocabulary.symbol_counts(), states)
     if ends:
+        sequences = _sequences(texts, vocabulary)
         for _ in range(WARM_ROUNDS + FULL_ROUNDS):
-            chain = _reestimate(texts, vocabulary, chain)
+            chain = _reestimate(sequences, vocabulary, chain)
     return Model(counts, vocabulary, chain)
 
 

@@ -59,12 +59,12 @@ class Tokenizer:
             raise ValueError("added tokens have to stand for themselves")
         self.vocabulary: dict[str, int] = model["vocab"]
         # Symbols are ids throughout. A pair of symbols gives its rank and the merged symbol, packed into one number.
-        self.size = max(self.vocabulary.values()) + 1
+        self.bits = max(self.vocabulary.values()).bit_length()
         self.merges: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            pair = self.vocabulary[left] * self.size + self.vocabulary[right]
-            self.merges.setdefault(pair, rank * self.size + self.vocabulary[left + right])
+            pair = self.vocabulary[left] << self.bits | self.vocabulary[right]
+            self.merges.setdefault(pair, rank << self.bits | self.vocabulary[left + right])
         self.cutter = tokenizers.Tokenizer.from_str(text).pre_tokenizer
         self.added = added
         longest_first = sorted(added, key=len, reverse=True)
@@ -86,34 +86,37 @@ class Tokenizer:
         Symbols are a doubly linked list, the queue holds merges and their places by rank, then place. An entry is stale
         if another merge or none is due at its place by now, and is skipped.
         """
-        count, size, get = len(symbols), self.size, self.merges.get
+        count, bits, get = len(symbols), self.bits, self.merges.get
         if count < 2:
             return symbols
+        mask, wide, push, pop = (1 << bits) - 1, count.bit_length(), heapq.heappush, heapq.heappop
+        places = (1 << wide) - 1
         before, after = list(range(-1, count - 1)), [*range(1, count), -1]
-        due = [get(a * size + b, -1) for a, b in zip(symbols, symbols[1:])]
+        due = [get(a << bits | b, -1) for a, b in zip(symbols, symbols[1:])]
         due.append(-1)
-        queue = [merge * count + at for at, merge in enumerate(due) if merge >= 0]
+        queue = [merge << wide | at for at, merge in enumerate(due) if merge >= 0]
         heapq.heapify(queue)
         while queue:
-            merge, at = divmod(heapq.heappop(queue), count)
-            if due[at] != merge:
+            entry = pop(queue)
+            at = entry & places
+            if due[at] != entry >> wide:
                 continue
             right = after[at]
-            symbols[at] = merged = merge % size
+            symbols[at] = merged = due[at] & mask
             symbols[right] = due[right] = -1
             after[at] = right = after[right]
             fresh = -1
             if right >= 0:
                 before[right] = at
-                fresh = get(merged * size + symbols[right], -1)
+                fresh = get(merged << bits | symbols[right], -1)
                 if fresh >= 0:
-                    heapq.heappush(queue, fresh * count + at)
+                    push(queue, fresh << wide | at)
             due[at] = fresh
             left = before[at]
             if left >= 0:
-                due[left] = fresh = get(symbols[left] * size + merged, -1)
+                due[left] = fresh = get(symbols[left] << bits | merged, -1)
                 if fresh >= 0:
-                    heapq.heappush(queue, fresh * count + left)
+                    push(queue, fresh << wide | left)
         return [k for k in symbols if k >= 0]
 
     def chunk(self, text: str) -> tuple[int, ...]:

@@ -49,16 +49,16 @@ def test_long_pieces_and_the_bounded_cache(own, library, monkeypatch):
 def test_merges_follow_ranks_from_the_left(own, monkeypatch):
     """Against a plain loop that merges the lowest rank first, leftmost first."""
 
-    size = own.size
+    bits = own.bits
 
     def plain(piece):
         symbols = [own.vocabulary[c] for c in piece]
         while True:
-            pairs = [(own.merges[a * size + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a * size + b in own.merges]
+            pairs = [(own.merges[a << bits | b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (a << bits | b) in own.merges]
             if not pairs:
                 return symbols
             merge, k = min(pairs)
-            symbols[k : k + 2] = [merge % size]
+            symbols[k : k + 2] = [merge & ((1 << bits) - 1)]
 
     rng = random.Random(4)
     for _ in range(500):

@@ -73,5 +73,5 @@ def test_shards_hold_all_rows_of_the_mix(spark, stages):
 def test_all_queries_are_registered():
     names = set(entry_points.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.SQL) <= set(queries.QUERIES)

@@ -51,6 +51,23 @@ def bin_contacts(df: DataFrame, resolution: int) -> DataFrame:
     ).drop("pos1", "pos2", "counts")
 
 
+def stored_block(chrom: Column, first: Column, second: Column) -> Column:
+    """Name of the store block that holds a cell, from its chromosome and the blocks of its two bins.
+
+    The block of the smaller bin and the binary length of the distance to the other one, so blocks are fine along
+    the diagonal, where windows lie, and wide far from it: a side of n blocks gives about n log n names, not n * n.
+    """
+    low, high = F.least(first, second), F.greatest(first, second)
+    band = F.length(F.bin(high - low + 1)) - 1
+    return F.concat_ws(".", chrom, low.cast("string"), band.cast("string"))
+
+
+def with_block(binned: DataFrame, block: int) -> DataFrame:
+    """Binned contacts with the name of their store block."""
+    first, second = (F.floor(F.col(c) / block) for c in ("row", "col"))
+    return binned.withColumn("block", stored_block(F.col("chrom1"), first, second))
+
+
 def pair_stats(binned: DataFrame) -> DataFrame:
     """One pass over the contacts: everything later steps need to know about each chromosome pair.
 

@@ -49,6 +49,13 @@ def window_tiles(windows: DataFrame, height: int, width: int, tile: int = TILE)
     )
 
 
+def stored_blocks(windows: DataFrame, height: int, width: int, block: int) -> DataFrame:
+    """(block, windows): the store blocks that some window touches, and how many windows do."""
+    touched = window_tiles(windows, height, width, block)
+    name = contacts.stored_block(F.col("chrom"), F.col("row_tile"), F.col("col_tile"))
+    return touched.groupBy(name.alias("block")).agg(F.count(F.lit(1)).alias("windows"))
+
+
 def _tiled(cells: DataFrame, tile: int) -> DataFrame:
     return cells.withColumns(
         {

@@ -186,6 +186,50 @@ def fetch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.fetch_manifest(named, "hic")
 
 
+# Block side of the stored contacts, scaled like the windows.
+STORED = 64
+BLOCK_SQL = f"""chrom || '.' || CAST(least(row, col) // {STORED} AS VARCHAR) || '.'
+    || CAST(length(bin(greatest(row, col) // {STORED} - least(row, col) // {STORED} + 1)) - 1 AS VARCHAR)"""
+
+
+def contact_store(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "tiled-contacts")
+    pipelines.store_contacts(fixture(spark, sf_dir, "fx_contacts"), path, RESOLUTION, STORED)
+    return path
+
+
+def stored_job(spark: SparkSession, sf_dir: str) -> pipelines.StoredWindowJob:
+    return pipelines.stored_windows(spark, contact_store(spark, sf_dir), fixture(spark, sf_dir, "fx_regions"), RESOLUTION, HEIGHT, WIDTH)
+
+
+@query("k1_tiled_contacts", build(f"SELECT accession, chrom AS chrom1, row, col, value, {BLOCK_SQL} AS block FROM cis"))
+def tiled_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, _ = readers.read_tiled_contacts(spark, contact_store(spark, sf_dir))
+    whole = {c: F.col(c).cast("bigint") for c in ("row", "col")}
+    return stored.withColumns({**whole, "value": F.col("value").cast("double")})
+
+
+@query("j1_stored_windows", build("SELECT accession, submat_key, nnz, CAST(total AS DOUBLE) AS total, is_empty FROM win_stats"))
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of a contact store, from the blocks they touch."""
+    return pipelines.window_summary(stored_job(spark, sf_dir))
+
+
+@query(
+    "j1_blocks_read",
+    build(
+        f"""SELECT accession, {BLOCK_SQL} AS block, count(*) AS contacts FROM cis WHERE {BLOCK_SQL} IN (
+             SELECT chrom || '.' || CAST(least(i, k) AS VARCHAR) || '.' || CAST(length(bin(abs(i - k) + 1)) - 1 AS VARCHAR)
+             FROM wins, generate_series(0, 400) AS g(i), generate_series(0, 400) AS h(k)
+             WHERE i BETWEEN rs // {STORED} AND (rs + {HEIGHT - 1}) // {STORED} AND k BETWEEN cs // {STORED} AND (cs + {WIDTH - 1}) // {STORED})
+           GROUP BY ALL"""
+    ),
+)
+def blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts by block that a window job reads from the store; its scan prunes the other partitions."""
+    return stored_job(spark, sf_dir).touched.groupBy("accession", "block").agg(F.count(F.lit(1)).alias("contacts"))
+
+
 @query("k1_write_contacts", build("SELECT accession, chrom AS chrom1, row, col, value FROM cis"))
 def write_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "contact-store")

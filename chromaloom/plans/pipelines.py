@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.operators import contacts, labels, regions, windows
-from chromaloom.session import materialise, small_side
-from chromaloom.sources import writers
+from chromaloom.session import BROADCAST_ROWS, materialise, small_side
+from chromaloom.sources import readers, writers
 
 
 @dataclass
@@ -68,6 +68,36 @@ class WindowJob:
         return contacts.total_from_stats(contacts.nonzero_pairs(self.stats), self.height, self.width)
 
 
+@dataclass
+class StoredWindowJob(WindowJob):
+    """The same workflow over contacts laid out by block: only blocks that some window touches are read.
+
+    The statistics come with the store, so nothing asks for the other blocks. Beyond ``broadcast_rows`` blocks the
+    join is a shuffle and the scan is not pruned; the result is the same.
+    """
+
+    stored_stats: DataFrame
+    block: int
+    broadcast_rows: int = BROADCAST_ROWS
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.stored_stats.select("accession", "chrom1", "chrom2", "max_row", "max_col", "total", "n_entries")
+
+    @cached_property
+    def touched(self) -> DataFrame:
+        """Contacts of the blocks in use; partitions are pruned at run time by the broadcast blocks."""
+        wanted = windows.distinct_windows(self.binned)
+        blocks = materialise(windows.stored_blocks(wanted, self.height, self.width, self.block), "blocks")
+        blocks, _ = small_side(blocks, self.broadcast_rows)
+        # Partitions are pruned only by a side with a filter of its own; every block in use has a window.
+        return self.raw.join(blocks.where("windows > 0").select("block"), "block", "left_semi")
+
+    @cached_property
+    def cis(self) -> DataFrame:
+        return self.touched.select("accession", "chrom1", F.col("chrom1").alias("chrom2"), "row", "col", "value")
+
+
 def cis_contacts(raw: DataFrame, resolution: int) -> DataFrame:
     """Placed chromosomes, pairs within one chromosome, binned; names as they are."""
     cis = contacts.contact_mode(contacts.filter_chroms(raw), 2).drop("store_key")
@@ -85,6 +115,30 @@ def contact_windows(
     return job
 
 
+# Bins of a store block: about 30 blocks along the largest human chromosome at 1 kb.
+STORE_BLOCK = 8192
+
+
+def store_contacts(raw: DataFrame, path: str, resolution: int = 1000, block: int = STORE_BLOCK) -> None:
+    """Bin the contacts within chromosomes once and lay them out by block, for any number of window jobs."""
+    cis = cis_contacts(raw, resolution)
+    stats = contacts.check_distinct_names(materialise(contacts.pair_stats(cis), "pair-stats"))
+    writers.write_tiled_contacts(contacts.prefix_names(cis), contacts.prefix_names(stats), path, resolution, block)
+
+
+def stored_windows(
+    spark: SparkSession, path: str, bedpe: DataFrame, resolution: int = 1000, height: int = 192, width: int = 960,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> StoredWindowJob:
+    """The window job of ``store_contacts``' store. The store must be of this resolution and of one block size."""
+    cells, stats = readers.read_tiled_contacts(spark, path)
+    sizes = stats.select("resolution", "block_size").distinct().limit(2).collect()
+    if len(sizes) > 1 or any(row.resolution != resolution for row in sizes):
+        raise ValueError(f"{path} holds contacts of {[tuple(row) for row in sizes]} (resolution, block), not of resolution {resolution}")
+    block = sizes[0].block_size if sizes else STORE_BLOCK
+    return StoredWindowJob(cells, bedpe, resolution, height, width, stats, block, broadcast_rows)
+
+
 def window_summary(job: WindowJob) -> DataFrame:
     return windows.window_stats(job.valid, job.cells)
 

@@ -210,3 +210,14 @@ def fetch_manifest(accessions: DataFrame, extension: str) -> DataFrame:
     known = name.contains(ACCESSION_MARK)
     url = F.format_string(FILE_URL, name, F.lit(extension))
     return accessions.select("accession", known.alias("is_known"), F.when(known, url).alias("url"))
+
+
+TILED = "chrom1 string, row int, col int, value float, accession string, block string"
+TILED_STATS = (
+    "chrom1 string, chrom2 string, max_row int, max_col int, total double, n_entries bigint, resolution int, block_size int, accession string"
+)
+
+
+def read_tiled_contacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Contacts laid out by block, and the statistics of their chromosomes."""
+    return spark.read.schema(TILED).parquet(path), spark.read.schema(TILED_STATS).parquet(f"{path}/_stats")

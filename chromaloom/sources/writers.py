@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaloom.functions import numeric
+from chromaloom.operators import contacts
 from chromaloom.session import materialise
 
 
@@ -27,6 +28,23 @@ def write_contacts(df: DataFrame, path: str) -> None:
     _replace_partitions(df, path, "accession", "chrom1")
 
 
+def write_tiled_contacts(binned: DataFrame, stats: DataFrame, path: str, resolution: int, block: int) -> None:
+    """Binned contacts laid out by accession and matrix block, with the statistics of their chromosomes.
+
+    The statistics (``contacts.pair_stats``, written last) hold the resolution and the block size, and spare a later
+    job the pass over all contacts; accessions that the table lacks keep what is stored of them. An accession
+    is replaced whole: blocks of an earlier run that it has no more are removed.
+    """
+    spark = binned.sparkSession
+    placed = contacts.with_block(binned, block).select("accession", "chrom1", "row", "col", "value", "block")
+    stats = stats.withColumns({"resolution": F.lit(resolution), "block_size": F.lit(block)})
+    for name in {r.accession for r in stats.select("accession").distinct().collect()}:
+        drop_partition(spark, f"{path}/_stats", "accession", name)
+        drop_partition(spark, path, "accession", name)
+    _replace_partitions(placed, path, "accession", "block")
+    _replace_partitions(stats, f"{path}/_stats", "accession")
+
+
 def write_windows(records: DataFrame, path: str) -> None:
     _replace_partitions(records, path, "accession")
 

@@ -4,7 +4,7 @@ import pytest
 from chromaloom.operators import contacts, image, regions, windows
 from chromaloom.plans import pipelines
 from chromaloom.session import materialise
-from chromaloom.sources import writers
+from chromaloom.sources import readers, writers
 
 RAW = "accession string, chrom1 string, chrom2 string, pos1 bigint, pos2 bigint, counts double"
 BED = (
@@ -231,3 +231,76 @@ def test_assemble_counts_hot_windows_on_their_factors(spark):
     assert counts[("a", "w0")] == 20 and counts[("b", "w2")] == 8
     got = [sorted(map(str, windows.assemble(bios, regs, records, hot_rows=hot).collect())) for hot in (7, 10**6)]
     assert got[0] == got[1] and len(got[0]) == 84
+
+
+def store_rows():
+    rng = np.random.default_rng(11)
+    rows = random_contacts(rng, "a", "chr1", 200, 3000) + random_contacts(rng, "b", "chr1", 120, 1500) + random_contacts(rng, "a", "chr2", 90, 900)
+    # Below the diagonal, repeated, and on a chromosome no window lies on.
+    return rows + [("a", "chr1", "chr1", 150, 3, 4.0), ("a", "chr1", "chr1", 150, 3, 4.0), ("b", "3", "3", 50, 60, 1.0), ("a", "chr1", "chr2", 1, 1, 9.0)]
+
+
+STORE_BED = [region(0, "chr1", 3, 5, "+"), region(1, "chr1", 62, 60, "-"), region(2, "chr2", 85, 80, "-"), region(3, "chr1", 148, 0, "+"), region(4, "chr1", 3, 5, "-")]
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_windows_of_a_contact_store_equal_those_of_the_contacts(spark, tmp_path, most):
+    raw, bed = spark.createDataFrame(store_rows(), RAW), spark.createDataFrame(STORE_BED, BED)
+    path = str(tmp_path / "store")
+    pipelines.store_contacts(raw, path, 1, 16)
+    job = pipelines.stored_windows(spark, path, bed, 1, 4, 8, most)
+    plain = pipelines.contact_windows(raw, bed, 1, 4, 8)
+
+    def whole(j):
+        cells = j.cells.select("accession", "chrom", "rs", "cs", "row", "col", "value")
+        return [sorted(map(str, df.collect())) for df in (cells, pipelines.window_summary(j), j.totals)]
+
+    assert whole(job) == whole(plain) and len(whole(plain)[0]) > 10
+
+
+def scanned_partitions(df):
+    """Partitions that the scan of the contact store read, from the metrics of the plan that ran."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "FileSourceScanExec" and "block" in node.output().mkString():
+            if node.metrics().contains("numPartitions"):
+                found.append(node.metrics().apply("numPartitions").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found)
+
+
+def test_a_store_job_reads_only_the_blocks_in_use(spark, tmp_path):
+    raw, bed = spark.createDataFrame(store_rows(), RAW), spark.createDataFrame(STORE_BED[:2], BED)
+    path = str(tmp_path / "store")
+    pipelines.store_contacts(raw, path, 1, 16)
+    every = spark.read.parquet(path).select("accession", "block").distinct().count()
+    touched = pipelines.stored_windows(spark, path, bed, 1, 4, 8).touched
+    assert "dynamicpruning" in touched._jdf.queryExecution().toString()
+    used = touched.select("accession", "block").distinct().count()
+    assert scanned_partitions(touched) == used < every / 3
+
+
+def test_a_store_keeps_other_accessions_and_drops_old_blocks(spark, tmp_path):
+    path = str(tmp_path / "store")
+    pipelines.store_contacts(spark.createDataFrame([("a", "1", "1", 0, 90, 1.0), ("b", "1", "1", 5, 5, 2.0)], RAW), path, 1, 16)
+    pipelines.store_contacts(spark.createDataFrame([("a", "1", "1", 1, 2, 7.0)], RAW), path, 1, 16)
+    stored, stats = readers.read_tiled_contacts(spark, path)
+    assert {(r.accession, r.block, r.row, r.col, r.value) for r in stored.collect()} == {("a", "chr1.0.0", 1, 2, 7.0), ("b", "chr1.0.0", 5, 5, 2.0)}
+    assert {(r.accession, r.chrom1, r.max_col, r.total) for r in stats.collect()} == {("a", "chr1", 2, 7.0), ("b", "chr1", 5, 2.0)}
+    with pytest.raises(ValueError, match="resolution"):
+        pipelines.stored_windows(spark, path, spark.createDataFrame([], BED), 5)
+    with pytest.raises(ValueError, match="two ways"):
+        pipelines.store_contacts(spark.createDataFrame([("a", "1", "1", 0, 9, 1.0), ("a", "chr1", "chr1", 5, 5, 2.0)], RAW), path, 1, 16)
+
+
+def test_store_blocks_are_fine_along_the_diagonal(spark):
+    cells = spark.createDataFrame([("a", "c", r, c, 1.0) for r, c in [(0, 0), (15, 16), (16, 0), (0, 47), (0, 48), (200, 0)]], "accession string, chrom1 string, row int, col int, value double")
+    assert [r.block for r in contacts.with_block(cells, 16).collect()] == ["c.0.0", "c.0.1", "c.0.1", "c.0.1", "c.0.2", "c.0.3"]

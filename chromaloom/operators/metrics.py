@@ -133,16 +133,89 @@ def expression_similarity(
     return added.select("test", "train", _ratio(covariance, spread, False).alias("similarity"))
 
 
-def impute_from_nearest(
-    expr: DataFrame, preds: DataFrame, test: DataFrame, train: DataFrame
-) -> DataFrame:
-    """Predictions of the most similar training biosample, for each test biosample.
+# Values of one dense block of profiles; a group makes about six matrices of that size (32 MB each).
+BLOCK_VALUES = 4_000_000
+# Similarities that agree in so many digits are equal.
+TIE_DIGITS = 12
+
+
+def _dense(profiles: pd.DataFrame, genes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and presence of some profiles over the sorted genes."""
+    value = np.zeros((len(profiles), len(genes)))
+    there = np.zeros_like(value)
+    for i, (gene, y) in enumerate(zip(profiles["genes"], profiles["ys"])):
+        at = np.searchsorted(genes, gene)
+        value[i, at] = y
+        there[i, at] = 1.0
+    return value, there
+
+
+def _best_of_blocks(block: pd.DataFrame) -> pd.DataFrame:
+    """The most similar training profile of each test profile, among those of one pair of blocks."""
+    test, train = (block[block["role"] == role].sort_values("accession", ignore_index=True) for role in ("test", "train"))
+    genes = np.unique(np.concatenate(list(block["genes"])))
+    (x, in_x), (y, in_y) = _dense(test, genes), _dense(train, genes)
+    n, sx, sy, sxy = in_x @ in_y.T, x @ in_y.T, in_x @ y.T, x @ y.T
+    spread_x = np.maximum(n * ((x * x) @ in_y.T) - sx * sx, 0)
+    spread_y = np.maximum(n * (in_x @ (y * y).T) - sy * sy, 0)
+    spread = np.sqrt(spread_x * spread_y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Rounded, as the products of equal profiles may differ in their last digits.
+        similar = np.where(spread > 0, np.round((n * sxy - sx * sy) / spread, TIE_DIGITS), -np.inf)
+    # Profiles are in the order of their names, and the first of equal ones is taken.
+    best = similar.argmax(axis=1)
+    top = similar[np.arange(len(test)), best]
+    found = top > -np.inf
+    return pd.DataFrame(
+        {"test": test["accession"][found], "train": train["accession"].to_numpy()[best[found]], "similarity": top[found]}
+    )
 
-    Equal similarities go to the name that sorts first.
+
+def nearest_profiles(expr: DataFrame, test: DataFrame, train: DataFrame, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(test, train, similarity): the training profile of the highest correlation over shared genes, for each test profile.
+
+    A profile travels as one row of arrays, as long as its genes. Profiles are dealt to blocks by their order, so many
+    that a dense block holds ``block_values`` values. A pair of blocks makes its correlations by matrix products and
+    returns one row per test profile: tests x blocks rows leave this step, not tests x training profiles. Equal
+    similarities (to ``TIE_DIGITS`` digits) go to the name that sorts first. Test profiles without any correlation are left
+    out; of a gene that a profile repeats, the largest value counts.
     """
-    similar = expression_similarity(expr, test, train).where("similarity IS NOT NULL")
-    best = F.min(F.struct((-F.col("similarity")).alias("distance"), F.col("train")))
-    nearest = similar.groupBy("test").agg(best.alias("best")).select("test", F.col("best.train").alias("train"))
+    roles = test.select("accession", F.lit("test").alias("role")).unionByName(
+        train.select("accession", F.lit("train").alias("role"))
+    ).distinct()
+    listed, _ = small_side(materialise(roles.select("accession").distinct(), "profile-names"))
+    genes = F.array_sort(F.collect_list(F.struct("gene_idx", F.col("y").cast("double").alias("y"))))
+    # A profile's mean is taken off, as sums of squares of large values would cancel.
+    packed = (
+        expr.dropna(subset=["y"]).join(listed, "accession", "left_semi")
+        .groupBy("accession").agg(genes.alias("_genes"), F.avg("y").alias("_mean"))
+        .select("accession", F.col("_genes.gene_idx").alias("genes"), F.transform("_genes.y", lambda v: v - F.col("_mean")).alias("ys"))
+    )
+    packed = materialise(packed, "profiles")
+    widest = packed.agg(F.max(F.size("genes"))).first()[0] or 1
+    per_block = max(1, block_values // widest)
+    dealt = ranks.ordinal(roles.join(packed.select("accession"), "accession"), ["role"], "accession", "at")
+    dealt = materialise(dealt.select("role", "accession", F.floor(F.col("at") / per_block).cast("int").alias("own")), "profile-blocks")
+    last = {r.role: r.last for r in dealt.groupBy("role").agg(F.max("own").alias("last")).collect()}
+    if len(last) < 2:
+        return expr.sparkSession.createDataFrame([], "test string, train string, similarity double")
+    dealt, _ = small_side(dealt)
+    blocks = F.when(F.col("role") == "test", F.lit(last["train"])).otherwise(F.lit(last["test"]))
+    met = packed.join(dealt, "accession").withColumn("other", F.explode(F.sequence(F.lit(0), blocks)))
+    is_test = F.col("role") == "test"
+    best = met.groupBy(
+        F.when(is_test, F.col("own")).otherwise(F.col("other")).alias("test_block"),
+        F.when(is_test, F.col("other")).otherwise(F.col("own")).alias("train_block"),
+    ).applyInPandas(_best_of_blocks, "test string, train string, similarity double")
+    first = F.min(F.struct((-F.col("similarity")).alias("_distance"), F.col("train"), F.col("similarity")))
+    return best.groupBy("test").agg(first.alias("_best")).select("test", "_best.train", "_best.similarity")
+
+
+def impute_from_nearest(
+    expr: DataFrame, preds: DataFrame, test: DataFrame, train: DataFrame, block_values: int = BLOCK_VALUES
+) -> DataFrame:
+    """Predictions of the most similar training biosample, for each test biosample (``nearest_profiles``)."""
+    nearest = nearest_profiles(expr, test, train, block_values).select("test", "train")
     nearest, _ = small_side(materialise(nearest, "nearest"))
     return preds.join(nearest, preds["accession"] == nearest["train"]).select(
         F.col("test").alias("accession"), F.col("train").alias("source"), "gene_idx", "y_hat"

@@ -196,3 +196,29 @@ def test_equal_similarities_go_to_the_first_name(spark):
     test, train = (spark.createDataFrame([(n,) for n in names], "accession string") for names in (["t"], ["y", "x"]))
     preds = expr.withColumnRenamed("y", "y_hat")
     assert {r["source"] for r in metrics.impute_from_nearest(expr, preds, test, train).collect()} == {"x"}
+
+
+@pytest.mark.parametrize("block_values", [4_000_000, 120, 1])
+def test_nearest_profiles_equal_the_best_of_all_pairs(spark, block_values):
+    """Blocks of every size; gaps, a constant profile, copies of one training profile, a name on both sides."""
+    rng = np.random.default_rng(8)
+    values = {f"t{i}": rng.random(40) + 1e4 for i in range(5)} | {f"r{i}": rng.random(40) for i in range(6)}
+    values |= {"r7": values["r3"], "r2b": values["r3"], "flat": np.ones(40)}
+    values["t1"] = values["r3"] * 3 + 1
+    values["t0"][:10] = values["r1"][5:15] = np.nan
+    expr = spark.createDataFrame(profile_rows(values), "accession string, gene_idx bigint, y double")
+    side = lambda names: spark.createDataFrame([(n,) for n in names], "accession string")
+    tests, trains = ["t0", "t1", "t2", "t3", "t4", "r0", "flat", "unheard"], ["r0", "r1", "r2", "r2b", "r3", "r4", "r5", "r7", "flat"]
+    got = {r.test: (r.train, r.similarity) for r in metrics.nearest_profiles(expr, side(tests), side(trains), block_values).collect()}
+    assert set(got) == {"t0", "t1", "t2", "t3", "t4", "r0"}
+    for t, (train, similarity) in got.items():
+        plain = {r: pd.Series(values[t]).corr(pd.Series(values[r])) for r in trains if r != "flat"}
+        assert train == min(plain, key=lambda r: (-round(plain[r], 9), r))
+        assert math.isclose(similarity, plain[train], abs_tol=1e-9)
+    assert got["t1"][0] == "r2b" and got["r0"][0] == "r0"
+
+
+def test_nearest_profiles_without_a_side(spark):
+    expr = spark.createDataFrame([("t", 1, 1.0), ("t", 2, 3.0)], "accession string, gene_idx bigint, y double")
+    none = spark.createDataFrame([], "accession string")
+    assert metrics.nearest_profiles(expr, spark.createDataFrame([("t",)], "accession string"), none).collect() == []

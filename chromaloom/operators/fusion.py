@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.functions import arrays
+from chromaloom.functions import arrays, numeric, permute
 
 
 def vector_mean(vec: str) -> Column:
@@ -68,6 +68,35 @@ def store_dims(grid: DataFrame, batch: int) -> DataFrame:
     return shape.withColumn("steps", F.ceil(items / batch)).drop("n_cells")
 
 
+def epoch_order(rows: DataFrame, n_bio: int, n_items: int, batch: int, seed: int, epoch: int) -> DataFrame:
+    """Rows (b, m) with their ``batch`` and ``place`` in an epoch's order, which is a function of the pair alone.
+
+    Every pair of the n_bio x n_items grid has a position of its own, so nothing is sorted or shuffled here, and
+    each task can tell where its rows go. Pairs outside the grid get nulls.
+    """
+    inside = F.col("b").between(0, n_bio - 1) & F.col("m").between(0, n_items - 1)
+    position = permute.permuted(numeric.flat_index(F.col("b"), F.col("m"), n_items), n_bio * n_items, seed, epoch)
+    placed = rows.withColumn("_position", F.when(inside, position))
+    return placed.withColumns(
+        {"batch": F.call_function("div", F.col("_position"), F.lit(batch)), "place": F.col("_position") % batch}
+    ).drop("_position")
+
+
+def batch_pairs(places: DataFrame, n_bio: int, n_items: int, batch: int, seed: int, epoch: int) -> DataFrame:
+    """The pair (b, m) of each (batch, place) of an epoch: ``epoch_order`` read the other way.
+
+    With it the pairs of some batches are known without a look at any other row. Places that the epoch
+    lacks get nulls.
+    """
+    position = F.col("batch").cast("bigint") * batch + F.col("place")
+    held = F.col("place").between(0, batch - 1) & position.between(0, n_bio * n_items - 1)
+    flat = F.when(held, permute.index_at(position, n_bio * n_items, seed, epoch))
+    found = places.withColumn("_flat", flat)
+    return found.withColumns(
+        {"b": F.call_function("div", F.col("_flat"), F.lit(n_items)), "m": F.pmod("_flat", F.lit(n_items))}
+    ).drop("_flat")
+
+
 def check_training_shapes(hic: DataFrame, seq: DataFrame, y: DataFrame) -> None:
     """Items of both embedding tables must agree and labels must cover every (b, m)."""
     pairs = hic.select("b", "m").distinct()

@@ -198,6 +198,33 @@ def flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("m", "flat", b.alias("b_back"), m.alias("m_back"))
 
 
+@query(
+    "f17_epoch_order",
+    build(
+        """SELECT e AS epoch, i // 64 AS batch, count(*) AS pairs, count(*) AS places, max(i % 64) AS last_place, count(*) AS read_back
+        FROM (SELECT (SELECT max(b) + 1 FROM fx_emb) * count(*) AS n FROM fx_emb), generate_series(0, 1) AS g(e), generate_series(0, n - 1) AS h(i)
+        GROUP BY ALL"""
+    ),
+)
+def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs over every biosample and item: sizes of the batches, and how many places lead back to their pair."""
+    items = fixture(spark, sf_dir, "fx_emb").select("m", "b")
+    n_bio, n_items = items.agg(F.max("b") + 1, F.count(F.lit(1))).first()
+    pairs = items.select("m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_bio - 1).cast("bigint"))).alias("b"))
+    epochs = []
+    for epoch in (0, 1):
+        placed = fusion.epoch_order(pairs, n_bio, n_items, 64, 17, epoch).withColumnsRenamed({"b": "b_was", "m": "m_was"})
+        back = fusion.batch_pairs(placed, n_bio, n_items, 64, 17, epoch)
+        sizes = back.groupBy("batch").agg(
+            F.count(F.lit(1)).alias("pairs"),
+            F.count_distinct("place").alias("places"),
+            F.max("place").alias("last_place"),
+            F.count_if((F.col("b") == F.col("b_was")) & (F.col("m") == F.col("m_was"))).alias("read_back"),
+        )
+        epochs.append(sizes.select(F.lit(epoch).cast("bigint").alias("epoch"), *sizes.columns))
+    return epochs[0].unionByName(epochs[1])
+
+
 # Feature fusion: 8 sequence bins of 8 values against a 2 x 4 grid of 8 values.
 
 COLS_STREAMS = """

@@ -6,7 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chromaloom.functions import arrays, dna, names, numeric
+from chromaloom.functions import arrays, dna, names, numeric, permute
+from chromaloom.operators import fusion
 
 
 def column(spark, values, kind, expr, name="x"):
@@ -127,3 +128,41 @@ def test_flat_index_round_trip(spark):
     df = spark.createDataFrame([(2, 3)], "b bigint, m bigint").select(numeric.flat_index(F.col("b"), F.col("m"), 5).alias("i"))
     b, m = numeric.split_flat_index(F.col("i"), 5)
     assert tuple(df.select("i", b.alias("b"), m.alias("m")).first()) == (13, 2, 3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 10007])
+def test_permutation_holds_every_position_once(spark, n):
+    order = spark.range(n).select("id", permute.permuted(F.col("id"), n, 5, 0).alias("p"), permute.permuted(F.col("id"), n, 5, 1).alias("q"))
+    got = order.select("*", permute.index_at(F.col("p"), n, 5, 0).alias("back")).collect()
+    assert sorted(r.p for r in got) == sorted(r.q for r in got) == list(range(n))
+    assert all(r.back == r.id for r in got)
+    if n >= 1000:
+        assert sum(r.p == r.id for r in got) < 10 and sum(r.p == r.q for r in got) < 10
+        ids, places = zip(*[(r.id, r.p) for r in got])
+        assert abs(np.corrcoef(ids, places)[0, 1]) < 0.1
+        # Neighbours do not stay neighbours.
+        assert np.mean(np.abs(np.diff([p for _, p in sorted(zip(ids, places))])) < n / 100) < 0.1
+
+
+def test_permutation_of_very_many_rows_can_be_undone(spark):
+    n = 10**15 + 37
+    a, b = permute.grid_sides(n)
+    assert 0 <= a * b - n < 10**5
+    ids = spark.range(5000).select((F.col("id") * 199999999999 + 11).alias("id")).unionByName(spark.range(n - 3, n))
+    order = ids.withColumn("p", permute.permuted(F.col("id"), n, 1))
+    got = order.withColumn("back", permute.index_at(F.col("p"), n, 1)).collect()
+    assert all(0 <= r.p < n and r.back == r.id for r in got) and len({r.p for r in got}) == 5003
+    with pytest.raises(ValueError, match="at least one"):
+        permute.grid_sides(0)
+
+
+def test_epoch_order_fills_batches_and_is_read_back(spark):
+    pairs = spark.createDataFrame([(b, m) for b in range(3) for m in range(11)] + [(3, 0), (0, 11), (None, 1)], "b bigint, m bigint")
+    got = fusion.epoch_order(pairs, 3, 11, 8, 7, 2).collect()
+    outside = [r for r in got if r.batch is None]
+    assert {(r.b, r.m) for r in outside} == {(3, 0), (0, 11), (None, 1)}
+    assert {(r.batch, r.place) for r in got if r.batch is not None} == {(i // 8, i % 8) for i in range(33)}
+    asked = spark.createDataFrame([(r.batch, r.place) for r in got if r.batch in (1, 4)] + [(4, 1), (0, 8)], "batch bigint, place bigint")
+    want = {(r.batch, r.place, r.b, r.m) for r in got if r.batch in (1, 4)} | {(4, 1, None, None), (0, 8, None, None)}
+    assert {(r.batch, r.place, r.b, r.m) for r in fusion.batch_pairs(asked, 3, 11, 8, 7, 2).collect()} == want
+    assert fusion.epoch_order(pairs, 3, 11, 8, 7, 2)._jdf.queryExecution().toString().count("Exchange") == 0

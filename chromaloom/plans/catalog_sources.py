@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.operators import infer, perturb
+from chromaloom.operators import balance, contacts, infer, perturb
 from chromaloom.plans import features as ft
 from chromaloom.plans import pipelines
 from chromaloom.plans.ctes import build
 from chromaloom.plans.fixtures import BANDS, CONTEXT, HEIGHT, RESOLUTION, WIDTH, fixture, table
 from chromaloom.plans.registry import query
-from chromaloom.session import scratch_path
+from chromaloom.session import materialise, scratch_path
 from chromaloom.sources import fasta, readers, writers
 
 CHUNK, HALO = 512, CONTEXT
@@ -186,6 +186,60 @@ def fetch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.fetch_manifest(named, "hic")
 
 
+def symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts.symmetrise(ft.window_job(spark, sf_dir).kept)
+
+
+def coverage_sql(power: str) -> str:
+    return build(
+        """SELECT accession, chrom, row, col,
+           round(x * sum(value) OVER (PARTITION BY accession, chrom) / sum(x) OVER (PARTITION BY accession, chrom), 6) + 0.0::DOUBLE AS value FROM scaled""",
+        scaled=f"""(SELECT s.*, s.value / pow(a.m * b.m, {power}::DOUBLE) AS x FROM sym s
+                JOIN (SELECT accession, chrom, row, sum(value) AS m FROM sym GROUP BY ALL) a ON (s.accession, s.chrom, s.row) = (a.accession, a.chrom, a.row)
+                JOIN (SELECT accession, chrom, row, sum(value) AS m FROM sym GROUP BY ALL) b ON (s.accession, s.chrom, s.col) = (b.accession, b.chrom, b.row))""",
+    )
+
+
+def coverage(spark: SparkSession, sf_dir: str, norm: str) -> DataFrame:
+    found = balance.normalise(symmetric(spark, sf_dir), norm)
+    whole = {c: F.col(c).cast("bigint") for c in ("row", "col")}
+    return found.withColumns({**whole, "value": F.round("value", 6)})
+
+
+@query("a1_coverage", coverage_sql("1.0"))
+def coverage_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage(spark, sf_dir, "VC")
+
+
+@query("a1_root_coverage", coverage_sql("0.5"))
+def root_coverage_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage(spark, sf_dir, "VC_SQRT")
+
+
+@query(
+    "a1_balanced_margins",
+    build("SELECT accession, chrom, row AS bin, 1.0::DOUBLE AS margin, 1.0::DOUBLE AS kept FROM sym GROUP BY accession, chrom, row"),
+)
+def balanced_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins of the balanced matrices over their mean, and the share of each total that is kept.
+
+    The derived contacts lack a strong diagonal, without which no balance need exist, so each bin's margin is added to it.
+    """
+    raw = materialise(symmetric(spark, sf_dir), "symmetric")
+    diagonal = balance.margins(raw).select("accession", "chrom", F.col("bin").alias("row"), F.col("bin").alias("col"), F.col("margin").alias("value"))
+    cells = materialise(contacts.sum_cells(raw.unionByName(diagonal)), "with-diagonal")
+    totals = cells.groupBy("accession", "chrom").agg(F.sum(F.col("value").cast("double")).alias("total"))
+    margins = materialise(balance.margins(balance.normalise(cells, "KR")), "balanced")
+    after = margins.groupBy("accession", "chrom").agg(F.avg("margin").alias("mean"), F.sum("margin").alias("balanced"))
+    return margins.join(after.join(totals, ["accession", "chrom"]), ["accession", "chrom"]).select(
+        "accession",
+        "chrom",
+        F.col("bin").cast("bigint").alias("bin"),
+        F.round(F.col("margin") / F.col("mean"), 2).alias("margin"),
+        F.round(F.col("balanced") / F.col("total"), 6).alias("kept"),
+    )
+
+
 # Block side of the stored contacts, scaled like the windows.
 STORED = 64
 BLOCK_SQL = f"""chrom || '.' || CAST(least(row, col) // {STORED} AS VARCHAR) || '.'

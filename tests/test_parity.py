@@ -15,7 +15,7 @@ from chromaloom.plans import catalog
 SF_DIR = os.environ.get("CHROMALOOM_PARITY_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 QUICK = [
-    "a2_read_bedpe10", "a5_read_fasta", "a6_read_expression_files", "a8_read_pairs", "b2_filter_chroms", "b3_contact_mode", "b9_region_index", "d1_matrix_dims",
+    "a1_coverage", "a1_balanced_margins", "a2_read_bedpe10", "a5_read_fasta", "a6_read_expression_files", "a8_read_pairs", "b2_filter_chroms", "b3_contact_mode", "b9_region_index", "d1_matrix_dims",
     "d3_symmetrise", "d4_window_stats", "d9_label_matrix", "f17_epoch_order", "d14_spearman_by_biosample", "d14_spearman_flat", "d15_mean_pool",
     "f5_contact_rgb", "f8_reverse_complement", "f13_to_float16", "g4_pad_columns", "g6_fuse", "j1_stored_windows", "j1_blocks_read", "k1_tiled_contacts", "j2_assemble", "j8_fetch_sequences",
     "j11_biosample_split_join", "j13_impute_from_nearest", "k10_resume_windows", "p2_perturb_expected", "p4_score_pairs", "u1_embed_sequences", "u3_predict_joint", "u7_decoder_outputs", "u7_decoder_scores", "u7_decoder_fused", "w4_biosample_major_order",

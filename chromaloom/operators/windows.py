@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chromaloom.functions import names, numeric
 from chromaloom.operators import contacts, regions as region_ops, skew
-from chromaloom.session import BROADCAST_ROWS, materialise, small_side
+from chromaloom.session import BROADCAST_ROWS, bucketed, materialise, small_side
 
 TILE = 64
 TILE_KEY = ["chrom", "row_tile", "col_tile"]
@@ -202,6 +202,25 @@ def _pair_counts(listed: DataFrame, regions: DataFrame, hot_rows: int) -> DataFr
     return skew.pair_all(owners, keys, order="accession").withColumn("_n", F.col("_owners") * F.col("_regions"))
 
 
+def _items(found: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Columns of paired windows; one without a window is empty, and a stored flag is believed."""
+    return found.select(
+        "bio_idx",
+        "bedpe_idx",
+        "accession",
+        "chrom",
+        "rs",
+        "cs",
+        "submat_key",
+        F.coalesce("row", F.array().cast("array<smallint>")).alias("row"),
+        F.coalesce("col", F.array().cast("array<smallint>")).alias("col"),
+        F.coalesce("data", F.array().cast("array<float>")).alias("data"),
+        F.coalesce("is_empty", F.col("row").isNull() | (F.size("row") == 0)).alias("is_empty"),
+        F.coalesce("total_count", F.lit(0.0)).alias("total_count"),
+        *(more or []),
+    )
+
+
 def assemble(
     biosamples: DataFrame, binned_regions: DataFrame, records: DataFrame, hot_rows: int = skew.HOT_ROWS
 ) -> DataFrame:
@@ -220,20 +239,43 @@ def assemble(
     counts = _pair_counts(listed, binned_regions, hot_rows)
     stored = records.drop("total_count")
     found = skew.join_unique(pairs, stored, ["accession", "submat_key"], "left", hot_rows, counts)
-    return found.select(
-        "bio_idx",
-        "bedpe_idx",
-        "accession",
-        "chrom",
-        "rs",
-        "cs",
-        "submat_key",
-        F.coalesce("row", F.array().cast("array<smallint>")).alias("row"),
-        F.coalesce("col", F.array().cast("array<smallint>")).alias("col"),
-        F.coalesce("data", F.array().cast("array<float>")).alias("data"),
-        F.coalesce("is_empty", F.col("row").isNull() | (F.size("row") == 0)).alias("is_empty"),
-        F.coalesce("total_count", F.lit(0.0)).alias("total_count"),
-    )
+    return _items(found)
+
+
+def colocated_rows(
+    biosamples: DataFrame, regions: DataFrame, records: DataFrame, buckets: int, hot_rows: int = skew.HOT_ROWS
+) -> DataFrame:
+    """``assemble``, with the regions' further columns (sequences), over tables bucketed by window key.
+
+    Windows and regions are written to ``buckets`` buckets of their key, which is the one time that windows move; they
+    meet there without an exchange, biosamples are broadcast, and a model may run in the buckets as they are. Pairs
+    whose window is missing are found on keys alone and meet their regions in their buckets, too. Windows asked for
+    by more than ``hot_rows`` regions would crowd a bucket and go the way of ``assemble`` instead.
+    """
+    if "is_empty" not in records.columns:
+        records = records.withColumn("is_empty", F.lit(None).cast("boolean"))
+    more = [c for c in regions.columns if c not in ("bedpe_idx", "chrom", "rs", "cs", "submat_key")]
+    regions = materialise(regions.select("bedpe_idx", "chrom", "rs", "cs", "submat_key", *more), "regions")
+    hot = regions.groupBy("submat_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select("submat_key")
+    hot = materialise(hot, "hot-windows")
+    few, _ = small_side(hot)
+    places = bucketed(regions.join(few, "submat_key", "left_anti"), "regions", buckets, "submat_key")
+    stored = bucketed(records, "windows", buckets, "submat_key")
+    totals = stored.groupBy("accession").agg(F.max("total_count").alias("total_count"))
+    listed = materialise(biosamples.select("bio_idx", "accession").join(totals, "accession", "left"), "biosamples")
+    narrow, _ = small_side(listed)
+    # Merged by key, whatever the sizes, so that the rows stay in their buckets.
+    found = places.join(stored.drop("total_count").hint("merge"), "submat_key").join(narrow, "accession")
+    asked = skew.pair_all(listed, places.select("submat_key").distinct(), order="bio_idx")
+    missing = asked.join(stored.select("accession", "submat_key"), ["accession", "submat_key"], "left_anti")
+    absent = places.join(missing.hint("merge"), "submat_key")
+    none = {c: F.lit(None).cast(records.schema[c].dataType) for c in ("row", "col", "data", "is_empty")}
+    rows = _items(found, more).unionByName(_items(absent.withColumns(none), more))
+    if hot.isEmpty():
+        return rows
+    crowded = regions.join(few, "submat_key", "left_semi")
+    salted = assemble(biosamples, crowded.drop(*more), stored, hot_rows).join(crowded.select("bedpe_idx", *more), "bedpe_idx")
+    return rows.unionByName(_items(salted, more))
 
 
 def item_meta(items: DataFrame, bedpe: DataFrame) -> DataFrame:

@@ -504,8 +504,9 @@ def embed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def predict_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ft.model_rows(spark, sf_dir)
-    preds = infer.predict(rows, ft.joint_model, ("bio_idx", "bedpe_idx"), "joint", HEIGHT, WIDTH, 16, "float64", partitions=ft.tasks(spark, ft.item_count(spark, sf_dir)))
+    """The model runs in the buckets that windows and tokens were written to; nothing is dealt out again."""
+    rows = ft.bucket_rows(spark, sf_dir)
+    preds = infer.predict(rows, ft.joint_model, ("bio_idx", "bedpe_idx"), "joint", HEIGHT, WIDTH, 16, "float64")
     return preds.select("bio_idx", "bedpe_idx", F.round(F.col("y")[0], 6).alias("y"))
 
 

@@ -99,6 +99,15 @@ def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembled(spark, sf_dir).join(by_region, "bedpe_idx", "left")
 
 
+def bucket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``model_rows`` from windows and tokens that lie in buckets of the window key, as many as the model has tasks."""
+    job = window_job(spark, sf_dir)
+    checked = sequence.seq_by_region(job.binned.select("bedpe_idx"), tokens(spark, sf_dir, "fx_region_bed"), CONTEXT)
+    regions = job.binned.select("bedpe_idx", "chrom", "rs", "cs", "submat_key").join(checked, "bedpe_idx", "full_outer")
+    buckets = tasks(spark, item_count(spark, sf_dir))
+    return windows.colocated_rows(fixture(spark, sf_dir, "fx_biosamples"), regions, pipelines.window_records(job), buckets)
+
+
 def target_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> DataFrame:
     """Every target once per accession whose store has its window; ``unknown_windows`` lists the others."""
     stored = materialise(records(spark, sf_dir), "records")

@@ -67,6 +67,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFrame:
+    """Write once to the shared folder, one file per bucket of ``key``, and read the copy as a bucketed table.
+
+    Joins and groups on ``key`` with other tables of so many buckets then need no exchange. The table is known to
+    this session's catalog under a name of its own.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast a written table if its counted rows allow it, otherwise leave the join to a shuffle.
 

@@ -304,3 +304,47 @@ def test_a_store_keeps_other_accessions_and_drops_old_blocks(spark, tmp_path):
 def test_store_blocks_are_fine_along_the_diagonal(spark):
     cells = spark.createDataFrame([("a", "c", r, c, 1.0) for r, c in [(0, 0), (15, 16), (16, 0), (0, 47), (0, 48), (200, 0)]], "accession string, chrom1 string, row int, col int, value double")
     assert [r.block for r in contacts.with_block(cells, 16).collect()] == ["c.0.0", "c.0.1", "c.0.1", "c.0.1", "c.0.2", "c.0.3"]
+
+
+KINDS = "accession string, submat_key string, row array<smallint>, col array<smallint>, data array<float>, total_count double"
+REGS = "bedpe_idx bigint, chrom string, rs bigint, cs bigint, submat_key string, token_text string"
+
+
+def pairing_inputs(spark):
+    """Repeated windows, a biosample without a store, two of one accession, a stored window nobody asks for."""
+    bios = spark.createDataFrame([(0, "a"), (1, "b"), (2, "none"), (3, "a")], "bio_idx bigint, accession string")
+    regs = spark.createDataFrame([(k, "chr1", k // 4, 0, f"w{k // 4}", f"t{k}" * 50) for k in range(14)], REGS)
+    stored = [("a", "w0", [1], [2], [3.0], 9.0), ("a", "w1", [], [], [], 9.0), ("b", "w1", [0], [0], [1.0], 4.0), ("b", "w9", [0], [0], [1.0], 4.0)]
+    return bios, regs, spark.createDataFrame(stored, KINDS)
+
+
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_colocated_rows_equal_the_assembled_ones(spark, hot):
+    bios, regs, records = pairing_inputs(spark)
+    got = windows.colocated_rows(bios, regs, records, 4, hot)
+    want = windows.assemble(bios, regs.drop("token_text"), records).join(regs.select("bedpe_idx", "token_text"), "bedpe_idx").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 56
+
+
+def moved_columns(node):
+    """Output columns of every shuffle of a plan that ran."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return moved_columns(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return moved_columns(node.plan())
+    children = node.children()
+    found = [x for i in range(children.size()) for x in moved_columns(children.apply(i))]
+    return found + [node.output().mkString(",")] if kind == "ShuffleExchangeExec" else found
+
+
+def test_bucketed_windows_and_sequences_meet_without_an_exchange(spark):
+    rows = windows.colocated_rows(*pairing_inputs(spark), 4)
+    assert rows.rdd.getNumPartitions() == 8
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan()
+    assert "SelectedBucketsCount: 4 out of 4" in plan.toString()
+    assert not any(name in columns for columns in moved_columns(plan) for name in ("token_text", "data#"))
+    plain = windows.assemble(*pairing_inputs(spark)).repartition(3, "submat_key")
+    plain.collect()
+    assert any("data#" in columns for columns in moved_columns(plain._jdf.queryExecution().executedPlan()))

@@ -27,6 +27,10 @@ FEATURES, RANK, EXTRA, SEED = 1 << 17, 128, 8, 3
 # Words of a passage; items are cut densely, documents at every half passage.
 PASSAGE, ITEM_STEP, DOC_STEP = 16, 4, 8
 COSINE = 0.5
+# Bounds are held a little below the cosine, beyond what rounding may take off.
+LOOSE = 0.999 * COSINE
+# So few passages are met word by word, more through the latent vectors of the windows.
+FEW = 32
 # Shares of an item's words found in order: enough alone, or enough together with this share of the answer's.
 LCS_SURE, LCS_LIKELY, ANSWER = 0.7, 0.45, 0.8
 # Shorter items cannot be told from ordinary text and are not searched.
@@ -263,16 +267,7 @@ class Index:
             self.ids.append(item)
             self.words.append(hashed)
             self.answers.append(answer)
-        lengths = np.array([len(hashed) for hashed in self.words], np.int64)[np.array(owner, np.int64)] if owner else np.zeros(0, np.int64)
-        # (window, step, passages, their words): all by windows of a passage, and items shorter than a passage also
-        # by windows of their own length at every word, so that a whole item fills one.
-        self.searches = [(PASSAGE, DOC_STEP, np.arange(len(owner)), known)]
-        for width in np.unique(lengths[lengths < PASSAGE]).tolist():
-            own = np.zeros(FEATURES, bool)
-            for hashed in self.words:
-                if len(hashed) == width:
-                    own[(hashed & np.uint64(FEATURES - 1)).astype(np.int64)] = True
-            self.searches.append((width, 1, np.flatnonzero(lengths == width), own))
+        self.sets = [frozenset(hashed.tolist()) for hashed in self.words]
         self.row = np.full(FEATURES, -1, np.int32)
         used = np.flatnonzero(known)
         self.row[used] = np.arange(len(used))
@@ -280,74 +275,133 @@ class Index:
         self.basis = np.vstack([basis.at(used) * idf[used, None], np.zeros((1, RANK))]).astype(np.float32)
         self.latent = np.array(latent, np.float32).reshape(-1, RANK)
         self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
+        lengths = np.array([len(hashed) for hashed in self.words], np.int64)[self.owner]
+        # All passages are met by windows of a passage, and items shorter than a passage also by windows of their own
+        # length at every word, so that a whole item fills one.
+        self.searches = [self._search(PASSAGE, DOC_STEP, np.arange(len(self.owner)), known)]
+        for width in np.unique(lengths[lengths < PASSAGE]).tolist():
+            own = np.zeros(FEATURES, bool)
+            for hashed in self.words:
+                if len(hashed) == width:
+                    own[(hashed & np.uint64(FEATURES - 1)).astype(np.int64)] = True
+            self.searches.append(self._search(width, 1, np.flatnonzero(lengths == width), own))
 
-    def candidates(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[float, int]]]:
-        """By (text, item): (cosine, where the item would begin) for each window near one of its passages."""
+    def _search(self, width: int, step: int, passages: np.ndarray, known: np.ndarray) -> tuple:
+        """(window, step, passages by falling size, their sizes, their words): the larger, the weaker a window it meets."""
+        size = np.sqrt((self.latent[passages].astype(np.float64) ** 2).sum(1))
+        order = np.argsort(-size, kind="stable")
+        return width, step, passages[order], size[order], known
+
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, list[int], float]]:
+        """(text, item, places where the item would begin, highest cosine) where some window is near a passage of the item."""
         sizes = np.array([len(hashed) for hashed in texts])
         firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         feature = (np.concatenate(texts) & np.uint64(FEATURES - 1)).astype(np.int64)
         row, squares = self.row[feature], self.idf[feature] ** 2
-        found: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for width, step, passages, known in self.searches:
+        row[row < 0] = len(self.basis) - 1
+        keys, places, cosines = [], [], []
+        for width, step, passages, reach, known in self.searches:
             cuts = [_cut(n, step, width) if n else np.zeros(0, np.int64) for n in sizes]
             text = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
             starts = np.concatenate(cuts) + firsts[text]
             ends = np.minimum(starts + width, (firsts + sizes)[text])
-            mine, latent = known[feature], self.latent[passages]
-            # No cosine exceeds the size of the window's part over that of the passage's: of what the bounds below
-            # pass over, none is near.
-            least = 0.999 * COSINE**2 / (latent.astype(np.float64) ** 2).sum(1).max()
-            sums = np.zeros((3, len(feature) + 1))
-            np.cumsum(squares, out=sums[0, 1:])
-            np.cumsum(np.where(mine, squares, 0.0), out=sums[1, 1:])
-            np.cumsum(mine, out=sums[2, 1:])
-            whole, own, count = sums[:, ends] - sums[:, starts]
-            # A word's weight grows with its repeats, of which there are no more than known words.
-            kept = np.flatnonzero((count > 0.5) & (count * own >= least * whole))
-            for k in range(0, len(kept), 1024):
-                some = kept[k : k + 1024]
-                at = starts[some, None] + np.arange(width)
-                real = at < ends[some, None]
-                at = np.minimum(at, len(feature) - 1)
-                here = np.where(real, feature[at], -1)
-                weight = np.where(real, squares[at], 0.0) * (here[:, :, None] == here[:, None, :]).sum(2)
-                square = weight.sum(1)
-                close = np.where(mine[at], weight, 0.0).sum(1) >= least * square
-                some, at, real, square = some[close], at[close], real[close], square[close]
-                used = np.where(real & (row[at] >= 0), row[at], len(self.basis) - 1)
-                z = self.basis[used].sum(1)
-                close = (z**2).sum(1) >= least * square
-                some, z, norm = some[close], z[close], np.sqrt(square[close])
-                near = (z @ latent.T) / norm[:, None]
-                for i, p in zip(*np.nonzero(near >= COSINE)):
-                    passage = passages[p]
-                    place = int(starts[some[i]] - firsts[text[some[i]]] - self.offset[passage])
-                    found.setdefault((int(text[some[i]]), int(self.owner[passage])), []).append((float(near[i, p]), place))
-        return found
+            whole = _spans(squares, starts, ends)
+            # Repeats only add to a window's size, so its cosine without them is no lower.
+            search = self._by_passage if len(passages) <= FEW else self._by_window
+            window, at, product = search(row, squares, known[feature], starts, ends, whole, passages, reach)
+            used, back = np.unique(window, return_inverse=True)
+            cosine = product / np.sqrt(_sizes(feature, squares, starts[used], ends[used], width))[back]
+            near = cosine >= COSINE
+            window, passage = window[near], passages[at[near]]
+            keys.append(text[window] * len(self.ids) + self.owner[passage])
+            places.append(starts[window] - firsts[text[window]] - self.offset[passage])
+            cosines.append(cosine[near])
+        key, place, cosine = np.concatenate(keys), np.concatenate(places), np.concatenate(cosines)
+        order = np.lexsort((place, key))
+        key, place, cosine = key[order], place[order], cosine[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        best = np.maximum.reduceat(cosine, heads).tolist() if len(heads) else []
+        tails = np.append(heads[1:], len(key)).tolist()
+        for head, tail, top in zip(heads.tolist(), tails, best):
+            text, item = divmod(int(key[head]), len(self.ids))
+            yield text, item, place[head:tail].tolist(), top
+
+    def _by_passage(self, row, squares, mine, starts, ends, whole, passages, reach):
+        """(window, passage, product) that may be near: each word's product with a passage, summed over windows."""
+        found = []
+        for k, scores in enumerate((self.basis @ self.latent[passages].T).T):
+            product = _spans(scores[row].astype(np.float64), starts, ends)
+            window = np.flatnonzero((product > 0) & (product >= LOOSE * np.sqrt(whole)))
+            found.append((window, np.full(len(window), k), product[window]))
+        return [np.concatenate(part) for part in zip(*found)]
+
+    def _by_window(self, row, squares, mine, starts, ends, whole, passages, reach):
+        """The same by the latent vectors of the windows, each with the passages that its size allows to be near."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        own, count = _spans(np.where(mine, squares, 0.0), starts, ends), _spans(mine.astype(np.float64), starts, ends)
+        # A word's weight grows with its repeats, of which there are no more than known words.
+        kept = np.flatnonzero((count > 0.5) & (count * own * reach[0] ** 2 >= LOOSE**2 * whole))
+        latent, width = self.latent[passages], int((ends - starts).max(initial=1))
+        for k in range(0, len(kept), 1024):
+            some = kept[k : k + 1024]
+            at = starts[some, None] + np.arange(width)
+            words = np.where(at < ends[some, None], row[np.minimum(at, len(row) - 1)], len(self.basis) - 1)
+            z = self.basis[words].sum(1)
+            # No cosine exceeds the product of the sizes of the two parts.
+            bound = np.sqrt((z.astype(np.float64) ** 2).sum(1) / whole[some])
+            order = np.argsort(-bound)
+            for j in range(0, len(order), 64):
+                block = order[j : j + 64]
+                met = int(np.searchsorted(-reach, -LOOSE / max(bound[block[0]], 1e-300), side="right"))
+                if not met:
+                    break
+                product = z[block] @ latent[:met].T
+                i, p = np.nonzero(product >= (LOOSE * np.sqrt(whole[some[block]]))[:, None])
+                found.append((some[block[i]], p, product[i, p].astype(np.float64)))
+        return [np.concatenate(part) for part in zip(*found)]
 
     def leaks(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int, int, float]]]:
         """(item id, cosine, words in order, item words, share of the answer) of each item found, text by text."""
         out: list[list[tuple[int, float, int, int, float]]] = [[] for _ in texts]
         if not len(self.latent) or not texts:
             return out
-        for (text, item), places in self.candidates(texts).items():
-            words, answer = self.words[item], self.answers[item]
-            slack = PASSAGE // 2 + len(words) // 4
+        for text, item, places, cosine in self.candidates(texts):
+            words, answer, own = self.words[item], self.answers[item], self.sets[item]
+            slack, least = PASSAGE // 2 + len(words) // 4, LCS_LIKELY * len(words)
             best = (0, 0.0)
-            plain = words.tolist()
-            for first, last in _runs(sorted({b for _, b in places})):
+            for first, last in _runs(places):
                 part = texts[text][max(0, first - slack) : max(0, last + len(words) + slack)]
-                there = set(part.tolist())
-                if sum(w in there for w in plain) >= LCS_LIKELY * len(words):
+                there = own.intersection(part.tolist())
+                # Words that the item repeats count each time.
+                if len(there) + len(words) - len(own) >= least and sum(w in there for w in words.tolist()) >= least:
                     told = lcs(answer, part) / len(answer) if len(answer) else 0.0
                     best = max(best, (lcs(words, part), told))
             common, told = best
             share = common / len(words)
             if share >= LCS_SURE or share >= LCS_LIKELY and told >= ANSWER:
-                out[text].append((self.ids[item], max(c for c, _ in places), common, len(words), told))
+                out[text].append((self.ids[item], cosine, common, len(words), told))
         return [sorted(found) for found in out]
 
 
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the values from each start to its end."""
+    sums = np.zeros(len(values) + 1)
+    np.cumsum(values, out=sums[1:])
+    return sums[ends] - sums[starts]
+
+
+def _sizes(feature: np.ndarray, squares: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Squared lengths of windows as TF-IDF vectors: a word that occurs twice weighs twice as much."""
+    out = np.zeros(len(starts))
+    for k in range(0, len(starts), 1024):
+        at = starts[k : k + 1024, None] + np.arange(width)
+        real = at < ends[k : k + 1024, None]
+        at = np.minimum(at, len(feature) - 1)
+        here = np.where(real, feature[at], -1)
+        out[k : k + 1024] = (np.where(real, squares[at], 0.0) * (here[:, :, None] == here[:, None, :]).sum(2)).sum(1)
+    return out
+
+
 def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
     """First and last of the places that lie within a passage of a first one."""
     first = last = places[0]

@@ -19,6 +19,7 @@ def join_unique(
     on: Sequence[str],
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    *,
     counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` (unique in ``on``) without a hot key landing in one task.

@@ -238,7 +238,7 @@ def assemble(
     )
     counts = _pair_counts(listed, binned_regions, hot_rows)
     stored = records.drop("total_count")
-    found = skew.join_unique(pairs, stored, ["accession", "submat_key"], "left", hot_rows, counts)
+    found = skew.join_unique(pairs, stored, ["accession", "submat_key"], "left", hot_rows, counts=counts)
     return _items(found)
 
 

@@ -283,8 +283,8 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def perturbation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.target_pairs(spark, sf_dir, with_tokens=True).select(
-        "accession", "target_idx", "submat_key", F.size("data").cast("bigint").alias("nnz"), "is_empty", "token_text"
+    return ft.target_pairs(spark, sf_dir, with_tokens=True, arrays=False).select(
+        "accession", "target_idx", "submat_key", F.col("data").cast("bigint").alias("nnz"), "is_empty", "token_text"
     )
 
 

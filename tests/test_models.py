@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chromaloom.functions import numeric
 from chromaloom.operators import decoder, fusion, image, infer, perturb, sequence
 from chromaloom.plans import features
 from chromaloom.sources import fasta
@@ -320,3 +321,42 @@ def test_token_rows_must_match_regions(spark):
             sequence.seq_by_region(regions, bad, 2).collect()
     with pytest.raises(Exception, match="must have 3"):
         sequence.seq_by_region(regions, tokens, 3).collect()
+
+
+def test_images_of_edited_windows_need_no_gathering(spark):
+    """Against ``paired_images``; bounds beyond the window, empty blocks and blocks that hold the largest cell."""
+    more = [*TARGETS, (3, "chr1:0,0", 3, 4, 7, 8, 0), (4, "chr1:0,0", -2, 9, -1, 3, 0), (5, "chr1:0,0", 0, 4, 0, 8, 0), (6, "chr1:0,0", 3, 1, 6, 2, 0)]
+    targets = spark.createDataFrame(more, TARGET)
+    pairs = perturb.perturbation_pairs(targets, records(spark))
+    expected = perturb.expectation(bands(spark), BANDS)
+    old = perturb.paired_images(pairs, perturb.perturb_records(pairs, expected, "k_expected", H, W, OFFSET), H, W)
+    topped = perturb.perturbation_pairs(targets, perturb.edge_tops(records(spark), H, W))
+    new = perturb.edited_images(topped, expected, H, W, OFFSET)
+    columns = ["target_idx", "variant", "row", "col", "red", "green", "blue"]
+    plain = lambda df: sorted((*r[:4], *(round(v, 9) for v in r[4:])) for r in df.select(*columns).collect())
+    assert plain(new) == plain(old)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Window" not in plan
+
+
+def test_scores_come_from_one_row_a_pair(spark):
+    tokens = spark.createDataFrame([(0, "0123"), (1, "..44")], "region_idx bigint, token_text string")
+    pairs = perturb.perturbation_pairs(spark.createDataFrame(TARGETS, TARGET), records(spark), tokens, 3)
+    expected = perturb.expectation(bands(spark), BANDS)
+    edited = perturb.perturb_records(pairs, expected, "k_expected", H, W, OFFSET)
+    want = {r.target_idx: r for r in perturb.score_pairs(pairs, edited, features.joint_model, H, W, dtype="float64").collect()}
+    scored = perturb.score_edits(pairs, expected, features.joint_model, H, W, OFFSET, dtype="float64")
+    got = {r.target_idx: r for r in scored.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i][c] - want[i][c]) < 1e-12 for i in got for c in ("y_orig", "y_pert", "delta"))
+    # Windows move by their key only: no exchange by target stands between the join and the model.
+    assert "hashpartitioning(accession, target_idx" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_in_plain_arithmetic(spark):
+    values = [0.5, -0.5, 2.5, -1.25, 3.4028235e38, float("inf"), float("nan"), -0.0, 1e-9, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.r for r in rows.select(numeric.round_half(F.col("v"), 0).alias("r")).collect()]
+    assert got[:6] == [1, -1, 3, -1, 3.4028235e38, float("inf")]
+    assert np.isnan(got[6]) and str(got[7]) == "0.0" and got[8] == 0 and got[9] is None
+    assert rows.select(numeric.round_half(F.col("v"), 1).alias("r")).collect()[3].r == -1.3

@@ -32,3 +32,13 @@ def test_every_stored_target_is_edited_right(spark):
     want = connection.execute(text).fetchall()
     got = catalog_features.perturb_expected(spark, SMALL).select("accession", "target_idx", "row", "col", "value").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_pairs_are_not_written_with_their_windows(spark, monkeypatch):
+    """A window is written once, not once for every target that asks for it."""
+    written = []
+    plain = features.materialise
+    monkeypatch.setattr(features, "materialise", lambda df, label: written.append(df.columns) or plain(df, label))
+    assert features.target_pairs(spark, SMALL).count() > 0
+    assert not any("data" in columns and "target_idx" in columns for columns in written)

@@ -393,7 +393,7 @@ def write_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "attribution-store")
     writers.write_attributions(ft.attributions(spark, sf_dir, "float64"), path)
     stored = spark.read.parquet(path).withColumn("accession", F.col("accession").cast("string"))
-    return ft.attribution_view(stored)
+    return ft.attribution_view(infer.array_totals(stored, seq_total="seq_attr", hic_total="hic_attr"))
 
 
 @query(

@@ -348,3 +348,59 @@ def test_bucketed_windows_and_sequences_meet_without_an_exchange(spark):
     plain = windows.assemble(*pairing_inputs(spark)).repartition(3, "submat_key")
     plain.collect()
     assert any("data#" in columns for columns in moved_columns(plain._jdf.queryExecution().executedPlan()))
+
+
+def test_window_models_run_once_a_window(spark):
+    """Against a prediction of every item: shared, missing and flagged windows, and an accession without any."""
+    from chromaloom.operators import infer
+    from chromaloom.plans import features
+
+    biosamples = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "none")], "bio_idx bigint, accession string")
+    regions = spark.createDataFrame(
+        [(i, "chr1", 0, i % 3, f"chr1:0,{i % 3}") for i in range(7)], "bedpe_idx bigint, chrom string, rs bigint, cs bigint, submat_key string"
+    )
+    record = "accession string, submat_key string, row array<smallint>, col array<smallint>, data array<float>, is_empty boolean, total_count double"
+    stored = [("a", "chr1:0,0", [0, 1], [0, 3], [1.0, 9.0], False, 50.0), ("a", "chr1:0,1", [0], [1], [3.0], True, 50.0), ("b", "chr1:0,2", [1], [2], [4.0], False, 7.0)]
+    stored = spark.createDataFrame(stored, record)
+    items = windows.assemble(biosamples, regions, stored, partitions=3)
+    keys = ("bio_idx", "bedpe_idx")
+    want = infer.predict(items, features.contact_model, keys, "contact", 2, 4, dtype="float64")
+    got = infer.predict_windows(biosamples, regions, stored, features.contact_model, 2, 4, dtype="float64")
+    plain = lambda df: sorted((r.bio_idx, r.bedpe_idx, round(r.y[0], 12)) for r in df.collect())
+    assert len(plain(got)) == 28 and plain(got) == plain(want)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attributions_are_written_where_they_are_made(spark, tmp_path):
+    """Neither an exchange nor a sort carries the arrays, the session's setting is as before, and sums are read back."""
+    from chromaloom.operators import infer
+    from chromaloom.sources import writers
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = [("a", 0, [1.0, 2.5], [0.5]), ("b", 1, [], [4.0]), ("a", 2, [3.0], [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "accession string, bedpe_idx bigint, seq_attr array<double>, hic_attr array<double>").repartition(3)
+    for _ in range(2):
+        writers.write_attributions(df, str(tmp_path / "store"))
+    assert spark.conf.get(name) == before
+    sums = infer.array_totals(spark.read.parquet(str(tmp_path / "store")), seq_total="seq_attr", hic_total="hic_attr")
+    assert sorted((r.accession, r.bedpe_idx, r.seq_total, r.hic_total) for r in sums.collect()) == [("a", 0, 3.5, 0.5), ("a", 2, 3.0, 2.0), ("b", 1, 0.0, 4.0)]
+    assert len(list((tmp_path / "store" / "accession=a").glob("*.parquet"))) == 2
+
+
+def test_repeated_windows_of_a_batch_are_drawn_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from chromaloom.operators import infer
+
+    data = [[1.0, 2.0], [1.0, 2.0], [], [1.0, 2.0], []]
+    batch = pa.RecordBatch.from_pydict({
+        "row": pa.array([[0, 1] if d else [] for d in data], pa.list_(pa.int16())), "col": pa.array([[0, 1] if d else [] for d in data], pa.list_(pa.int16())),
+        "data": pa.array(data, pa.list_(pa.float32())), "is_empty": [False, False, True, True, True], "total_count": [1.0, 2.0, 3.0, 4.0, 5.0],
+    })
+    assert infer.repeated_windows(batch) == ([0, 2, 3], [0, 0, 1, 2, 1])
+    assert infer.repeated_windows(batch.slice(1)) == ([0, 1, 2], [0, 1, 2, 1])
+    img, total = infer.batch_inputs(batch, "contact", 2, 2, "float64")
+    alone = np.concatenate([infer.batch_inputs(batch.slice(i, 1), "contact", 2, 2, "float64")[0] for i in range(5)])
+    assert (img == alone).all() and total.tolist() == [1, 2, 3, 4, 5]

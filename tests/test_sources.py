@@ -197,3 +197,14 @@ def test_perturbation_csv_has_header_and_no_index(spark, tmp_path):
 
 def test_normalisation_tags():
     assert "NONE" in contacts.NORMALISATIONS
+
+
+def test_running_totals_of_a_fasta_take_bounded_blocks(spark, tmp_path):
+    """However large a split is: its lines go to the window in blocks of a few, with the same offsets."""
+    text = "".join(f">c{i} x\n" + "ACGT\n" * (3 * i) + "A\n" for i in range(9))
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_text(">d\nAC\nG\n")
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    want = [(f"c{i}", 4 * j, "ACGT" if j < 3 * i else "A") for i in range(9) for j in range(3 * i + 1)] + [("d", 0, "AC"), ("d", 2, "G")]
+    for most in (1, 7, 1000):
+        assert plain(fasta.read_fasta_lines(spark, str(tmp_path), most)) == sorted(want)

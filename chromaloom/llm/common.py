@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
@@ -34,12 +35,8 @@ def arrow_column(function: Callable[[pa.Array], pa.Array], returns: str, text_co
     return F.arrow_udf(function, returns, ArrowUDFType.SCALAR)(F.col(text_col).cast("string"))
 
 
-def shared(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcast a model of bounded size; the returned function gives it in a task.
-
-    It is packed together with the code of its class, so executors need no copy of the package.
-    """
-    packed, opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+def _opener(packed: Broadcast) -> Callable[[], object]:
+    opened = []
 
     def get() -> object:
         if not opened:
@@ -47,3 +44,21 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
         return opened[0]
 
     return get
+
+
+def shared(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a model of bounded size; the returned function gives it in a task.
+
+    It is packed together with the code of its class, so executors need no copy of the package.
+    """
+    return _opener(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+
+
+@contextmanager
+def lent(spark: SparkSession, value: object) -> Iterator[Callable[[], object]]:
+    """As ``shared``, for jobs that end inside the block: every copy of the model goes afterwards."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    try:
+        yield _opener(packed)
+    finally:
+        packed.destroy()

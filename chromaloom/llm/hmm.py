@@ -9,17 +9,16 @@ thus that of its symbols times that of the words behind the common symbol, and i
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.llm.common import arrow_column, shared
-from chromaloom.session import materialise
+from chromaloom.llm.common import arrow_column, lent, shared
+from chromaloom.session import materialise, passing_shuffles
 
 STATES = 8
 # Words whose counts every task knows; the counts of all others are joined by a shuffle.
@@ -29,39 +28,51 @@ SYMBOLS = KNOWN_WORDS
 # Rounds before the last ones, and the last ones, each on all documents.
 WARM_ROUNDS, FULL_ROUNDS = 6, 1
 SEED, PRIOR = 5, 0.5
-# Tokens whose state probabilities are held at a time, and distinct words counted before they are passed on.
-GROUP_TOKENS, FLUSH_WORDS = 1 << 20, 1 << 18
+# Tokens whose state probabilities are held at a time, those that fit a processor's cache, and bytes of text cut into
+# words at a time (or one text).
+GROUP_TOKENS, CHUNK_TOKENS, SLICE_BYTES = 1 << 19, 1 << 12, 1 << 24
+# Symbols whose expected counts travel as one row.
+BLOCK = 1024
 # The end of a text among the words: no word holds a blank.
 END = " "
 
 
 def tokens(text: bytes | None) -> list[bytes]:
+    """The words of one text, as ``_words`` has them of a column."""
     return (text or b"").lower().split()
 
 
-def _texts(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
+def _slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in parts of bounded size (or of one text), null texts empty."""
+    texts = pc.fill_null(column, "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield texts[at:end]
+        at = end
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (A-Z lower-cased, cut at ASCII white space), and the number of each word's text."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, owners = cut.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
+    # White space at either end of a text leaves an empty part there.
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), owners[full.to_numpy(zero_copy_only=False)]
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) over whole texts, the end of each text counted as the word END; null texts are empty."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            words, counts = pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())
-            return pa.RecordBatch.from_arrays([words, counts], ["word", "c"])
-
         for batch in batches:
-            for text in _texts(batch.column(0)):
-                seen.update(tokens(text))
-                if len(seen) > FLUSH_WORDS:
-                    yield rows()
-                    seen.clear()
-            seen[END.encode()] += batch.num_rows
-        if seen:
-            yield rows()
+            for texts in _slices(batch.column(0)):
+                words, counts = pc.value_counts(_words(texts)[0]).flatten()
+                words = pa.concat_arrays([words, pa.array([END], words.type)])
+                counts = pa.concat_arrays([counts, pa.array([len(texts)], pa.int64())])
+                yield pa.RecordBatch.from_arrays([words, counts], ["word", "c"])
 
     partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
@@ -72,6 +83,7 @@ class Vocabulary:
 
     def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int, ends: int):
         self.words, self.counts = words, counts.astype(np.int64)
+        self.listed = pa.array(words, pa.string())
         self.total, self.distinct, self.ends = total, distinct, ends
         self.symbols = min(SYMBOLS, len(words))
         self.end, self.other = self.symbols, self.symbols + 1
@@ -84,16 +96,22 @@ class Vocabulary:
     def symbol_counts(self) -> np.ndarray:
         return np.concatenate([self.counts[: self.symbols], [self.ends, self.other_total]]).astype(np.float64)
 
-    def reader(self):
-        places = {word.encode(): k for k, word in enumerate(self.words)}.get
-        end = np.array([self.end], np.int32)
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Symbols of all texts (each with its end), where each text's begin and end, and of all words the word, its
+        place (-1 beyond the known ones) and its text's number."""
+        words, owners = _words(texts)
+        found = pc.index_in(words, self.listed.cast(words.type))
+        at = pc.fill_null(found, -1).to_numpy()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(texts)) + 1)])
+        symbols = np.full(cuts[-1], self.end, np.int32)
+        symbols[np.arange(len(at)) + owners] = np.where((at >= 0) & (at < self.symbols), at, self.other)
+        return symbols, cuts, words, at, owners
 
+    def reader(self):
         def read(text: bytes | None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-            """Symbols (with the end), words, and the words' places (-1 beyond the known ones)."""
-            words = tokens(text)
-            at = np.fromiter(map(places, words, repeat(-1)), np.int32, len(words))
-            plain = np.where((at >= 0) & (at < self.symbols), at, self.other).astype(np.int32)
-            return np.concatenate([plain, end]), words, at
+            """Symbols (with the end), words, and the words' places of one text."""
+            symbols, _, words, at, _ = self.read(pa.array([text or b""], pa.binary()).cast(pa.string()))
+            return symbols, words.cast(pa.binary()).to_pylist(), at
 
         return read
 
@@ -103,6 +121,7 @@ class Chain:
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
+        self._kept = self._room = None
 
     @classmethod
     def first(cls, counts: np.ndarray, states: int) -> Chain:
@@ -111,62 +130,123 @@ class Chain:
         step = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
         return cls(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
+    def _scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions (state by symbol) over each symbol's largest one, and these largest ones."""
+        if self._kept is None:
+            emit = np.ascontiguousarray(self.emit.T, np.float64)
+            top = emit.max(0)
+            self._kept = emit / top, top
+        return self._kept
+
+    def _rooms(self, size: int) -> list[np.ndarray]:
+        """Three arrays, state by token, whose memory is used again by the next group."""
+        states = len(self.start)
+        if self._room is None or self._room.shape[1] < states * size:
+            self._room = np.empty((3, states * size))
+        return [room[: states * size].reshape(states, size) for room in self._room]
+
+    def _seen(self, flat: np.ndarray, out: np.ndarray) -> np.ndarray:
+        for row, place in zip(self._scaled()[0], out):
+            row.take(flat, out=place, mode="clip")
+        return out
+
+    def _stride(self) -> int:
+        """Steps that may pass without scaling.
+
+        With scaled emissions a step leaves at least the least transition of the whole, so between two scalings
+        nothing falls below 1e-100.
+        """
+        least = min(self.step.min(), self.start.min())
+        return max(1, int(-100 / math.log10(least))) if 0 < least < 0.1 else 1 if least <= 0 else 100
+
     @staticmethod
-    def _order(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.array([len(s) for s in sequences])
+    def _order(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]:
+        """The sequences by falling length, the symbols step by step in that order, and their places as sequences lie
+        one after another; how many still run at each step (they stand first), and where each step begins."""
+        lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        flat = np.concatenate([sequences[k] for k in order])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        # Sequences still running at each step: they stand first, as the longest do.
         running = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-        return order, flat, starts, running
+        begins = np.concatenate([[0], np.cumsum(running)])
+        places, at = np.empty(begins[-1], np.int64), 0
+        for rank, n in enumerate(lengths.tolist()):
+            np.add(begins[:n], rank, out=places[at : at + n])
+            at += n
+        flat = np.empty(len(places), np.int32)
+        flat[places] = np.concatenate([sequences[k] for k in order])
+        return order, flat, places, running.tolist(), begins.tolist()
 
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
-        order, flat, starts, running = self._order(sequences)
+        order, flat, places, running, begins = self._order(sequences)
+        every, turned = self._stride(), np.ascontiguousarray(self.step.T)
+        seen, spare, _ = self._rooms(len(flat))
+        self._seen(flat, seen)
         logs = np.zeros(len(sequences))
-        state = None
-        for t, n in enumerate(running):
-            seen = self.emit[flat[starts[:n] + t]]
-            state = seen * self.start if t == 0 else (state[:n] @ self.step) * seen
-            scale = state.sum(1)
-            state /= scale[:, None]
-            logs[:n] += np.log10(scale)
+        state = np.multiply(seen[:, : running[0]], self.start[:, None], out=spare[:, : running[0]])
+        for t in range(1, len(running)):
+            n, last = running[t], running[t - 1]
+            if n < last:
+                logs[n:last] += np.log10(state[:, n:].sum(0))
+            here = slice(begins[t], begins[t] + n)
+            state = np.matmul(turned, state[:, :n], out=spare[:, here])
+            state *= seen[:, here]
+            if t % every == 0:
+                scale = state.sum(0)
+                state /= scale
+                logs[:n] += np.log10(scale)
+        logs[: running[-1]] += np.log10(state.sum(0))
+        starts = np.cumsum([0, *[len(sequences[k]) for k in order[:-1]]])
+        logs += np.add.reduceat(np.log10(self._scaled()[1]).take(flat)[places], starts)
         out = np.empty(len(sequences))
         out[order] = logs
         return out
 
     def expectations(self, sequences: list[np.ndarray], sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add the expected counts of starts, transitions and emissions to ``sums``."""
-        _, flat, starts, running = self._order(sequences)
+        """Add the expected counts of starts, transitions and emissions to ``sums``.
+
+        Both passes scale as they like, as every token's products are brought to sum one afterwards.
+        """
+        _, flat, _, running, begins = self._order(sequences)
         start, step, emit = sums
-        states = len(self.start)
-        forward, scales = np.empty((len(flat), states)), np.empty(len(flat))
-        state = None
-        for t, n in enumerate(running):
-            at = starts[:n] + t
-            seen = self.emit[flat[at]]
-            state = seen * self.start if t == 0 else (state[:n] @ self.step) * seen
-            scale = state.sum(1)
-            state /= scale[:, None]
-            forward[at], scales[at] = state, scale
-        back = np.zeros((len(sequences), states))
-        ahead = 0
-        turned = self.step.T.copy()
+        every, onward = self._stride(), np.ascontiguousarray(self.step)
+        turned = np.ascontiguousarray(onward.T)
+        weighed, forward, back = self._rooms(len(flat))
+        # First the scaled emissions, in the pass back then times the probability of what follows.
+        self._seen(flat, weighed)
+        state = np.multiply(weighed[:, : running[0]], self.start[:, None], out=forward[:, : running[0]])
+        for t in range(1, len(running)):
+            here = slice(begins[t], begins[t] + running[t])
+            state = np.matmul(turned, state[:, : running[t]], out=forward[:, here])
+            state *= weighed[:, here]
+            if t % every == 0:
+                state /= state.sum(0)
+        ahead, later = 0, weighed[:, :0]
         for t in range(len(running) - 1, -1, -1):
-            n = running[t]
-            at = starts[:n] + t
+            here = slice(begins[t], begins[t] + running[t])
+            after = back[:, here]
+            after[:, ahead:] = 1.0
             if ahead:
-                later = starts[:ahead] + t + 1
-                weighed = self.emit[flat[later]] * back[:ahead] / scales[later][:, None]
-                step += self.step * (forward[at[:ahead]].T @ weighed)
-                back[:ahead] = weighed @ turned
-            back[ahead:n] = 1.0
-            forward[at] *= back[:n]
-            ahead = n
-        start += forward[starts].sum(0)
-        for k in range(states):
-            emit[:, k] += np.bincount(flat, forward[:, k], len(emit))
+                np.matmul(onward, later, out=after[:, :ahead])
+            later = weighed[:, here]
+            later *= after
+            if t % every == 0:
+                later /= later.sum(0)
+            ahead = running[t]
+        for at in range(0, len(flat), CHUNK_TOKENS):
+            part = slice(at, at + CHUNK_TOKENS)
+            both = np.multiply(forward[:, part], back[:, part], out=back[:, part])
+            each = 1 / both.sum(0)
+            forward[:, part] *= each
+            both *= each
+        # Of every token but the first ones, the place of the one before it.
+        first, counts = running[0], np.array(running)
+        previous = np.arange(first, len(flat)) - np.repeat(counts[:-1], counts[1:])
+        pairs = np.zeros_like(onward)
+        for at in range(0, len(previous), CHUNK_TOKENS):
+            pairs += forward.take(previous[at : at + CHUNK_TOKENS], 1) @ weighed[:, first + at : first + at + CHUNK_TOKENS].T
+        start += back[:, :first].sum(1)
+        step += onward * pairs
+        emit += np.stack([np.bincount(flat, share, len(emit)) for share in back]).T
 
 
 def _groups(numbered: list[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -183,49 +263,61 @@ def _groups(numbered: list[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int,
 
 
 def _sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(symbols) of every text, a written table: texts are cut into words once, however many rounds follow."""
+    """(symbols) of every text, a written table: texts are cut into words once, however many rounds follow.
+
+    The symbols of a text are one binary value, four bytes each, which passes through Spark as it is.
+    """
     held = shared(docs.sparkSession, vocabulary)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = held().reader()
         for batch in batches:
-            found = [one(text)[0] for text in _texts(batch.column(0))]
-            if found:
-                ends = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
-                symbols = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
-                yield pa.RecordBatch.from_arrays([symbols], ["symbols"])
+            for texts in _slices(batch.column(0)):
+                symbols, cuts, *_ = held().read(texts)
+                ends = pa.py_buffer((4 * cuts).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer(symbols)])
+                yield pa.RecordBatch.from_arrays([packed], ["symbols"])
 
-    return materialise(docs.select("text").mapInArrow(read, "symbols array<int>"), "symbols")
+    return materialise(docs.select("text").mapInArrow(read, "symbols binary"), "symbols")
 
 
 def _reestimate(sequences: DataFrame, vocabulary: Vocabulary, chain: Chain) -> Chain:
-    """One Baum-Welch round: tasks send their expected counts, summed by symbol and state in a shuffle.
+    """One Baum-Welch round: tasks send their expected counts, summed by blocks of symbols in a shuffle.
 
-    A task's sums are made in double precision and sent in single precision, which halves what is shuffled.
+    A task's sums are made in double precision and sent in single precision, which halves what is shuffled; so are
+    the emissions that tasks get.
     """
-    held = shared(sequences.sparkSession, chain)
     states, width = len(chain.start), len(chain.emit)
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held()
-        sums = np.zeros(states), np.zeros((states, states)), np.zeros((width, states))
-        for batch in batches:
-            column = batch.column(0)
-            flat, cuts = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()])
-            numbered = [(k, flat[cuts[k] : cuts[k + 1]]) for k in range(len(column))]
-            for group in _groups(numbered):
-                model.expectations([s for _, s in group], sums)
-        rows = np.vstack([sums[0][None, :], sums[1], sums[2]])
-        used = np.flatnonzero(rows.any(1))
-        arrays = [pa.array(used, pa.int32()), *[pa.array(rows[used, k].astype(np.float32)) for k in range(states)]]
-        yield pa.RecordBatch.from_arrays(arrays, ["row", *[f"s{k}" for k in range(states)]])
-
-    columns = [f"s{k}" for k in range(states)]
-    partial = sequences.mapInArrow(expect, "row int, " + ", ".join(f"{c} float" for c in columns))
-    summed = partial.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
-    rows = np.zeros((1 + states + width, states))
-    for k, column in enumerate(columns):
-        rows[summed["row"].to_numpy(), k] = summed[column].to_numpy()
+    size = BLOCK * states
+
+    with lent(sequences.sparkSession, Chain(chain.start, chain.step, chain.emit.astype(np.float32))) as held:
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = held()
+            rows = np.zeros((1 + states + width, states))
+            sums = rows[0], rows[1 : 1 + states], rows[1 + states :]
+            for batch in batches:
+                numbered = [(k, np.frombuffer(packed.as_buffer(), np.int32)) for k, packed in enumerate(batch.column(0))]
+                for group in _groups(numbered):
+                    model.expectations([s for _, s in group], sums)
+            blocks = [(k, rows[at : at + BLOCK].ravel()) for k, at in enumerate(range(0, len(rows), BLOCK))]
+            used = [(k, block.astype(np.float32).tobytes()) for k, block in blocks if block.any()]
+            arrays = [pa.array([k for k, _ in used], pa.int32()), pa.array([block for _, block in used], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "sums"])
+
+        def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for part in parts:
+                for packed in part.column("sums"):
+                    total = total + np.frombuffer(packed.as_buffer(), np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+
+        partial = sequences.mapInArrow(expect, "block int, sums binary")
+        summed = partial.groupBy("block").applyInArrow(add, "block int, sums binary").toArrow()
+    flat = np.zeros(-(-(1 + states + width) // BLOCK) * size)
+    for block, packed in zip(summed["block"].to_pylist(), summed["sums"].to_pylist()):
+        found = np.frombuffer(packed)
+        flat[block * size : block * size + len(found)] = found
+    rows = flat.reshape(-1, states)[: 1 + states + width]
     start, step, emit = rows[0] + PRIOR, rows[1 : 1 + states] + PRIOR, rows[1 + states :]
     # One more occurrence of every word, dealt over the states as all words are: one state alone is the add-one model.
     more = np.ones(width)
@@ -255,17 +347,18 @@ def fit(docs: DataFrame, text_col: str = "text", states: int = STATES) -> Model:
     count, so no task has to order them all. Without rows the chain is uniform over end and other.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = materialise(count_words(texts), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words = counts.where(F.col("word") != END)
-    known = words.where(F.col("c") >= _least_known(words)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    vocabulary = Vocabulary(known["word"].to_pylist(), known["c"].to_numpy(), total, distinct, ends)
-    chain = Chain.first(vocabulary.symbol_counts(), states)
-    if ends:
-        sequences = _sequences(texts, vocabulary)
-        for _ in range(WARM_ROUNDS + FULL_ROUNDS):
-            chain = _reestimate(sequences, vocabulary, chain)
+    with passing_shuffles(docs.sparkSession):
+        counts = materialise(count_words(texts), "word-counts")
+        total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        words = counts.where(F.col("word") != END)
+        known = words.where(F.col("c") >= _least_known(words)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+        vocabulary = Vocabulary(known["word"].to_pylist(), known["c"].to_numpy(), total, distinct, ends)
+        chain = Chain.first(vocabulary.symbol_counts(), states)
+        if ends:
+            sequences = _sequences(texts, vocabulary)
+            for _ in range(WARM_ROUNDS + FULL_ROUNDS):
+                chain = _reestimate(sequences, vocabulary, chain)
     return Model(counts, vocabulary, chain)
 
 
@@ -281,47 +374,33 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     held = shared(docs.sparkSession, (model.vocabulary, model.chain))
     vocabulary = model.vocabulary
 
-    def judge(column: pa.Array) -> pa.Array:
+    def judge_slice(texts: pa.Array) -> pa.Array:
         own, chain = held()
-        read, logs = own.reader(), np.log10(own.counts + 1.0)
-        end_log = math.log10(own.ends + 1)
-        size = len(column)
-        n_tokens, n_known, n_rest = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        base, other, likelihood = np.zeros(size), np.zeros(size), np.zeros(size)
-        far_words: list[bytes] = []
-        far_counts: list[int] = []
-        far_ends = [0]
-        waiting: list[tuple[int, np.ndarray]] = []
-        held_tokens = 0
-
-        def flush() -> None:
-            nonlocal waiting, held_tokens
-            for group in _groups(waiting):
-                likelihood[[k for k, _ in group]] = chain.log10_likelihood([s for _, s in group])
-            waiting, held_tokens = [], 0
-
-        for k, text in enumerate(_texts(column)):
-            symbols, words, at = read(text)
-            inside = at[at >= 0]
-            n_tokens[k], n_rest[k] = len(symbols), len(words) - len(inside)
-            n_known[k] = len(inside) + (own.ends > 0)
-            base[k] = logs[inside].sum() + end_log - (len(inside) + 1) * own.base_norm
-            hidden = inside[inside >= own.symbols]
-            other[k] = logs[hidden].sum() - len(hidden) * own.other_norm
-            far = Counter(words[j] for j in np.flatnonzero(at < 0))
-            far_words.extend(far.keys())
-            far_counts.extend(far.values())
-            far_ends.append(len(far_words))
-            waiting.append((k, symbols))
-            held_tokens += len(symbols)
-            if held_tokens > 4 * GROUP_TOKENS:
-                flush()
-        flush()
+        logs, size = np.log10(own.counts + 1.0), len(texts)
+        symbols, cuts, words, at, owners = own.read(texts)
+        inside, hidden = at >= 0, at >= own.symbols
+        n_inside, n_hidden = (np.bincount(owners[x], minlength=size) for x in (inside, hidden))
+        n_tokens = np.diff(cuts)
+        n_rest, n_known = n_tokens - 1 - n_inside, n_inside + (own.ends > 0)
+        base = np.bincount(owners[inside], logs[at[inside]], size) + math.log10(own.ends + 1) - (n_inside + 1) * own.base_norm
+        other = np.bincount(owners[hidden], logs[at[hidden]], size) - n_hidden * own.other_norm
+        likelihood = np.zeros(size)
+        for group in _groups([(k, symbols[cuts[k] : cuts[k + 1]]) for k in range(size)]):
+            likelihood[[k for k, _ in group]] = chain.log10_likelihood([s for _, s in group])
+        # The words beyond the known ones, once for each text.
+        far = words.filter(pa.array(~inside)).dictionary_encode()
+        pairs, counts = np.unique(owners[~inside] * max(len(far.dictionary), 1) + far.indices.to_numpy(), return_counts=True)
+        far_owners, codes = np.divmod(pairs, max(len(far.dictionary), 1))
+        far_ends = np.concatenate([[0], np.cumsum(np.bincount(far_owners, minlength=size))])
+        listed = [far.dictionary.take(pa.array(codes)).cast(pa.string()), pa.array(counts, pa.int64())]
         fields = [pa.array(x) for x in (n_tokens, n_known, n_rest, base, other + likelihood)]
-        pairs = [pa.array(far_words, pa.binary()).cast(pa.string()), pa.array(far_counts, pa.int64())]
-        fields.append(pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), pa.StructArray.from_arrays(pairs, ["word", "n"])))
+        fields.append(pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), pa.StructArray.from_arrays(listed, ["word", "n"])))
         return pa.StructArray.from_arrays(fields, ["n_tokens", "n_known", "n_rest", "base", "chain", "rest"])
 
+    def judge(column: pa.Array) -> pa.Array:
+        # An empty column has no slice, but needs the type.
+        return pa.concat_arrays([*map(judge_slice, _slices(column))] or [judge_slice(column)])
+
     kept = [c for c in docs.columns if c not in (*made, text_col)]
     # The table's own columns travel in a struct, so that they meet no name used here.
     own_columns = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])

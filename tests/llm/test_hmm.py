@@ -1,8 +1,12 @@
+import glob
 import itertools
 import math
+import os
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chromaloom.llm import hmm, queries
@@ -149,3 +153,49 @@ def test_columns_of_any_name_stay(spark):
     got = hmm.score(docs, hmm.fit(docs)).collect()
     assert len(got) == 2 and all(r[name] == name for r in got for name in names)
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {0: 4, 1: 1}
+
+
+def test_rounds_leave_neither_shuffle_files_nor_copies_of_the_chain(spark):
+    docs = documents(spark, [(k, f"a b w{k} c") for k in range(200)]).repartition(4)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def standing():
+        shuffles = {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+        return shuffles, set(glob.glob(os.path.join(spark.sparkContext._temp_dir, "tmp*")))
+
+    before = standing()
+    model = hmm.fit(docs)
+    for _ in range(50):
+        left = [now - old for now, old in zip(standing(), before)]
+        if not left[0]:
+            break
+        time.sleep(0.1)
+    # The vocabulary is one copy, the chains of the seven rounds are gone.
+    assert not left[0] and len(left[1]) <= 1
+    assert hmm.score(docs, model).count() == 200
+
+
+def test_words_of_a_column_are_those_of_its_texts(monkeypatch):
+    monkeypatch.setattr(hmm, "SLICE_BYTES", 16)
+    letters = [chr(k) for k in range(128)] + ["\x85", "\xa0", "\u2003", "\u00c4", "\u00df", "\U0001f642"]
+    texts = ["", None, " ", *(f" A{c}B{c}{c} c{c}" for c in letters), "word " * 50, " x"]
+    got = []
+    for part in hmm._slices(pa.array(texts)):
+        words, owners = hmm._words(part)
+        got += [[w.encode() for k, w in zip(owners, words.to_pylist()) if k == n] for n in range(len(part))]
+    assert got == [hmm.tokens((t or "").encode()) for t in texts]
+
+
+def test_long_sequences_do_not_underflow():
+    rng = np.random.default_rng(2)
+    chain = hmm.Chain(np.full(3, 1 / 3), np.array([[1 - 2e-9, 1e-9, 1e-9], [0.2, 0.3, 0.5], [1e-9, 0.5, 0.5]]), rng.dirichlet(np.full(50, 0.05), 3).T + 1e-12)
+    seen = [rng.integers(0, 50, n).astype(np.int32) for n in (3000, 1, 700, 2)]
+    sums = np.zeros(3), np.zeros((3, 3)), np.zeros((50, 3))
+    chain.expectations(seen, sums)
+    assert sums[0].sum() == pytest.approx(4) and sums[1].sum() == pytest.approx(sum(map(len, seen)) - 4)
+    assert np.allclose(sums[2].sum(1), np.bincount(np.concatenate(seen), minlength=50))
+    for s, got in zip(seen, chain.log10_likelihood(seen)):
+        state, want = chain.start * chain.emit[s[0]], 0.0
+        for k in range(1, len(s)):
+            want, state = want + math.log10(state.sum()), (state / state.sum()) @ chain.step * chain.emit[s[k]]
+        assert got == pytest.approx(want + math.log10(state.sum()))

@@ -10,8 +10,8 @@ import gc
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,14 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from chromaloom.llm.common import shared
+from chromaloom.llm.common import kept
 
 # Texts are cut before these blanks and line ends, and their parts looked up: one of them alone between two characters
 # that are no white space in any sense. The pre-tokenizer always starts a piece there.
 SAFE_CUT = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n][!-~À-ɏ])")
 # Chunks whose pieces need no closer look: a line end, a word of Latin letters with the blank before it, marks.
 PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
-# Chunks whose ids a task remembers in each of two generations, and the longest chunk (in characters) it remembers.
+# Chunks whose ids a Python worker remembers in each of two generations, and the longest chunk (in characters) of them.
 CACHE_CHUNKS, CACHE_CHARS = 1 << 19, 64
 
 
@@ -77,8 +77,10 @@ class Tokenizer:
         self.bytes_of = [b""] * (max(strings) + 1)
         for k, s in strings.items():
             self.bytes_of[k] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.whole = min(self.byte_ids) >= 0
+        # Ids of a chunk as four bytes each: a text's ids are these put together.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The ids of one piece, from those of its bytes.
@@ -119,19 +121,21 @@ class Tokenizer:
                     push(queue, fresh << wide | left)
         return [k for k in symbols if k >= 0]
 
-    def chunk(self, text: str) -> tuple[int, ...]:
+    def piece(self, symbols: list[int]) -> bytes:
+        return array("i", self.merge(symbols if self.whole else [k for k in symbols if k >= 0])).tobytes()
+
+    def chunk(self, text: str) -> bytes:
         """The ids of a chunk, remembered; those of a plain chunk's parts are remembered too."""
         ids = self.cache.get(text) or self.older.get(text)
         if ids is None:
             plain = PLAIN.fullmatch(text)
             if plain is None:
                 letters = (piece for piece, _ in self.cutter.pre_tokenize_str(text))
-                pieces = ([self.vocabulary.get(letter, -1) for letter in piece] for piece in letters)
-                ids = tuple(chain.from_iterable(self.merge([k for k in piece if k >= 0]) for piece in pieces))
+                ids = b"".join([self.piece([self.vocabulary.get(letter, -1) for letter in piece]) for piece in letters])
             elif plain[1] or plain[3]:
-                ids = tuple(chain.from_iterable(map(self.chunk, filter(None, plain.groups()))))
+                ids = b"".join(map(self.chunk, filter(None, plain.groups())))
             else:
-                ids = tuple(self.merge([k for k in map(self.byte_ids.__getitem__, text.encode()) if k >= 0]))
+                ids = self.piece(list(map(self.byte_ids.__getitem__, text.encode())))
         if len(text) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_CHUNKS:
                 # What was not met for a whole generation is forgotten.
@@ -142,15 +146,17 @@ class Tokenizer:
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of added tokens become their ids."""
         parts = self.added_pattern.split(text) if self.added_pattern and any(a in text for a in self.added) else [text]
-        ids: list[int] = []
+        ids: list[bytes] = []
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(self.added[part])
+                ids.append(array("i", [self.added[part]]).tobytes())
             elif part:
                 chunks = SAFE_CUT.split(part)
                 found = list(map(self.cache.get, chunks))
-                ids.extend(chain.from_iterable(self.chunk(c) if f is None else f for c, f in zip(chunks, found)))
-        return np.array(ids, np.int32)
+                if None in found:
+                    found = [self.chunk(c) if f is None else f for c, f in zip(chunks, found)]
+                ids += found
+        return np.frombuffer(b"".join(ids), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The vocabulary's strings put together; ids without one are skipped, broken UTF-8 becomes U+FFFD."""
@@ -173,32 +179,51 @@ def _strings(column: pa.Array) -> Iterator[str]:
         yield (text.as_py() or b"").decode("utf-8", "replace")
 
 
+def _listed(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    flat = np.concatenate(found) if found else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
 def encode_column(spark: SparkSession, tokenizer: Tokenizer, text_col: str = "text") -> Column:
     """array<int> of the ids of a whole text. Null and empty texts have no ids; every row is encoded on its own.
 
     The text must fit a row, its ids take four bytes each. Other columns are not looked at.
     """
-    held = shared(spark, tokenizer)
+    held = kept(spark, tokenizer)
 
     def encode(column: pa.Array) -> pa.Array:
         # Nothing made here refers back to itself; the collector would only walk the remembered chunks again and again.
         gc.disable()
         try:
-            ids = [held().encode(text) for text in _strings(column)]
+            return _listed([held().encode(text) for text in _strings(column)])
         finally:
             gc.enable()
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
     # Not deterministic in name only: the planner then computes the ids once, however often they are used.
     once = F.arrow_udf(encode, "array<int>", ArrowUDFType.SCALAR).asNondeterministic()
     return once(F.col(text_col).cast("string"))
 
 
+def both_ways_column(spark: SparkSession, tokenizer: Tokenizer, text_col: str = "text") -> Column:
+    """struct of the ids of a whole text, as ``encode_column`` has them, and the text decoded from just these ids."""
+    held = kept(spark, tokenizer)
+
+    def there_and_back(column: pa.Array) -> pa.Array:
+        gc.disable()
+        try:
+            ids = [held().encode(text) for text in _strings(column)]
+            return pa.StructArray.from_arrays([_listed(ids), pa.array(map(held().decode, ids), pa.string())], ["ids", "decoded"])
+        finally:
+            gc.enable()
+
+    once = F.arrow_udf(there_and_back, "ids array<int>, decoded string", ArrowUDFType.SCALAR).asNondeterministic()
+    return once(F.col(text_col).cast("string"))
+
+
 def decode_column(spark: SparkSession, tokenizer: Tokenizer, ids_col: str = "ids") -> Column:
     """The text of an array of ids. Null and empty arrays give the empty text; null and unknown ids are skipped."""
-    held = shared(spark, tokenizer)
+    held = kept(spark, tokenizer)
 
     def decode(column: pa.Array) -> pa.Array:
         none = np.empty(0, np.int32)

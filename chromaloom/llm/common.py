@@ -54,6 +54,22 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return _opener(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
+class _Opened:
+    """Reads back as the value itself."""
+
+    def __init__(self, value: object):
+        self.packed = cloudpickle.dumps(value)
+
+    def __reduce__(self) -> tuple:
+        return cloudpickle.loads, (self.packed,)
+
+
+def kept(spark: SparkSession, value: object) -> Callable[[], object]:
+    """As ``shared``, but opened once by a Python worker and not by each task: what the value remembers stays."""
+    packed = spark.sparkContext.broadcast(_Opened(value))
+    return lambda: packed.value
+
+
 @contextmanager
 def lent(spark: SparkSession, value: object) -> Iterator[Callable[[], object]]:
     """As ``shared``, for jobs that end inside the block: every copy of the model goes afterwards."""

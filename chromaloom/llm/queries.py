@@ -103,14 +103,13 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.load(tokenizer_file())
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode_column(spark, tokenizer).alias("ids"))
-    both = ids.withColumn("decoded", bpe.decode_column(spark, tokenizer))
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.both_ways_column(spark, tokenizer).alias("both"))
+    listed = F.array_join(F.col("both.ids").cast("array<string>"), ",")
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
+        F.size("both.ids").cast("long").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("both.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

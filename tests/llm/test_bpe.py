@@ -1,10 +1,13 @@
 import hashlib
 import random
+import sys
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from chromaloom.llm import bpe, queries
+from chromaloom.llm import bpe, common, queries
 from tests.llm.helpers import SF_DIR, documents, needs_tables
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -46,6 +49,34 @@ def test_long_pieces_and_the_bounded_cache(own, library, monkeypatch):
     assert own.decode(own.encode(text)) == text
 
 
+def test_remembered_chunks_are_bytes_and_hold_little(own):
+    own = bpe.load(queries.tokenizer_file())
+    text = "\nOne two, three four! one two\n\n'tis <|endoftext|> no" * 3
+    ids = own.encode(text)
+    assert own.cache[" two"] == own.encode(" two").tobytes() and all(isinstance(v, bytes) for v in own.cache.values())
+    assert max(map(sys.getsizeof, own.cache.values())) < 100
+    assert ids.dtype == np.int32 and own.encode(text).tolist() == ids.tolist()
+
+
+def test_workers_open_a_kept_value_once(spark):
+    held = common.kept(spark, types.SimpleNamespace(tasks=0))
+
+    def count(batches):
+        for batch in batches:
+            held().tasks += 1
+            yield pa.RecordBatch.from_arrays([pa.array([held().tasks] * batch.num_rows, pa.int64())], ["n"])
+
+    got = [r.n for r in spark.range(0, 64, 1, 64).mapInArrow(count, "n long").collect()]
+    assert len(got) == 64 and max(got) > 1
+
+
+def test_both_ways_at_once_equals_one_after_the_other(spark, own):
+    pairs = [(1, "a b, c"), (1, "a b, c"), (2, None), (3, ""), (4, "\u00e9\U0001f642 <|endoftext|>")]
+    docs = documents(spark, pairs).withColumn("both", bpe.both_ways_column(spark, own)).withColumn("ids", bpe.encode_column(spark, own))
+    rows = docs.withColumn("back", bpe.decode_column(spark, own)).collect()
+    assert len(rows) == 5 and all(r.both.ids == r.ids and r.both.decoded == r.back == (r.text or "") for r in rows)
+
+
 def test_merges_follow_ranks_from_the_left(own, monkeypatch):
     """Against a plain loop that merges the lowest rank first, leftmost first."""
 

@@ -142,7 +142,7 @@ class Chain:
         """Three arrays, state by token, whose memory is used again by the next group."""
         states = len(self.start)
         if self._room is None or self._room.shape[1] < states * size:
-            self._room = np.empty((3, states * size))
+            self._room = np.empty((3, states * max(size, GROUP_TOKENS)))
         return [room[: states * size].reshape(states, size) for room in self._room]
 
     def _seen(self, flat: np.ndarray, out: np.ndarray) -> np.ndarray:

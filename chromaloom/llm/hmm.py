@@ -30,7 +30,7 @@ WARM_ROUNDS, FULL_ROUNDS = 6, 1
 SEED, PRIOR = 5, 0.5
 # Tokens whose state probabilities are held at a time, those that fit a processor's cache, and bytes of text cut into
 # words at a time (or one text).
-GROUP_TOKENS, CHUNK_TOKENS, SLICE_BYTES = 1 << 19, 1 << 12, 1 << 24
+GROUP_TOKENS, CHUNK_TOKENS, SLICE_BYTES = 1 << 19, 1 << 12, 1 << 22
 # Symbols whose expected counts travel as one row.
 BLOCK = 1024
 # The end of a text among the words: no word holds a blank.
@@ -68,11 +68,12 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = [pa.table({"word": [END], "c": [batch.num_rows]})]
             for texts in _slices(batch.column(0)):
                 words, counts = pc.value_counts(_words(texts)[0]).flatten()
-                words = pa.concat_arrays([words, pa.array([END], words.type)])
-                counts = pa.concat_arrays([counts, pa.array([len(texts)], pa.int64())])
-                yield pa.RecordBatch.from_arrays([words, counts], ["word", "c"])
+                parts.append(pa.table({"word": words.cast(pa.string()), "c": counts}))
+            summed = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            yield from summed.rename_columns(["word", "c"]).to_batches()
 
     partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
@@ -96,32 +97,55 @@ class Vocabulary:
     def symbol_counts(self) -> np.ndarray:
         return np.concatenate([self.counts[: self.symbols], [self.ends, self.other_total]]).astype(np.float64)
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-        """Symbols of all texts (each with its end), where each text's begin and end, and of all words the word, its
-        place (-1 beyond the known ones) and its text's number."""
-        words, owners = _words(texts)
-        found = pc.index_in(words, self.listed.cast(words.type))
-        at = pc.fill_null(found, -1).to_numpy()
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(texts)) + 1)])
-        symbols = np.full(cuts[-1], self.end, np.int32)
-        symbols[np.arange(len(at)) + owners] = np.where((at >= 0) & (at < self.symbols), at, self.other)
-        return symbols, cuts, words, at, owners
+    def __getstate__(self) -> dict:
+        """Tasks find words by the Arrow array alone."""
+        return {name: value for name, value in vars(self).items() if name != "words"}
+
+    def read(self, column: pa.Array) -> Iterator[Read]:
+        """A column's texts, read slice by slice; the words of all slices are looked up at once."""
+        slices = []
+        for texts in _slices(column):
+            words, owners = _words(texts)
+            coded = words.dictionary_encode()
+            slices.append((np.bincount(owners, minlength=len(texts)), coded.indices.to_numpy(), coded.dictionary.cast(pa.string())))
+        every = pa.chunked_array([words for *_, words in slices], pa.string())
+        places = pc.fill_null(pc.index_in(every, self.listed), -1).to_numpy()
+        for sizes, codes, words in slices:
+            yield Read(self, sizes, codes, words, places[: len(words)])
+            places = places[len(words) :]
 
     def reader(self):
         def read(text: bytes | None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
             """Symbols (with the end), words, and the words' places of one text."""
-            symbols, _, words, at, _ = self.read(pa.array([text or b""], pa.binary()).cast(pa.string()))
-            return symbols, words.cast(pa.binary()).to_pylist(), at
+            (own,) = self.read(pa.array([text or b""], pa.binary()).cast(pa.string()))
+            return own.symbols, own.words.take(pa.array(own.codes)).cast(pa.binary()).to_pylist(), own.at
 
         return read
 
 
+class Read:
+    """Some texts as the vocabulary has them.
+
+    ``symbols`` are those of all texts (each with its end), ``cuts`` where each text's begin and end; ``sizes`` are the
+    words of each text, ``codes`` all words as numbers into the different ones, ``words``; ``at`` is each word's place
+    (-1 beyond the known ones) and ``owners`` its text's number.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, sizes: np.ndarray, codes: np.ndarray, words: pa.Array, places: np.ndarray):
+        self.sizes, self.codes, self.words = sizes, codes, words
+        self.at, self.owners = places[codes], np.repeat(np.arange(len(sizes)), sizes)
+        self.cuts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        self.symbols = np.full(self.cuts[-1], vocabulary.end, np.int32)
+        own = np.where((places >= 0) & (places < vocabulary.symbols), places, vocabulary.other)
+        self.symbols[np.arange(len(codes)) + self.owners] = own[codes]
+
+
 class Chain:
     """Start, transition and emission probabilities (symbol by state)."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
-        self._kept = self._room = None
+        self._kept = self._room = self._small = None
 
     @classmethod
     def first(cls, counts: np.ndarray, states: int) -> Chain:
@@ -131,23 +155,36 @@ class Chain:
         return cls(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
     def _scaled(self) -> tuple[np.ndarray, np.ndarray]:
-        """Emissions (state by symbol) over each symbol's largest one, and these largest ones."""
+        """Emissions (symbol by state) over each symbol's largest one, and the logarithms of these largest ones."""
         if self._kept is None:
-            emit = np.ascontiguousarray(self.emit.T, np.float64)
-            top = emit.max(0)
-            self._kept = emit / top, top
+            emit = self.emit.astype(np.float64, order="C")
+            top = emit.max(1)
+            emit /= top[:, None]
+            self._kept = emit, np.log10(top)
         return self._kept
 
-    def _rooms(self, size: int) -> list[np.ndarray]:
-        """Three arrays, state by token, whose memory is used again by the next group."""
-        states = len(self.start)
-        if self._room is None or self._room.shape[1] < states * size:
-            self._room = np.empty((3, states * max(size, GROUP_TOKENS)))
-        return [room[: states * size].reshape(states, size) for room in self._room]
+    def _rooms(self, whole: int, widest: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Arrays state by token, whose memory is used again by the next group: one of ``whole`` tokens, five of a block."""
+        states, block = len(self.start), CHUNK_TOKENS + 2 * widest
+        if self._room is None or self._room.size < states * whole:
+            self._room = np.empty(states * max(whole, GROUP_TOKENS)) if whole else np.empty(0)
+        if self._small is None or self._small.shape[1] < states * block:
+            self._small = np.empty((5, states * block))
+        return self._room[: states * whole].reshape(states, whole), [x[: states * block].reshape(states, block) for x in self._small]
+
+    def _seen(self, flat: np.ndarray, out: np.ndarray, room: np.ndarray) -> None:
+        """Scaled emissions of a block's tokens, laid out in ``room`` token by state before."""
+        rows = room.reshape(-1, len(self.start))[: len(flat)]
+        out[:, : len(flat)] = self._scaled()[0].take(flat, 0, out=rows, mode="clip").T
 
-    def _seen(self, flat: np.ndarray, out: np.ndarray) -> np.ndarray:
-        for row, place in zip(self._scaled()[0], out):
-            row.take(flat, out=place, mode="clip")
+    @staticmethod
+    def _blocks(begins: list[int]) -> list[tuple[int, int]]:
+        """First step and the one after the last of blocks of steps, of CHUNK_TOKENS tokens or one step more."""
+        out, at = [], 0
+        for t, begin in enumerate(begins):
+            if begin - begins[at] >= CHUNK_TOKENS or t == len(begins) - 1 > at:
+                out.append((at, t))
+                at = t
         return out
 
     def _stride(self) -> int:
@@ -179,24 +216,29 @@ class Chain:
     def log10_likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
         order, flat, places, running, begins = self._order(sequences)
         every, turned = self._stride(), np.ascontiguousarray(self.step.T)
-        seen, spare, _ = self._rooms(len(flat))
-        self._seen(flat, seen)
+        _, (seen, one, other, _, room) = self._rooms(0, running[0])
         logs = np.zeros(len(sequences))
-        state = np.multiply(seen[:, : running[0]], self.start[:, None], out=spare[:, : running[0]])
-        for t in range(1, len(running)):
-            n, last = running[t], running[t - 1]
-            if n < last:
-                logs[n:last] += np.log10(state[:, n:].sum(0))
-            here = slice(begins[t], begins[t] + n)
-            state = np.matmul(turned, state[:, :n], out=spare[:, here])
-            state *= seen[:, here]
-            if t % every == 0:
-                scale = state.sum(0)
-                state /= scale
-                logs[:n] += np.log10(scale)
+        for first, end in self._blocks(begins):
+            at = begins[first]
+            self._seen(flat[at : begins[end]], seen, room)
+            for t in range(first, end):
+                n = running[t]
+                here = seen[:, begins[t] - at : begins[t] - at + n]
+                if not t:
+                    state = np.multiply(here, self.start[:, None], out=one[:, :n])
+                    continue
+                if n < running[t - 1]:
+                    logs[n : running[t - 1]] += np.log10(state[:, n:].sum(0))
+                one, other = other, one
+                state = np.matmul(turned, state[:, :n], out=one[:, :n])
+                state *= here
+                if t % every == 0:
+                    scale = state.sum(0)
+                    state /= scale
+                    logs[:n] += np.log10(scale)
         logs[: running[-1]] += np.log10(state.sum(0))
         starts = np.cumsum([0, *[len(sequences[k]) for k in order[:-1]]])
-        logs += np.add.reduceat(np.log10(self._scaled()[1]).take(flat)[places], starts)
+        logs += np.add.reduceat(self._scaled()[1].take(flat)[places], starts)
         out = np.empty(len(sequences))
         out[order] = logs
         return out
@@ -204,49 +246,61 @@ class Chain:
     def expectations(self, sequences: list[np.ndarray], sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Add the expected counts of starts, transitions and emissions to ``sums``.
 
-        Both passes scale as they like, as every token's products are brought to sum one afterwards.
+        Only the pass forward is held for all tokens; the pass back goes block by block and leaves state probabilities
+        in its place. Both passes scale as they like, as every token's products are brought to sum one afterwards.
         """
         _, flat, _, running, begins = self._order(sequences)
         start, step, emit = sums
         every, onward = self._stride(), np.ascontiguousarray(self.step)
         turned = np.ascontiguousarray(onward.T)
-        weighed, forward, back = self._rooms(len(flat))
-        # First the scaled emissions, in the pass back then times the probability of what follows.
-        self._seen(flat, weighed)
-        state = np.multiply(weighed[:, : running[0]], self.start[:, None], out=forward[:, : running[0]])
-        for t in range(1, len(running)):
-            here = slice(begins[t], begins[t] + running[t])
-            state = np.matmul(turned, state[:, : running[t]], out=forward[:, here])
-            state *= weighed[:, here]
-            if t % every == 0:
-                state /= state.sum(0)
-        ahead, later = 0, weighed[:, :0]
-        for t in range(len(running) - 1, -1, -1):
-            here = slice(begins[t], begins[t] + running[t])
-            after = back[:, here]
-            after[:, ahead:] = 1.0
-            if ahead:
-                np.matmul(onward, later, out=after[:, :ahead])
-            later = weighed[:, here]
-            later *= after
-            if t % every == 0:
-                later /= later.sum(0)
-            ahead = running[t]
-        for at in range(0, len(flat), CHUNK_TOKENS):
-            part = slice(at, at + CHUNK_TOKENS)
-            both = np.multiply(forward[:, part], back[:, part], out=back[:, part])
+        forward, (weighed, back, scaled, spare, room) = self._rooms(len(flat), running[0])
+        blocks = self._blocks(begins)
+        for first, end in blocks:
+            at = begins[first]
+            self._seen(flat[at : begins[end]], weighed, room)
+            for t in range(first, end):
+                n = running[t]
+                seen, here = weighed[:, begins[t] - at : begins[t] - at + n], forward[:, begins[t] : begins[t] + n]
+                if not t:
+                    state = np.multiply(seen, self.start[:, None], out=here)
+                    continue
+                state = np.matmul(turned, state[:, :n], out=here)
+                state *= seen
+                if t % every == 0:
+                    state /= state.sum(0)
+        counts, pairs, ahead = np.array([*running, 0]), np.zeros_like(onward), 0
+        for first, end in reversed(blocks):
+            at, size = begins[first], begins[end] - begins[first]
+            # The scaled emissions, in the pass back then times the probability of what follows; after them those of the
+            # first step of the block before.
+            weighed[:, size : size + ahead] = spare[:, :ahead]
+            self._seen(flat[at : at + size], weighed, room)
+            later = weighed[:, size : size + ahead]
+            for t in range(end - 1, first - 1, -1):
+                here = slice(begins[t] - at, begins[t] - at + running[t])
+                after = back[:, here]
+                after[:, ahead:] = 1.0
+                if ahead:
+                    np.matmul(onward, later, out=after[:, :ahead])
+                later = weighed[:, here]
+                later *= after
+                if t % every == 0:
+                    later /= later.sum(0)
+                ahead = running[t]
+            spare[:, :ahead] = later
+            both, through = back[:, :size], forward[:, at : at + size]
+            both *= through
             each = 1 / both.sum(0)
-            forward[:, part] *= each
-            both *= each
-        # Of every token but the first ones, the place of the one before it.
-        first, counts = running[0], np.array(running)
-        previous = np.arange(first, len(flat)) - np.repeat(counts[:-1], counts[1:])
-        pairs = np.zeros_like(onward)
-        for at in range(0, len(previous), CHUNK_TOKENS):
-            pairs += forward.take(previous[at : at + CHUNK_TOKENS], 1) @ weighed[:, first + at : first + at + CHUNK_TOKENS].T
-        start += back[:, :first].sum(1)
+            np.multiply(through, each, out=scaled[:, :size])
+            np.multiply(both, each, out=through)
+            # Of every token from the second step on, the place of the one before it.
+            previous = np.arange(running[first], size + counts[end]) - np.repeat(counts[first:end], counts[first + 1 : end + 1])
+            pairs += scaled.take(previous, 1) @ weighed[:, running[first] : size + counts[end]].T
+        start += forward[:, : running[0]].sum(1)
         step += onward * pairs
-        emit += np.stack([np.bincount(flat, share, len(emit)) for share in back]).T
+        flat = flat.astype(np.intp)
+        for k, share in enumerate(forward):
+            emit[:, k] += np.bincount(flat, share, len(emit))
 
 
 def _groups(numbered: list[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -271,10 +325,9 @@ def _sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in _slices(batch.column(0)):
-                symbols, cuts, *_ = held().read(texts)
-                ends = pa.py_buffer((4 * cuts).astype(np.int32))
-                packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer(symbols)])
+            for own in held().read(batch.column(0)):
+                ends = pa.py_buffer((4 * own.cuts).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(own.sizes), [None, ends, pa.py_buffer(own.symbols)])
                 yield pa.RecordBatch.from_arrays([packed], ["symbols"])
 
     return materialise(docs.select("text").mapInArrow(read, "symbols binary"), "symbols")
@@ -293,7 +346,7 @@ def _reestimate(sequences: DataFrame, vocabulary: Vocabulary, chain: Chain) -> C
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = held()
-            rows = np.zeros((1 + states + width, states))
+            rows = np.zeros((1 + states + width, states), order="F")
             sums = rows[0], rows[1 : 1 + states], rows[1 + states :]
             for batch in batches:
                 numbered = [(k, np.frombuffer(packed.as_buffer(), np.int32)) for k, packed in enumerate(batch.column(0))]
@@ -373,33 +426,38 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     held = shared(docs.sparkSession, (model.vocabulary, model.chain))
     vocabulary = model.vocabulary
+    judged_names = ["n_tokens", "n_known", "n_rest", "base", "chain", "rest"]
+    rest = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+    judged_type = pa.struct(zip(judged_names, [*[pa.int64()] * 3, *[pa.float64()] * 2, rest]))
 
-    def judge_slice(texts: pa.Array) -> pa.Array:
+    def judge(column: pa.Array) -> pa.Array:
         own, chain = held()
-        logs, size = np.log10(own.counts + 1.0), len(texts)
-        symbols, cuts, words, at, owners = own.read(texts)
-        inside, hidden = at >= 0, at >= own.symbols
-        n_inside, n_hidden = (np.bincount(owners[x], minlength=size) for x in (inside, hidden))
-        n_tokens = np.diff(cuts)
-        n_rest, n_known = n_tokens - 1 - n_inside, n_inside + (own.ends > 0)
-        base = np.bincount(owners[inside], logs[at[inside]], size) + math.log10(own.ends + 1) - (n_inside + 1) * own.base_norm
-        other = np.bincount(owners[hidden], logs[at[hidden]], size) - n_hidden * own.other_norm
-        likelihood = np.zeros(size)
-        for group in _groups([(k, symbols[cuts[k] : cuts[k + 1]]) for k in range(size)]):
+        logs, sequences, parts = np.log10(own.counts + 1.0), [], []
+        for read in own.read(column):
+            at, owners, size = read.at, read.owners, len(read.sizes)
+            inside, hidden = at >= 0, at >= own.symbols
+            n_inside, n_hidden = (np.bincount(owners[x], minlength=size) for x in (inside, hidden))
+            n_rest, n_known = read.sizes - n_inside, n_inside + (own.ends > 0)
+            base = np.bincount(owners[inside], logs[at[inside]], size) + math.log10(own.ends + 1) - (n_inside + 1) * own.base_norm
+            other = np.bincount(owners[hidden], logs[at[hidden]], size) - n_hidden * own.other_norm
+            # The words beyond the known ones, once for each text.
+            different = max(len(read.words), 1)
+            pairs, counts = np.unique(owners[~inside] * different + read.codes[~inside], return_counts=True)
+            far_owners, codes = np.divmod(pairs, different)
+            far_ends = np.concatenate([[0], np.cumsum(np.bincount(far_owners, minlength=size))])
+            listed = [read.words.take(pa.array(codes)), pa.array(counts, pa.int64())]
+            far = pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), pa.StructArray.from_arrays(listed, ["word", "n"]))
+            parts.append(([read.sizes + 1, n_known, n_rest, base, other], far))
+            sequences += np.split(read.symbols, read.cuts[1:-1])
+        if not parts:
+            # An empty column has no slice, but needs the type.
+            return pa.array([], judged_type)
+        likelihood = np.zeros(len(sequences))
+        for group in _groups(list(enumerate(sequences))):
             likelihood[[k for k, _ in group]] = chain.log10_likelihood([s for _, s in group])
-        # The words beyond the known ones, once for each text.
-        far = words.filter(pa.array(~inside)).dictionary_encode()
-        pairs, counts = np.unique(owners[~inside] * max(len(far.dictionary), 1) + far.indices.to_numpy(), return_counts=True)
-        far_owners, codes = np.divmod(pairs, max(len(far.dictionary), 1))
-        far_ends = np.concatenate([[0], np.cumsum(np.bincount(far_owners, minlength=size))])
-        listed = [far.dictionary.take(pa.array(codes)).cast(pa.string()), pa.array(counts, pa.int64())]
-        fields = [pa.array(x) for x in (n_tokens, n_known, n_rest, base, other + likelihood)]
-        fields.append(pa.ListArray.from_arrays(pa.array(far_ends, pa.int32()), pa.StructArray.from_arrays(listed, ["word", "n"])))
-        return pa.StructArray.from_arrays(fields, ["n_tokens", "n_known", "n_rest", "base", "chain", "rest"])
-
-    def judge(column: pa.Array) -> pa.Array:
-        # An empty column has no slice, but needs the type.
-        return pa.concat_arrays([*map(judge_slice, _slices(column))] or [judge_slice(column)])
+        n_tokens, n_known, n_rest, base, other = (np.concatenate(x) for x in zip(*(numbers for numbers, _ in parts)))
+        fields = [*map(pa.array, (n_tokens, n_known, n_rest, base, other + likelihood)), pa.concat_arrays([far for _, far in parts])]
+        return pa.StructArray.from_arrays(fields, judged_names)
 
     kept = [c for c in docs.columns if c not in (*made, text_col)]
     # The table's own columns travel in a struct, so that they meet no name used here.

@@ -3,6 +3,7 @@ import itertools
 import math
 import os
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -199,3 +200,43 @@ def test_long_sequences_do_not_underflow():
         for k in range(1, len(s)):
             want, state = want + math.log10(state.sum()), (state / state.sum()) @ chain.step * chain.emit[s[k]]
         assert got == pytest.approx(want + math.log10(state.sum()))
+
+
+def test_only_one_array_of_a_whole_group_is_held():
+    """The pass forward; emissions and the pass back are held block by block."""
+    rng = np.random.default_rng(3)
+    chain = hmm.Chain.first(np.arange(1, 101.0), hmm.STATES)
+    seen = [rng.integers(0, 100, 512).astype(np.int32) for _ in range(hmm.GROUP_TOKENS // 512)]
+    sums = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((100, hmm.STATES))
+    whole = 8 * hmm.STATES * hmm.GROUP_TOKENS
+    tracemalloc.start()
+    chain.expectations(seen, sums)
+    after_passes = tracemalloc.get_traced_memory()[1]
+    chain = hmm.Chain.first(np.arange(1, 101.0), hmm.STATES)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    chain.log10_likelihood(seen)
+    after_scores = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert after_passes < 2 * whole and after_scores < whole
+    assert sums[2].sum() == pytest.approx(hmm.GROUP_TOKENS)
+
+
+def test_blocks_and_slices_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [None, "", *(" ".join(f"w{k}" for k in rng.zipf(1.5, n) % 50) for n in rng.integers(1, 60, 80))]
+    docs = documents(spark, list(enumerate(texts))).coalesce(1)
+    monkeypatch.setattr(hmm, "KNOWN_WORDS", 20)
+
+    def results():
+        model = hmm.fit(docs)
+        return model.counts.orderBy("word").collect(), hmm.score(docs, model).orderBy("doc_id").toPandas()
+
+    counts, scores = results()
+    for chunk, size in ((1, 1), (7, 100), (1 << 12, 300)):
+        monkeypatch.setattr(hmm, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(hmm, "SLICE_BYTES", size)
+        again, others = results()
+        assert again == counts
+        for name in scores:
+            assert np.allclose(others[name], scores[name], rtol=1e-6)

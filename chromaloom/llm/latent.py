@@ -38,12 +38,17 @@ LEAST_WORDS = 5
 # Items broadcast at a time; a larger benchmark is searched in blocks.
 BLOCK_ITEMS = 20_000
 CHUNK = 1 << 18
+# Windows whose latent vectors are made at a time, those that fit a processor's cache.
+WINDOWS = 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BY_ROW, _BY_ITEM = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 # Thai, Lao, Tibetan, Myanmar, Khmer, Tai scripts, Han, kana and bopomofo.
 _UNSPACED = re.compile(
     "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f"
     "\u3031-\u303c\u3040-\u30fa\u30fc-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+"
 )
+# The first character of these scripts and of the punctuation below.
+_FIRST = 0x0E00
 # General, ideographic and full-width punctuation.
 _MARKS = re.compile("[\u2010-\u2027\u2030-\u205e\u3000-\u3004\u3008-\u3020\u3030\u30fb\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
@@ -55,7 +60,9 @@ def _pairs(run: re.Match) -> str:
 
 def _spaced(text: str) -> str:
     """Runs of an unspaced script as their pairs of neighbouring characters."""
-    return text if text.isascii() else _UNSPACED.sub(_pairs, _MARKS.sub(" ", text))
+    if text.isascii() or np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).max() < _FIRST:
+        return text
+    return _UNSPACED.sub(_pairs, _MARKS.sub(" ", text))
 
 
 class Words:
@@ -276,6 +283,15 @@ class Index:
         self.latent = np.array(latent, np.float32).reshape(-1, RANK)
         self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
         lengths = np.array([len(hashed) for hashed in self.words], np.int64)[self.owner]
+        self.lengths = np.array([len(hashed) for hashed in self.words], np.int64)
+        pairs = [(np.unique(self.row[(hashed & np.uint64(FEATURES - 1)).astype(np.int64)]), k) for k, hashed in enumerate(self.words)]
+        # Words of an item beyond its different features.
+        self.repeats = self.lengths - np.array([len(rows) for rows, _ in pairs], np.int64)
+        # Marks of all pairs of an item and its words, sixteen places or more for each pair; other pairs may meet one too.
+        self.shift = 32 - min(max(int(self.lengths.sum()) * 16 - 1, 1).bit_length(), 31)
+        self.marks = np.zeros(1 << 32 - self.shift, bool)
+        for rows, k in pairs:
+            self.marks[self._mark(rows.astype(np.uint32) * _BY_ROW, np.uint64(k))] = True
         # All passages are met by windows of a passage, and items shorter than a passage also by windows of their own
         # length at every word, so that a whole item fills one.
         self.searches = [self._search(PASSAGE, DOC_STEP, np.arange(len(self.owner)), known)]
@@ -292,17 +308,18 @@ class Index:
         order = np.argsort(-size, kind="stable")
         return width, step, passages[order], size[order], known
 
-    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, list[int], float]]:
-        """(text, item, places where the item would begin, highest cosine) where some window is near a passage of the item."""
-        sizes = np.array([len(hashed) for hashed in texts])
-        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        feature = (np.concatenate(texts) & np.uint64(FEATURES - 1)).astype(np.int64)
-        row, squares = self.row[feature], self.idf[feature] ** 2
-        row[row < 0] = len(self.basis) - 1
+    def _mark(self, rows: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Places of the marks of words, given as their rows times _BY_ROW, and items."""
+        return (rows + (items * np.uint64(_BY_ITEM)).astype(np.uint32)) >> np.uint32(self.shift)
+
+    def candidates(self, sizes: np.ndarray, firsts: np.ndarray, feature: np.ndarray, row: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text, item and highest cosine of each pair where some window is near a passage of the item, and the runs of
+        places where the item would begin: the pair, the first and the last place of each."""
+        squares = self.idf[feature] ** 2
         keys, places, cosines = [], [], []
         for width, step, passages, reach, known in self.searches:
             cuts = [_cut(n, step, width) if n else np.zeros(0, np.int64) for n in sizes]
-            text = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+            text = np.repeat(np.arange(len(sizes)), [len(c) for c in cuts])
             starts = np.concatenate(cuts) + firsts[text]
             ends = np.minimum(starts + width, (firsts + sizes)[text])
             whole = _spans(squares, starts, ends)
@@ -310,7 +327,7 @@ class Index:
             search = self._by_passage if len(passages) <= FEW else self._by_window
             window, at, product = search(row, squares, known[feature], starts, ends, whole, passages, reach)
             used, back = np.unique(window, return_inverse=True)
-            cosine = product / np.sqrt(_sizes(feature, squares, starts[used], ends[used], width))[back]
+            cosine = product / np.sqrt(_sizes(feature, before, squares, starts[used], ends[used], width))[back]
             near = cosine >= COSINE
             window, passage = window[near], passages[at[near]]
             keys.append(text[window] * len(self.ids) + self.owner[passage])
@@ -320,11 +337,23 @@ class Index:
         order = np.lexsort((place, key))
         key, place, cosine = key[order], place[order], cosine[order]
         heads = np.flatnonzero(np.diff(key, prepend=-1))
-        best = np.maximum.reduceat(cosine, heads).tolist() if len(heads) else []
-        tails = np.append(heads[1:], len(key)).tolist()
-        for head, tail, top in zip(heads.tolist(), tails, best):
-            text, item = divmod(int(key[head]), len(self.ids))
-            yield text, item, place[head:tail].tolist(), top
+        if not len(heads):
+            none = np.zeros(0, np.int64)
+            return none, none, cosine, none, none, none
+        text, item = np.divmod(key[heads], len(self.ids))
+        tails = np.append(heads[1:], len(key))
+        pair = np.repeat(np.arange(len(heads)), tails - heads)
+        # A run holds the places within a passage of its first one; the next begins after it.
+        shifted = place - place.min()
+        line = pair * (shifted.max() + PASSAGE + 1) + shifted
+        after = np.searchsorted(line, line + PASSAGE, "right")
+        begins, at, ends = [], heads, tails
+        while len(at):
+            begins.append(at)
+            more = after[at] < ends
+            at, ends = after[at][more], ends[more]
+        begin = np.sort(np.concatenate(begins))
+        return text, item, np.maximum.reduceat(cosine, heads), pair[begin], place[begin], place[after[begin] - 1]
 
     def _by_passage(self, row, squares, mine, starts, ends, whole, passages, reach):
         """(window, passage, product) that may be near: each word's product with a passage, summed over windows."""
@@ -346,7 +375,9 @@ class Index:
             some = kept[k : k + 1024]
             at = starts[some, None] + np.arange(width)
             words = np.where(at < ends[some, None], row[np.minimum(at, len(row) - 1)], len(self.basis) - 1)
-            z = self.basis[words].sum(1)
+            z = np.empty((len(some), RANK), np.float32)
+            for j in range(0, len(some), WINDOWS):
+                self.basis.take(words[j : j + WINDOWS], 0).sum(1, out=z[j : j + WINDOWS])
             # No cosine exceeds the product of the sizes of the two parts.
             bound = np.sqrt((z.astype(np.float64) ** 2).sum(1) / whole[some])
             order = np.argsort(-bound)
@@ -365,22 +396,51 @@ class Index:
         out: list[list[tuple[int, float, int, int, float]]] = [[] for _ in texts]
         if not len(self.latent) or not texts:
             return out
-        for text, item, places, cosine in self.candidates(texts):
-            words, answer, own = self.words[item], self.answers[item], self.sets[item]
-            slack, least = PASSAGE // 2 + len(words) // 4, LCS_LIKELY * len(words)
-            best = (0, 0.0)
-            for first, last in _runs(places):
-                part = texts[text][max(0, first - slack) : max(0, last + len(words) + slack)]
-                there = own.intersection(part.tolist())
-                # Words that the item repeats count each time.
-                if len(there) + len(words) - len(own) >= least and sum(w in there for w in words.tolist()) >= least:
-                    told = lcs(answer, part) / len(answer) if len(answer) else 0.0
-                    best = max(best, (lcs(words, part), told))
-            common, told = best
-            share = common / len(words)
+        sizes = np.array([len(hashed) for hashed in texts])
+        firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        feature = (np.concatenate(texts) & np.uint64(FEATURES - 1)).astype(np.int64)
+        row = self.row[feature]
+        row[row < 0] = len(self.basis) - 1
+        before = _before(feature)
+        text, item, cosine, pair, first, last = self.candidates(sizes, firsts, feature, row, before)
+        owner = item[pair]
+        slack = PASSAGE // 2 + self.lengths[owner] // 4
+        begins = np.minimum(np.maximum(first - slack, 0), sizes[text[pair]])
+        ends = np.maximum(np.minimum(last + self.lengths[owner] + slack, sizes[text[pair]]), begins)
+        hits = self._hits(row, before, firsts[text[pair]] + begins, ends - begins, owner)
+        able = np.flatnonzero(hits + self.repeats[owner] >= LCS_LIKELY * self.lengths[owner])
+        found: dict[int, tuple[int, float]] = {}
+        for k, begin, end in zip(pair[able].tolist(), begins[able].tolist(), ends[able].tolist()):
+            words, answer, own = self.words[item[k]], self.answers[item[k]], self.sets[item[k]]
+            part, least = texts[text[k]][begin:end], LCS_LIKELY * len(words)
+            there = own.intersection(part.tolist())
+            # Words that the item repeats count each time.
+            if len(there) + len(words) - len(own) >= least and sum(w in there for w in words.tolist()) >= least:
+                told = lcs(answer, part) / len(answer) if len(answer) else 0.0
+                found[k] = max(found.get(k, (0, 0.0)), (lcs(words, part), told))
+        for k, (common, told) in found.items():
+            n = len(self.words[item[k]])
+            share = common / n
             if share >= LCS_SURE or share >= LCS_LIKELY and told >= ANSWER:
-                out[text].append((self.ids[item], cosine, common, len(words), told))
-        return [sorted(found) for found in out]
+                out[text[k]].append((self.ids[item[k]], float(cosine[k]), common, n, told))
+        return [sorted(leaks) for leaks in out]
+
+    def _hits(self, row: np.ndarray, before: np.ndarray, starts: np.ndarray, lengths: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Different features of each part that may be the item's, no fewer than are."""
+        keys, items = row.astype(np.uint32) * _BY_ROW, items.astype(np.uint64)
+        out, total, at = np.zeros(len(starts), np.int64), np.cumsum(lengths), 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+            some = lengths[at:end]
+            tails = np.cumsum(some)
+            places = np.arange(tails[-1]) + np.repeat(starts[at:end] - (tails - some), some)
+            counted = self.marks[self._mark(keys[places], np.repeat(items[at:end], some))]
+            counted &= before[places] < np.repeat(starts[at:end], some)
+            marked = np.zeros(tails[-1] + 1, np.int64)
+            np.cumsum(counted, out=marked[1:])
+            out[at:end] = marked[tails] - marked[tails - some]
+            at = end
+        return out
 
 
 def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -390,29 +450,31 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return sums[ends] - sums[starts]
 
 
-def _sizes(feature: np.ndarray, squares: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+def _before(feature: np.ndarray) -> np.ndarray:
+    """Of each word the place of the one before it that has its feature, -1 where there is none."""
+    order = np.argsort(feature.astype(np.uint16), kind="stable")
+    order = order[np.argsort((feature[order] >> 16).astype(np.uint16), kind="stable")]
+    again = np.flatnonzero(feature[order[1:]] == feature[order[:-1]])
+    out = np.full(len(feature), -1)
+    out[order[again + 1]] = order[again]
+    return out
+
+
+def _sizes(feature: np.ndarray, before: np.ndarray, squares: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     """Squared lengths of windows as TF-IDF vectors: a word that occurs twice weighs twice as much."""
     out = np.zeros(len(starts))
     for k in range(0, len(starts), 1024):
         at = starts[k : k + 1024, None] + np.arange(width)
         real = at < ends[k : k + 1024, None]
         at = np.minimum(at, len(feature) - 1)
-        here = np.where(real, feature[at], -1)
-        out[k : k + 1024] = (np.where(real, squares[at], 0.0) * (here[:, :, None] == here[:, None, :]).sum(2)).sum(1)
+        weights = np.where(real, squares[at], 0.0)
+        twice = np.flatnonzero((real & (before[at] >= starts[k : k + 1024, None])).any(1))
+        here = np.where(real[twice], feature[at[twice]], -1).astype(np.int32)
+        weights[twice] *= (here[:, :, None] == here[:, None, :]).view(np.uint8).sum(2, dtype=np.uint8)
+        out[k : k + 1024] = weights.sum(1)
     return out
 
 
-def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
-    """First and last of the places that lie within a passage of a first one."""
-    first = last = places[0]
-    for place in places[1:]:
-        if place - first > PASSAGE:
-            yield first, last
-            first = place
-        last = place
-    yield first, last
-
-
 def last_sentence(text: str | None) -> str:
     """What follows the last sentence end inside a text: an item's answer where none is given."""
     body = (text or "").rstrip(" .!?\n\t。！？")

@@ -172,3 +172,68 @@ def test_words_of_unspaced_scripts_are_pairs_of_characters():
     count = lambda text: len(next(latent.Words().of([text])))
     assert [count(t) for t in ("数据集很大", "数据，很大。", "用Python写", "ＡＢ", "Ελλάδα über", "한국어 문장")] == [4, 2, 3, 1, 2, 2]
     assert latent.last_sentence("问题是什么？答案很长。") == "答案很长"
+
+
+def marked(seed):
+    rng, _, say, items = corpus(seed)
+    texts = [say(rng.randint(0, 300)) for _ in range(20)]
+    texts += [f"{say(70)} {text} {say(9)} {text[: len(text) // 2]} {say(30)}" for _, text in items] + ["", items[0][1] * 40]
+    hashed = list(latent.Words().of(texts))
+    idf = np.ones(latent.FEATURES)
+    index = latent.Index([(k, text, None) for k, text in items], idf, latent.Rows(np.zeros(0, np.int64), np.zeros((0, latent.RANK))))
+    feature = (np.concatenate(hashed) & np.uint64(latent.FEATURES - 1)).astype(np.int64)
+    row = index.row[feature]
+    return rng, hashed, index, feature, np.where(row < 0, len(index.basis) - 1, row)
+
+
+def test_marks_lose_no_word_of_an_item(monkeypatch):
+    monkeypatch.setattr(latent, "CHUNK", 200)
+    rng, hashed, index, feature, row = marked(7)
+    before = latent._before(feature)
+    assert before.tolist() == [max((j for j in range(k) if feature[j] == f), default=-1) for k, f in enumerate(feature[:400])] + before[400:].tolist()
+    words = np.concatenate(hashed)
+    parts = [(begin, rng.randint(0, 120), item) for begin in range(0, len(words) - 130, 37) for item in range(len(index.ids))]
+    starts, lengths, items = (np.array(x) for x in zip(*parts))
+    hits = index._hits(row, before, starts, lengths, items)
+    there = [len(index.sets[k].intersection(words[b : b + n].tolist())) for b, n, k in parts]
+    # No fewer, and beyond words that share a feature hardly more.
+    own = np.array([len(index.sets[k]) for k in items])
+    assert (hits + index.repeats[items] >= np.array(there) + index.lengths[items] - own).all()
+    assert hits.sum() <= 1.2 * sum(there)
+
+
+def test_sizes_count_repeats_within_the_window():
+    rng = np.random.default_rng(8)
+    feature = rng.integers(0, latent.FEATURES, 60)[rng.integers(0, 60, 3000)]
+    squares = rng.random(latent.FEATURES)[feature]
+    starts = rng.integers(0, 2990, 2000)
+    ends = np.minimum(starts + rng.integers(1, 17, 2000), 3000)
+    got = latent._sizes(feature, latent._before(feature), squares, starts, ends, 16)
+    for size, a, b in zip(got, starts, ends):
+        used, at, times = np.unique(feature[a:b], return_index=True, return_counts=True)
+        assert size == pytest.approx((squares[a:b][at] * times**2).sum())
+
+
+def test_few_parts_are_read_word_by_word(monkeypatch):
+    """Parts that share too few words with the item go by their marks; only the others are compared as sets."""
+    rng, hashed, index, feature, row = marked(9)
+    read = []
+
+    class Watched(frozenset):
+        def intersection(self, other):
+            read.append(1)
+            return frozenset.intersection(self, other)
+
+    index.sets = [Watched(own) for own in index.sets]
+    near = [(k, item) for k in range(len(hashed)) for item in range(len(index.ids)) if len(hashed[k])]
+    text, item = (np.array(x) for x in zip(*near))
+    runs = np.arange(len(near)), np.full(len(near), 75), np.full(len(near), 75)
+    monkeypatch.setattr(latent.Index, "candidates", lambda self, *given: (text, item, np.ones(len(near)), *runs))
+    index.latent = np.ones((1, latent.RANK), np.float32)
+    found = index.leaks(hashed)
+    assert sum(map(len, found)) >= len(index.ids) and len(read) <= len(near) / 4
+
+
+def test_texts_below_the_unspaced_scripts_are_left_as_they_are():
+    for text in ("über façade", "Ελλάδα где", "a—b “c”", "\ud800x", "数据x", "", "෿a"):
+        assert latent._spaced(text) == latent._UNSPACED.sub(latent._pairs, latent._MARKS.sub(" ", text))

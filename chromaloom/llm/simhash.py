@@ -117,7 +117,8 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     def verified(one: DataFrame, other: DataFrame) -> DataFrame:
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-        found = one.join(other, "key").where(near & (F.col("side").isNotNull() | (F.col("a") < F.col("b"))))
+        # Sized by the fingerprints before they were laid out in variants, a side would be broadcast that holds 33 rows for each.
+        found = one.hint("merge").join(other, "key").where(near & (F.col("side").isNotNull() | (F.col("a") < F.col("b"))))
         return found.select("a", "b")
 
     if not any_hot:
@@ -127,7 +128,7 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     spread = _whole_variants(marked.where("hot"))
     other = spread.select("slot", "key", F.col("fp").alias("b"))
     return cold.unionByName(
-        spread.join(other, ["slot", "key"]).where("fp < b").select(F.col("fp").alias("a"), "b")
+        spread.hint("merge").join(other, ["slot", "key"]).where("fp < b").select(F.col("fp").alias("a"), "b")
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 
 from chromaloom.llm import simhash
 from chromaloom.llm.components import connected_components
+from chromaloom.session import materialise
 from tests.llm.helpers import documents
 
 
@@ -42,6 +43,15 @@ def test_links_equal_all_pairs(spark, bucket_rows):
     assert got == near and len(near) > 50
 
 
+@pytest.mark.parametrize("bucket_rows", [256, 1])
+def test_variants_are_never_broadcast(spark, bucket_rows):
+    """A side holds 33 rows (or 2016) for each fingerprint, which its size as Spark takes it does not show."""
+    fps = materialise(spark.createDataFrame([(k,) for k in range(8)], "fp long"), "fps")
+    plan = simhash.links(fps, bucket_rows)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("[key" in line or "[slot" in line)]
+    assert len(joins) == (1 if bucket_rows == 256 else 3) and all("SortMergeJoin" in line for line in joins)
+
+
 def test_documents_equal_brute_force(spark):
     rng = random.Random(9)
     words = ["the", "of", "Ünd", "la", "zur", "an", "it", "x"]

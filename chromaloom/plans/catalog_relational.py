@@ -15,13 +15,12 @@ from chromaloom.operators import (
     perturb,
     ranks,
     regions,
-    sequence,
     skew,
     windows,
 )
 from chromaloom.plans import features as ft
 from chromaloom.plans.ctes import build
-from chromaloom.plans.fixtures import BANDS, CONTEXT, HEIGHT, OFFSET, RESOLUTION, WIDTH, fixture, table
+from chromaloom.plans.fixtures import BANDS, HEIGHT, OFFSET, RESOLUTION, WIDTH, fixture, table
 from chromaloom.plans.registry import query
 from chromaloom.session import materialise
 from chromaloom.sources import readers
@@ -316,7 +315,7 @@ def expected_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j8_fetch_sequences", build("SELECT region_idx, chrom, token_text FROM tokens", bed_source="fx_bed"))
 def fetch_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ft.tokens(spark, sf_dir, "fx_bed").select("region_idx", "chrom", "token_text")
+    return ft.bed_tokens(spark, sf_dir).select("region_idx", "chrom", "token_text")
 
 
 @query(
@@ -325,7 +324,7 @@ def fetch_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seq_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     bedpe = fixture(spark, sf_dir, "fx_regions").select("bedpe_idx", "chr1", "start1")
-    return sequence.seq_by_region(bedpe, ft.tokens(spark, sf_dir, "fx_region_bed"), CONTEXT)
+    return ft.region_tokens(spark, sf_dir, bedpe)
 
 
 @query(

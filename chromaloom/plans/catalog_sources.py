@@ -344,7 +344,7 @@ def write_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k5_write_tokens", build("SELECT region_idx, token_text FROM tokens", bed_source="fx_bed"))
 def write_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
-    writers.write_tokens(ft.tokens(spark, sf_dir, "fx_bed").select("region_idx", "token_text"), path)
+    writers.write_tokens(ft.bed_tokens(spark, sf_dir).select("region_idx", "token_text"), path)
     return spark.read.parquet(path)
 
 
@@ -457,7 +457,7 @@ def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def write_sequence_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence-only predictions in the order of a (biosamples, items) matrix."""
-    tokens, items = ft.tokens(spark, sf_dir, "fx_bed"), fixture(spark, sf_dir, "fx_bed").count()
+    tokens, items = ft.bed_tokens(spark, sf_dir), fixture(spark, sf_dir, "fx_bed").count()
     preds = infer.predict(tokens, ft.sequence_model, ("region_idx",), "sequence", batch_size=64, dtype="float64", partitions=ft.tasks(spark, items))
     path = scratch_path(spark, "sequence-predictions")
     writers.write_predictions(infer.per_biosample(preds), path, ("bio_idx", "region_idx"))

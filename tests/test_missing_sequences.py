@@ -49,5 +49,7 @@ def test_unknown_contigs_are_told(spark, monkeypatch, most):
     monkeypatch.setattr(sequence, "BROADCAST_CONTIGS", most)
     bed = spark.createDataFrame([(0, "a", 5), (1, "b", 6), (2, None, 7), (2, "a", 7)], "region_idx long, chrom string, start_bp long")
     lengths = materialise(spark.createDataFrame([("a", 9), ("c", 3)], "chrom string, contig_len long"), "lengths")
-    assert sorted(map(tuple, sequence.on_contigs(bed, lengths).collect())) == [(0, "a", 5), (2, "a", 7)]
+    known = sequence.on_contigs(bed, lengths)
+    assert sorted(map(tuple, known.collect())) == [(0, "a", 5), (2, "a", 7)]
+    assert ("Broadcast" in known._jdf.queryExecution().executedPlan().toString()) == (most > 0)
     assert sorted(map(tuple, sequence.unknown_contigs(bed, lengths).collect())) == [(1, "b"), (2, None)]
